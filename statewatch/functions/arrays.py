@@ -49,8 +49,7 @@ def minus(a: Column | str, b: Column | str) -> Column:
 
 def outer(a: Column | str, b: Column | str) -> Column:
     """Row-major outer product as one flat array."""
-    left, right = col(a), col(b)
-    return F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: x * y)))
+    return let(col(b), lambda right: F.flatten(F.transform(col(a), lambda x: F.transform(right, lambda y: x * y))))
 
 
 def doubles(a: Column | str) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from statewatch.functions.arrays import col, doubles, let, norm
+from statewatch.functions.arrays import col, doubles, norm
 from statewatch.plans.guards import require
 
 ZERO_NORM = 1e-12
@@ -17,11 +17,10 @@ ZERO_NORM = 1e-12
 
 def amplitude(x: Column | str) -> Column:
     """``x / |x|``; a zero vector fails the query."""
-    def divided(v: Column) -> Column:
-        length = require(norm(v) > ZERO_NORM, norm(v), "a zero vector has no amplitude encoding")
-        return let(length, lambda n: F.transform(v, lambda a: a / n))
-
-    return let(doubles(x), divided)
+    # one-level lambdas only: Spark cannot feed nested capturing lambdas to a Python UDF
+    v = doubles(x)
+    length = require(norm(v) > ZERO_NORM, norm(v), "a zero vector has no amplitude encoding")
+    return F.zip_with(v, F.array_repeat(length, F.size(v)), lambda a, n: a / n)
 
 
 def affine(x: Column | str, scale: float = 1.0) -> Column:
@@ -33,17 +32,11 @@ def affine(x: Column | str, scale: float = 1.0) -> Column:
 def stereographic(x: Column | str, scale: float = 1.0) -> Column:
     """``(2 s x, |x|^2 - s^2) / (|x|^2 + s^2)``; a zero vector is allowed."""
     _positive(scale)
-
-    def raw(v: Column) -> Column:
-        return let(
-            F.aggregate(v, F.lit(0.0), lambda s, a: s + a * a),
-            lambda q: F.concat(
-                F.transform(v, lambda a: 2.0 * scale * a / (q + scale * scale)),
-                F.array((q - scale * scale) / (q + scale * scale)),
-            ),
-        )
-
-    return amplitude(let(doubles(x), raw))
+    v = doubles(x)
+    square = F.aggregate(v, F.lit(0.0), lambda s, a: s + a * a)
+    below = F.array_repeat(square + scale * scale, F.size(v))
+    head = F.zip_with(v, below, lambda a, b: 2.0 * scale * a / b)
+    return amplitude(F.concat(head, F.array((square - scale * scale) / (square + scale * scale))))
 
 
 def _positive(scale: float) -> None:

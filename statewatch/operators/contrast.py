@@ -134,7 +134,7 @@ def fit_invariant_contrast(
     densities: DataFrame, label: str, positive, negative, group: Sequence[np.ndarray], rank: int | None = None
 ) -> DataFrame:
     """Best effect among those that commute with a finite group; reports the commutator error."""
-    averaged = twirl(densities, [], "rho", group)
+    averaged = twirl(densities, "rho", group)
     fitted = fit_contrast(averaged, label, positive, negative, rank=rank)
     mats = [np.asarray(u, dtype=float) for u in group]
 

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from statewatch.functions.arrays import col, doubles, let, scaled, total
 from statewatch.plans import place, require
 from statewatch.plans.guards import null_safe
+from statewatch.plans.rowmap import add_columns
 
 SQL_DIM = 8
 MAX_DIM = 1024
@@ -280,10 +281,9 @@ def sliding_state(
 def check_density(df: DataFrame, key: Sequence[str], rho: str, tolerance: float = 1e-10) -> DataFrame:
     """Trace, asymmetry, smallest eigenvalue and the verdict for each flat matrix."""
 
-    @F.pandas_udf("trace double, asymmetry double, smallest double, valid boolean")
-    def report(rows: pd.Series) -> pd.DataFrame:
+    def report(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for flat in rows:
+        for flat in pdf[rho]:
             a = np.asarray(flat, dtype=float)
             d = int(round(len(a) ** 0.5))
             a = a.reshape(d, d)
@@ -294,10 +294,11 @@ def check_density(df: DataFrame, key: Sequence[str], rho: str, tolerance: float
             out.append((trace, gap, low, bool(good)))
         return pd.DataFrame(out, columns=["trace", "asymmetry", "smallest", "valid"])
 
-    return df.select(*key, report(rho).alias("_r")).select(*key, "_r.*")
+    fields = "trace double, asymmetry double, smallest double, valid boolean"
+    return add_columns(df.select(*key, rho), fields, report).drop(rho)
 
 
-def twirl(df: DataFrame, key: Sequence[str], rho: str, group: Sequence[np.ndarray]) -> DataFrame:
+def twirl(df: DataFrame, rho: str, group: Sequence[np.ndarray]) -> DataFrame:
     """Mean of ``U rho U'`` over a finite group of orthogonal matrices."""
     mats = [np.asarray(u, dtype=float) for u in group]
     for u in mats:
@@ -305,14 +306,14 @@ def twirl(df: DataFrame, key: Sequence[str], rho: str, group: Sequence[np.ndarra
             raise ValueError("every group element must be orthogonal")
     stack = np.stack(mats)
 
-    @F.pandas_udf("array<double>")
-    def average(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda m: np.mean(stack @ _square(m) @ stack.transpose(0, 2, 1), axis=0).reshape(-1))
+    def average(pdf: pd.DataFrame) -> pd.DataFrame:
+        mean = lambda m: np.mean(stack @ _square(m) @ stack.transpose(0, 2, 1), axis=0).reshape(-1)
+        return pd.DataFrame({rho: [mean(m) for m in pdf[rho]]})
 
-    return df.withColumn(rho, average(rho))
+    return add_columns(df, f"{rho} array<double>", average)
 
 
-def permutation_twirl(df: DataFrame, key: Sequence[str], rho: str, perms: Sequence[Sequence[int]]) -> DataFrame:
+def permutation_twirl(df: DataFrame, rho: str, perms: Sequence[Sequence[int]]) -> DataFrame:
     """``twirl`` for permutations: entry (i, j) averages its images. Row-local, no matrix product."""
     d = len(perms[0])
     inverse = []
@@ -326,40 +327,44 @@ def permutation_twirl(df: DataFrame, key: Sequence[str], rho: str, perms: Sequen
     sources = F.array(
         *[F.array(*[F.lit(b[i] * d + b[j]) for b in inverse]) for i in range(d) for j in range(d)]
     )
-    averaged = F.transform(sources, lambda s: total(F.transform(s, lambda k: F.get(rho, k))) / len(perms))
-    return df.withColumn(rho, averaged)
+    def averaged(m: Column) -> Column:
+        return F.transform(sources, lambda s: total(F.transform(s, lambda k: F.get(m, k))) / len(perms))
+
+    return df.withColumn(rho, let(col(rho), averaged))
 
 
 def cyclic_twirl(df: DataFrame, rho: str, dim: int) -> DataFrame:
     """Average over all cyclic shifts, that is along the circular diagonals ``(i - j) mod d``."""
     offsets = F.sequence(F.lit(0), F.lit(dim - 1))
-    diagonal = F.transform(
-        offsets,
-        lambda o: total(F.transform(offsets, lambda j: F.get(rho, ((j + o) % dim) * dim + j))) / dim,
-    )
-    out = df.withColumn("_d", diagonal)
-    full = F.flatten(F.transform(offsets, lambda i: F.transform(offsets, lambda j: F.get("_d", F.pmod(i - j, F.lit(dim))))))
-    return out.withColumn(rho, full).drop("_d")
+
+    def diagonals(m: Column) -> Column:
+        along = lambda o: F.transform(offsets, lambda j: F.get(m, F.pmod(j + o, F.lit(dim)) * dim + j))
+        return F.transform(offsets, lambda o: total(along(o)) / dim)
+
+    def spread(d: Column) -> Column:
+        row = lambda i: F.transform(offsets, lambda j: F.get(d, F.pmod(i - j, F.lit(dim))))
+        return F.flatten(F.transform(offsets, row))
+
+    return df.withColumn(rho, let(let(col(rho), diagonals), spread))
 
 
 def moments(df: DataFrame, key: Sequence[str], vec: str, dim: int) -> DataFrame:
     """Count, mean and sample covariance (n - 1) per key, from one pass over ``[x, 1]``."""
     lifted = df.select(*key, F.concat(doubles(vec), F.array(F.lit(1.0))).alias("_x"))
     sums = additive_state(lifted, key, "_x", dim + 1, normalize=False)
-    last = dim * (dim + 1)
-    mean = F.transform(F.slice("acc", last + 1, dim), lambda s: s / F.col("n"))
-    out = sums.select(*key, "n", "acc", mean.alias("mean"))
-    cells = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda i: F.transform(
-                F.sequence(F.lit(0), F.lit(dim - 1)),
-                lambda j: (F.get("acc", i * (dim + 1) + j) - F.col("n") * F.get("mean", i) * F.get("mean", j))
-                / (F.col("n") - 1),
-            ),
-        )
-    )
-    return out.select(*key, "n", "mean", F.when(F.col("n") > 1, cells).alias("cov"))
+    spots = F.sequence(F.lit(0), F.lit(dim - 1))
+    sums = sums.select(*key, "n", "acc", F.slice("acc", dim * (dim + 1) + 1, dim).alias("_s"))
+
+    def covariance(e: Column) -> Column:
+        def cell(i: Column, j: Column) -> Column:
+            second = F.get(e["acc"], i * (dim + 1) + j)
+            return (second - F.get(e["s"], i) * F.get(e["s"], j) / e["n"]) / (e["n"] - 1)
+
+        return F.flatten(F.transform(spots, lambda i: F.transform(spots, lambda j: cell(i, j))))
+
+    whole = F.struct(F.col("acc").alias("acc"), F.col("_s").alias("s"), F.col("n").alias("n"))
+    mean = let(F.col("n"), lambda n: F.transform("_s", lambda v: v / n))
+    return sums.select(*key, "n", mean.alias("mean"), F.when(F.col("n") > 1, let(whole, covariance)).alias("cov"))
 
 
 def pooled_covariance(moment_rows: DataFrame) -> DataFrame:
