@@ -247,12 +247,12 @@ def cluster_bootstrap(spark, sf):
     return out.select(V.r6(F.col("mean"), 7).alias("mean"), V.r6(F.col("lower")).alias("lower"), V.r6(F.col("upper")).alias("upper"))
 
 
-MEANS = FOLDS + """, mn AS (SELECT dataset || '-' || repeat AS block, method, round(avg(accuracy), 3) AS v FROM fo GROUP BY ALL)"""
+MEANS = FOLDS + """, mn AS (SELECT dataset || '-' || repeat AS block, method, round(avg(accuracy), 7) AS v FROM fo GROUP BY ALL)"""
 
 
 def block_means(spark, sf):
     block = F.concat_ws("-", "dataset", "repeat")
-    return fold_records(spark, sf).groupBy(block.alias("block"), "method").agg(V.r6(F.avg("accuracy"), 3).alias("v"))
+    return fold_records(spark, sf).groupBy(block.alias("block"), "method").agg(V.r6(F.avg("accuracy"), 7).alias("v"))
 
 
 @query(
@@ -274,7 +274,7 @@ def friedman(spark, sf):
     "i13_wilcoxon",
     V.sql(
         MEANS,
-        """df AS (SELECT o.method, round(a.v - o.v, 3) AS d FROM mn a JOIN mn o USING (block) WHERE a.method = '1-URGENT' AND o.method <> '1-URGENT')""",
+        """df AS (SELECT o.method, round(a.v - o.v, 6) AS d FROM mn a JOIN mn o USING (block) WHERE a.method = '1-URGENT' AND o.method <> '1-URGENT')""",
         """rk AS (SELECT method, d, rank() OVER (PARTITION BY method ORDER BY abs(d)) + (count(*) OVER (PARTITION BY method, abs(d)) - 1) / 2.0 AS r FROM df WHERE d <> 0)""",
         """st AS (SELECT method, least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)) AS statistic FROM rk GROUP BY 1)""",
         body="""SELECT method, count(*) FILTER (WHERE d > 0) AS wins, count(*) FILTER (WHERE d = 0) AS draws, count(*) FILTER (WHERE d < 0) AS losses, round(any_value(statistic), 6) AS statistic FROM df LEFT JOIN st USING (method) GROUP BY method""",
@@ -283,7 +283,7 @@ def friedman(spark, sf):
 def wilcoxon(spark, sf):
     means = block_means(spark, sf)
     mine = means.where("method = '1-URGENT'").select("block", F.col("v").alias("a"))
-    gaps = means.where("method <> '1-URGENT'").join(mine, "block").select("method", V.r6(F.col("a") - F.col("v"), 3).alias("d"))
+    gaps = means.where("method <> '1-URGENT'").join(mine, "block").select("method", V.r6(F.col("a") - F.col("v"), 6).alias("d"))
     out = I.wilcoxon(gaps, "d", ["method"])
     return out.select("method", "wins", "draws", "losses", V.r6(F.col("statistic")).alias("statistic"))
 

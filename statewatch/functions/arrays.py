@@ -67,6 +67,10 @@ def log0(x: Column) -> Column:
 
 
 def log_sum_exp(*terms: Column) -> Column:
-    top = F.greatest(*terms)
-    summed = sum((F.exp(t - top) for t in terms[1:]), F.exp(terms[0] - top))
-    return F.when(top == float("-inf"), top).otherwise(top + F.log(summed))
+    """``log sum exp`` that evaluates every term once, so nesting stays linear in size."""
+    none = F.lit(float("-inf"))
+
+    def add(acc: Column, x: Column) -> Column:
+        return F.when(x == none, acc).otherwise(F.greatest(acc, x) + F.log1p(F.exp(-F.abs(acc - x))))
+
+    return F.aggregate(F.array(*terms), none, add)

@@ -182,9 +182,9 @@ def cluster_bootstrap(df: DataFrame, diff: str, cluster: str, indices: DataFrame
     return df.agg(F.avg(diff).alias("mean")).crossJoin(F.broadcast(bounds))  # one row each
 
 
-def order_threshold(maxima: DataFrame, value: str, alpha: float, key: Sequence[str] = ()) -> DataFrame:
+def order_threshold(maxima: DataFrame, value: str, alpha: float, key: Sequence[str] = (), longest: int | None = None) -> DataFrame:
     """The ceil((B + 1)(1 - alpha))-th smallest of B replicate maxima (at most the largest)."""
-    ranked = place(maxima, key, [value], "_k").rows()
+    ranked = place(maxima, key, [value], "_k", longest=longest).rows()
     size = maxima.groupBy(*key).agg(F.count(F.lit(1)).alias("replicates"))
     rows = null_safe(ranked, size, list(key))
     spot = F.least(F.ceil((F.col("replicates") + 1) * F.lit(1.0 - alpha)), F.col("replicates"))
