@@ -126,11 +126,11 @@ fz AS (SELECT sm.user_id, sm.t, CASE WHEN sm.t >= alarm_at THEN (SELECT v FROM s
 
 @query(
     "t06_bounded_sr",
-    V.sql(V.SCORE, sr_sql(SR_BETS), FROZEN, body="SELECT user_id, t, round(v, 5) AS stat, alarm_time IS NOT NULL AS alarm, alarm_time FROM fz"),
+    V.sql(V.SCORE, sr_sql(SR_BETS), FROZEN, body="SELECT user_id, t, round(v, 9) AS stat, alarm_time IS NOT NULL AS alarm, alarm_time FROM fz"),
 )
 def bounded_sr(spark, sf):
     out = Q.bounded_sr(V.score(spark, sf), ["user_id"], ORDER, "s", threshold=60.0)
-    return out.select("user_id", "t", V.r6(F.col("stat"), 5).alias("stat"), "alarm", "alarm_time")
+    return out.select("user_id", "t", V.r6(F.col("stat"), 9).alias("stat"), "alarm", "alarm_time")
 
 
 @query(

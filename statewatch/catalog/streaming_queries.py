@@ -1 +1,49 @@
-"""To be filled."""
+"""The detectors on a stream of the events table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from statewatch.catalog import views as V
+from statewatch.catalog.detector_queries import FROZEN, SIGNED, SR_BETS, sr_sql
+from statewatch.catalog.registry import query
+from statewatch.streaming import eprocess_kernel, run_to_table, sr_kernel, stream_detector
+
+
+def event_stream(spark, sf):
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
+    s = F.least(F.greatest((F.col("value") - 50) / 200, F.lit(-1.0)), F.lit(1.0))
+    return rows.select("user_id", "ts", "event_id", s.alias("_s"))
+
+
+@query(
+    "t06_bounded_sr_stream",
+    V.sql(V.SCORE, sr_sql(SR_BETS), FROZEN, body="SELECT user_id, t, round(v, 9) AS stat, alarm_time IS NOT NULL AS alarm, alarm_time FROM fz"),
+)
+def sr_stream(spark, sf):
+    step, start = sr_kernel(["user_id"], SR_BETS, threshold=60.0)
+    out = stream_detector(
+        event_stream(spark, sf), ["user_id"], "ts", ["ts", "event_id"], ["_s"], step, start,
+        "user_id bigint, t bigint, stat double, alarm boolean, alarm_time bigint",
+    )
+    rows = run_to_table(out)
+    return rows.withColumn("stat", V.r6(F.col("stat"), 9))
+
+
+@query(
+    "t15_eprocess_stream",
+    V.sql(
+        V.SCORE, sr_sql(SIGNED, "1.0 / 120"),
+        """ev AS (SELECT user_id, t, (120 - t) / 120.0 + v AS v FROM sm)""",
+        """fa AS (SELECT user_id, min(t) AS alarm_at FROM ev WHERE v >= 5 GROUP BY 1)""",
+        body="SELECT user_id, t, round(v, 6) AS stat, coalesce(t >= alarm_at, false) AS alarm FROM ev LEFT JOIN fa USING (user_id)",
+    ),
+)
+def eprocess_stream(spark, sf):
+    step, start = eprocess_kernel(["user_id"], SIGNED, [0.25] * 4, 120, alpha=0.2)
+    out = stream_detector(
+        event_stream(spark, sf), ["user_id"], "ts", ["ts", "event_id"], ["_s"], step, start,
+        "user_id bigint, t bigint, stat double, alarm boolean",
+    )
+    return run_to_table(out).withColumn("stat", V.r6(F.col("stat")))

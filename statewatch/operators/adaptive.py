@@ -198,6 +198,23 @@ def ewma_spectral(
     return placed.scan(schema, ["_x"], apply, np.zeros(dim * dim), summarize, combine)
 
 
+def logistic_kernel(names: Sequence[str], rate: float, l2: float):
+    """``step(rows, weights)`` of the pairwise learner: rows in order with the difference in ``_d``."""
+    rates, names = np.array([rate]), list(names)
+
+    def step(pdf: pd.DataFrame, state: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+        w, out = state[None, :].copy(), []
+        for v in _matrix(pdf["_d"]):
+            margin = float(w[0] @ v)
+            score, loss, w = logistic_step(w, v, rates, l2)
+            out.append((float(score[0]), margin, float(loss[0])))
+        frame = pdf[names].copy()
+        frame[["score", "margin", "loss"]] = out
+        return frame, w[0]
+
+    return step
+
+
 def online_logistic(
     df: DataFrame, key: Sequence[str], order: Sequence[str], ref: str, mon: str, dim: int, rate: float, l2: float = 0.0,
     rows_per_block: int | None = None, states: DataFrame | None = None,
@@ -215,17 +232,6 @@ def online_logistic(
     placed = place(rows, key, order, rows_per_block=rows_per_block)
     key = list(key)
     schema = "".join(f"{_names(df, [k])}, " for k in key) + "t bigint, score double, margin double, loss double"
-    rates = np.array([rate])
-
-    def step(pdf: pd.DataFrame, state: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
-        w, out = state[None, :].copy(), []
-        for v in _matrix(pdf["_d"]):
-            margin = float(w[0] @ v)
-            score, loss, w = logistic_step(w, v, rates, l2)
-            out.append((float(score[0]), margin, float(loss[0])))
-        frame = pdf[[*key, "t"]].copy()
-        frame[["score", "margin", "loss"]] = out
-        return frame, w[0]
-
+    step = logistic_kernel([*key, "t"], rate, l2)
     return placed.fold(schema, ["_d"], step, np.zeros(dim), states)
 

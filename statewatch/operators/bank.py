@@ -141,6 +141,28 @@ def bank_step(layout: _Layout, state: dict[str, np.ndarray], r: np.ndarray, m: n
     return out
 
 
+def bank_kernel(names: Sequence[str], q: int):
+    """``step(rows, state)`` of the bank: rows of one role in order with bits in ``_r`` and ``_m``."""
+    layout, names = _Layout(q), list(names)
+
+    def step(pdf: pd.DataFrame, flat: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+        state = layout.split(flat)
+        r, m = _matrix(pdf["_r"]), _matrix(pdf["_m"])
+        if not (np.isin(r, (0, 1)).all() and np.isin(m, (0, 1)).all()):
+            raise ValueError("paired rows must be binary")
+        scores = bank_step(layout, state, r, m)
+        out = pdf[names].copy()
+        for i, name in enumerate(("logistic", "sparse", "spectral")):
+            out[name] = [s[i] for s in scores]
+        return out, layout.join(state)
+
+    return step
+
+
+def bank_start(q: int) -> np.ndarray:
+    return np.zeros(_Layout(q).size)
+
+
 def score_bank(
     pairs: DataFrame, key: Sequence[str], order: Sequence[str], ref: str, mon: str, q: int, states: DataFrame | None = None,
     keep: Sequence[str] = (), rows_per_block: int | None = None, longest: int | None = None,
@@ -150,25 +172,14 @@ def score_bank(
     ``key`` includes the role: roles share nothing, so they run in parallel. ``states`` (from an
     earlier call) warms the keys it lists, which is how a replay starts.
     """
-    layout = _Layout(q)
     key = list(key)
     names = list(dict.fromkeys([*key, *keep]))
     schema = _names(pairs, names) + ", t bigint, logistic array<double>, sparse array<double>, spectral array<double>"
     rows = pairs.withColumns({"_r": doubles(ref), "_m": doubles(mon)})
     placed = place(rows, key, order, rows_per_block=rows_per_block, longest=longest)
 
-    def step(pdf: pd.DataFrame, flat: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
-        state = layout.split(flat)
-        r, m = _matrix(pdf["_r"]), _matrix(pdf["_m"])
-        if not (np.isin(r, (0, 1)).all() and np.isin(m, (0, 1)).all()):
-            raise ValueError("paired rows must be binary")
-        scores = bank_step(layout, state, r, m)
-        out = pdf[[*names, "t"]].copy()
-        for i, name in enumerate(("logistic", "sparse", "spectral")):
-            out[name] = [s[i] for s in scores]
-        return out, layout.join(state)
-
-    return placed.fold(schema, [*names, "_r", "_m"], step, np.zeros(layout.size), states)
+    step = bank_kernel([*names, "t"], q)
+    return placed.fold(schema, [*names, "_r", "_m"], step, bank_start(q), states)
 
 
 def empirical_scores(bank: DataFrame, q: int) -> DataFrame:
