@@ -6,7 +6,6 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from statewatch.functions.arrays import doubles
 from statewatch.functions.learners import logistic_step, smoothing, spectral_effects, top_k_scores
 from statewatch.operators.sequences import START, _mixture, _weights
 from statewatch.plans import longest_group, place, require
+from statewatch.plans.ordering import Group
 
 GEOMETRIC_BETS = [0.01 * 99 ** (i / 19) for i in range(20)]  # 0.01 .. 0.99
 
@@ -23,8 +23,8 @@ def _names(df: DataFrame, columns: Sequence[str]) -> str:
     return ", ".join(f"`{c}` {fields[c]}" for c in columns)
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_list()).astype(float)
+def _matrix(column) -> np.ndarray:
+    return np.stack(list(column)).astype(float)
 
 
 # ---------------------------------------------------------------- contrast e-process
@@ -44,14 +44,14 @@ def witness_scores(
     key = list(key)
     schema = "".join(f"{_names(df, [k])}, " for k in key) + "t bigint, score double, contrast double, rank int"
 
-    def apply(pdf: pd.DataFrame, _: np.ndarray) -> pd.DataFrame:
-        x = _matrix(pdf["_x"])
+    def apply(g: Group, _: np.ndarray) -> Group:
+        x, warm = _matrix(g["_x"]), g["_warm"].astype(bool)
         size = np.linalg.norm(x, axis=1, keepdims=True)
         if (size <= 1e-15).any():
             raise ValueError("a zero vector has no state")
         x = x / size
         rows = []
-        for i in np.flatnonzero(~pdf["_warm"].to_numpy(dtype=bool)):
+        for i in np.flatnonzero(~warm):
             past = x[max(0, i - window) : i]
             if not len(past):
                 rows.append((0.0, 0.0, 0))
@@ -62,9 +62,8 @@ def witness_scores(
             seen = float(((x[i] @ basis) ** 2).sum())
             expected = float(np.einsum("ik,ij,jk->", basis, rho0, basis))
             rows.append((seen - expected, float(values[chosen].sum()), len(chosen)))
-        out = pdf.loc[~pdf["_warm"].astype(bool), [*key, "t"]].reset_index(drop=True)
-        out[["score", "contrast", "rank"]] = pd.DataFrame(rows, columns=["score", "contrast", "rank"])
-        return out
+        score, contrast, found = zip(*rows, strict=True) if rows else ((), (), ())
+        return {**{n: g[n][~warm] for n in [*key, "t"]}, "score": score, "contrast": contrast, "rank": found}
 
     return placed.scan(schema, ["_x"], apply, np.zeros(1), before=window)
 
@@ -129,17 +128,15 @@ def ewma_topk(
     key = list(key)
     schema = "".join(f"{_names(df, [k])}, " for k in key) + "t bigint, scores array<double>"
 
-    def apply(pdf: pd.DataFrame, state: np.ndarray) -> pd.DataFrame:
-        values, average, rows = _matrix(pdf["_x"]), state[None, :].copy(), []
+    def apply(g: Group, state: np.ndarray) -> Group:
+        values, average, rows = _matrix(g["_x"]), state[None, :].copy(), []
         for v in values:
             rows.append(top_k_scores(average, v, ks)[0])
             average = (1 - alpha) * average + alpha * v
-        out = pdf[[*key, "t"]].copy()
-        out["scores"] = rows
-        return out
+        return {**{n: g[n] for n in [*key, "t"]}, "scores": rows}
 
-    def summarize(pdf: pd.DataFrame) -> np.ndarray:
-        values = _matrix(pdf["_x"])
+    def summarize(g: Group) -> np.ndarray:
+        values = _matrix(g["_x"])
         return np.concatenate([[len(values)], _ewma_end(values, alpha)])
 
     def combine(state: np.ndarray, summary: np.ndarray) -> np.ndarray:
@@ -163,8 +160,8 @@ def ewma_spectral(
     key = list(key)
     schema = "".join(f"{_names(df, [k])}, " for k in key) + "t bigint, rank_one double, positive double"
 
-    def matrices(pdf: pd.DataFrame) -> np.ndarray:
-        m = _matrix(pdf["_x"]).reshape(-1, dim, dim)
+    def matrices(g: Group) -> np.ndarray:
+        m = _matrix(g["_x"]).reshape(-1, dim, dim)
         scale = np.maximum(1.0, np.linalg.norm(m, axis=(1, 2)))
         if (np.linalg.norm(m - m.transpose(0, 2, 1), axis=(1, 2)) > 1e-9 * scale).any():
             raise ValueError("differences must be symmetric")
@@ -175,21 +172,19 @@ def ewma_spectral(
             raise ValueError("differences must have trace norm at most two")
         return 0.5 * (m + m.transpose(0, 2, 1))
 
-    def apply(pdf: pd.DataFrame, state: np.ndarray) -> pd.DataFrame:
+    def apply(g: Group, state: np.ndarray) -> Group:
         average, rows = state.reshape(1, dim, dim).copy(), []
         effects = spectral_effects(average)[0]
-        times = pdf["t"].to_numpy()
-        for t, m in zip(times, matrices(pdf), strict=True):
+        for t, m in zip(g["t"], matrices(g), strict=True):
             rows.append(np.einsum("eij,ji->e", effects, m))
             average = (1 - alpha) * average + alpha * m
             if t % stride == 0:
                 effects = spectral_effects(average)[0]
-        out = pdf[[*key, "t"]].copy()
-        out[["rank_one", "positive"]] = np.clip(np.array(rows), -1.0, 1.0)
-        return out
+        scores = np.clip(np.array(rows), -1.0, 1.0)
+        return {**{n: g[n] for n in [*key, "t"]}, "rank_one": scores[:, 0], "positive": scores[:, 1]}
 
-    def summarize(pdf: pd.DataFrame) -> np.ndarray:
-        m = matrices(pdf).reshape(len(pdf), -1)
+    def summarize(g: Group) -> np.ndarray:
+        m = matrices(g).reshape(len(g["t"]), -1)
         return np.concatenate([[len(m)], _ewma_end(m, alpha)])
 
     def combine(state: np.ndarray, summary: np.ndarray) -> np.ndarray:
@@ -202,15 +197,14 @@ def logistic_kernel(names: Sequence[str], rate: float, l2: float):
     """``step(rows, weights)`` of the pairwise learner: rows in order with the difference in ``_d``."""
     rates, names = np.array([rate]), list(names)
 
-    def step(pdf: pd.DataFrame, state: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+    def step(g: Group, state: np.ndarray) -> tuple[Group, np.ndarray]:
         w, out = state[None, :].copy(), []
-        for v in _matrix(pdf["_d"]):
+        for v in _matrix(g["_d"]):
             margin = float(w[0] @ v)
             score, loss, w = logistic_step(w, v, rates, l2)
             out.append((float(score[0]), margin, float(loss[0])))
-        frame = pdf[names].copy()
-        frame[["score", "margin", "loss"]] = out
-        return frame, w[0]
+        score, margin, loss = zip(*out, strict=True)
+        return {**{n: g[n] for n in names}, "score": score, "margin": margin, "loss": loss}, w[0]
 
     return step
 

@@ -19,6 +19,7 @@ from statewatch.operators.bootstrap import order_threshold
 from statewatch.operators.sequences import _alarms, affine_logs
 from statewatch.plans import draw_index, place
 from statewatch.plans.guards import broadcast_if_small, null_safe
+from statewatch.plans.ordering import Group
 
 # Betting fractions, learning rates, half-lives, top-k sizes and the refit stride.
 BETS = (0.1, 0.3, 0.6, 0.9)
@@ -145,15 +146,14 @@ def bank_kernel(names: Sequence[str], q: int):
     """``step(rows, state)`` of the bank: rows of one role in order with bits in ``_r`` and ``_m``."""
     layout, names = _Layout(q), list(names)
 
-    def step(pdf: pd.DataFrame, flat: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+    def step(g: Group, flat: np.ndarray) -> tuple[Group, np.ndarray]:
         state = layout.split(flat)
-        r, m = _matrix(pdf["_r"]), _matrix(pdf["_m"])
+        r, m = _matrix(g["_r"]), _matrix(g["_m"])
         if not (np.isin(r, (0, 1)).all() and np.isin(m, (0, 1)).all()):
             raise ValueError("paired rows must be binary")
         scores = bank_step(layout, state, r, m)
-        out = pdf[names].copy()
-        for i, name in enumerate(("logistic", "sparse", "spectral")):
-            out[name] = [s[i] for s in scores]
+        logistic, sparse, spectral = zip(*scores, strict=True)
+        out = {**{n: g[n] for n in names}, "logistic": logistic, "sparse": sparse, "spectral": spectral}
         return out, layout.join(state)
 
     return step

@@ -12,7 +12,6 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +20,7 @@ from statewatch.functions.bets import bounded_score
 from statewatch.functions.likelihood import TemplateModel
 from statewatch.plans import Placed, place, require
 from statewatch.plans.guards import null_safe
+from statewatch.plans.ordering import Group
 
 SAFE_LOG = 600.0
 START = 6.0 / math.pi**2
@@ -34,6 +34,12 @@ def _log_accumulate(log_f: np.ndarray, log_c: np.ndarray, start: np.ndarray) ->
 
     A zero factor sets A to zero, so the rows after it are a fresh run.
     """
+    if np.isfinite(log_f).all():
+        c = np.cumsum(log_f, axis=0)
+        terms = np.repeat(log_c[:, None], log_f.shape[1], axis=1)
+        terms[1:] -= c[:-1]
+        terms[0] = np.logaddexp(terms[0], start)
+        return c + np.logaddexp.accumulate(terms, axis=0)
     out = np.empty_like(log_f)
     for j in range(log_f.shape[1]):
         carry, first = start[j], 0
@@ -59,18 +65,18 @@ def affine_logs(placed: Placed, factors: Column, inject: Column, keep: Sequence[
     fields = {f.name: f.dataType.simpleString() for f in table.df.schema.fields}
     schema = ", ".join(f"`{n}` {fields[n]}" for n in dict.fromkeys(names)) + ", log_a array<double>"
 
-    def logs(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    names = list(dict.fromkeys(names))
+
+    def logs(g: Group) -> tuple[np.ndarray, np.ndarray]:
         with np.errstate(divide="ignore"):
-            return np.log(np.stack(pdf["_f"].to_list())), np.log(pdf["_c"].to_numpy(dtype=float))
+            return np.log(np.stack(g["_f"])), np.log(g["_c"].astype(float))
 
-    def apply(pdf: pd.DataFrame, state: np.ndarray) -> pd.DataFrame:
-        log_f, log_c = logs(pdf)
-        out = pdf[list(dict.fromkeys(names))].copy()
-        out["log_a"] = list(_log_accumulate(log_f, log_c, state))
-        return out
+    def apply(g: Group, state: np.ndarray) -> Group:
+        log_f, log_c = logs(g)
+        return {**{n: g[n] for n in names}, "log_a": _log_accumulate(log_f, log_c, state)}
 
-    def summarize(pdf: pd.DataFrame) -> np.ndarray:
-        log_f, log_c = logs(pdf)
+    def summarize(g: Group) -> np.ndarray:
+        log_f, log_c = logs(g)
         end = _log_accumulate(log_f, log_c, np.full(components, -np.inf))[-1]
         return np.concatenate([log_f.sum(axis=0), end])
 
@@ -258,14 +264,14 @@ def hmm_increments(
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = "".join(f"`{n}` {fields[n]}, " for n in names) + "block bigint, increment double"
 
-    def emissions(pdf):
-        e = pdf[["_e1", "_e2"]].to_numpy(dtype=float)
+    def emissions(g: Group) -> tuple[np.ndarray, np.ndarray]:
+        e = np.stack([g["_e1"], g["_e2"]], axis=1).astype(float)
         top = e.max(axis=1)
         return np.exp(e - top[:, None]), top
 
     # state: filtered probabilities before the next transition, or the prior flagged by a third entry
-    def apply(pdf: pd.DataFrame, state: np.ndarray) -> pd.DataFrame:
-        e, top = emissions(pdf)
+    def apply(g: Group, state: np.ndarray) -> Group:
+        e, top = emissions(g)
         p, fresh = state[:2], state[2] > 0
         gain = np.empty(len(e))
         for i in range(len(e)):
@@ -273,18 +279,17 @@ def hmm_increments(
             mass = joint.sum()
             gain[i] = math.log(mass) + top[i]
             p, fresh = joint / mass, False
-        gain -= pdf["_n"].to_numpy(dtype=float)
+        gain -= g["_n"].astype(float)
         if len(gain) % 2:
             if check:
                 raise ValueError("block increments need an even number of rows per key")
             gain = gain[:-1]
-        out = pd.DataFrame({n: [pdf[n].iloc[0]] * (len(gain) // 2) for n in names})
-        out["block"] = (pdf[pos].to_numpy()[: len(gain) : 2] - 1) // 2
-        out["increment"] = gain.reshape(-1, 2).sum(axis=1)
-        return out
+        pairs = len(gain) // 2
+        out = {n: g[n][:pairs] for n in names}
+        return {**out, "block": (g[pos][: len(gain) : 2] - 1) // 2, "increment": gain.reshape(-1, 2).sum(axis=1)}
 
-    def summarize(pdf: pd.DataFrame) -> np.ndarray:
-        e, _ = emissions(pdf)
+    def summarize(g: Group) -> np.ndarray:
+        e, _ = emissions(g)
         first, rest = np.diag(e[0]), np.eye(2)
         for i in range(1, len(e)):
             rest = rest @ step * e[i]
@@ -324,8 +329,8 @@ def hmm_sr(
     names, pos = list(placed.key), placed.pos
     schema = "".join(f"`{n}` {fields[n]}, " for n in names) + "t bigint, log_stat double, stat double"
 
-    def emissions(pdf):
-        return np.stack(pdf["_a"].to_list()), np.stack(pdf["_b"].to_list())
+    def emissions(g: Group) -> tuple[np.ndarray, np.ndarray]:
+        return np.stack(g["_a"]), np.stack(g["_b"])
 
     def advance(mass: np.ndarray, scale: float, a: np.ndarray, b: np.ndarray, inject: bool) -> tuple[np.ndarray, float]:
         moved = np.einsum("...kh,khj->...kj", mass, mats)
@@ -337,21 +342,18 @@ def hmm_sr(
             return moved / top, scale + math.log(top)
         return moved, scale
 
-    def apply(pdf: pd.DataFrame, state: np.ndarray) -> pd.DataFrame:
-        a, b = emissions(pdf)
+    def apply(g: Group, state: np.ndarray) -> Group:
+        a, b = emissions(g)
         mass, scale = state[:-1].reshape(k, h), float(state[-1])
         logs = np.empty(len(a))
         for i in range(len(a)):
             mass, scale = advance(mass, scale, a[i], b[i], True)
             total = float(w @ mass.sum(axis=1))
             logs[i] = math.log(total) + scale if total > 0 else -np.inf
-        out = pdf[[*names, pos]].copy()
-        out["log_stat"] = logs
-        out["stat"] = np.exp(np.minimum(logs, 709.0))
-        return out
+        return {**{n: g[n] for n in [*names, pos]}, "log_stat": logs, "stat": np.exp(np.minimum(logs, 709.0))}
 
-    def summarize(pdf: pd.DataFrame) -> np.ndarray:
-        a, b = emissions(pdf)
+    def summarize(g: Group) -> np.ndarray:
+        a, b = emissions(g)
         own, own_scale = np.zeros((k, h)), 0.0
         basis, basis_scale = np.broadcast_to(np.eye(h)[:, None, :], (h, k, h)).copy(), 0.0
         for i in range(len(a)):
@@ -446,7 +448,7 @@ def box_witness(
     if mode not in ("raw", "variance"):
         raise ValueError("mode must be 'raw' or 'variance'")
     rows = rows.withColumn("_w", F.col("_delta") if mode == "raw" else _direction(F.col("_delta"), dim, covariance, ridge))
-    score = F.when(F.col("_w").isNull(), F.lit(0.0)).otherwise(_box_score("_w", "_x", ref, spans, tolerance))
+    score = F.when(F.col("_m").isNull(), F.lit(0.0)).otherwise(_box_score("_w", "_x", ref, spans, tolerance))
     return rows.withColumn("score", score).drop("_x", "_m", "_delta", "_w")
 
 

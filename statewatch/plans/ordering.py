@@ -33,6 +33,63 @@ def longest_group(df: DataFrame, key: Sequence[str]) -> int:
     return int(row["n"] or 0)
 
 
+def shuffle_tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+Group = dict[str, np.ndarray]
+
+
+def arrays(pdf: pd.DataFrame) -> Group:
+    return {c: pdf[c].to_numpy() for c in pdf.columns}
+
+
+def frame(groups: Sequence[Group]) -> pd.DataFrame:
+    """One data frame from the column dictionaries of many groups."""
+    return pd.DataFrame({c: [x for g in groups for x in g[c]] for c in groups[0]})
+
+
+def each_key(
+    data: DataFrame, keys: Sequence[str], pos: str, schema: str | T.StructType, fn: Callable[[Group], Group]
+) -> DataFrame:
+    """``fn`` on the ordered rows of every key, for keys known to fit one block.
+
+    One hash shuffle and one sort; a task then streams Arrow batches and cuts them at key
+    changes, which is much cheaper than a grouped call per key when keys are small. The number of
+    partitions is explicit, because adaptive coalescing sizes tasks by bytes and would put a
+    small but compute-heavy input on one core.
+    """
+    keys = list(keys)
+    ordered = data.repartition(shuffle_tasks(data), *keys).sortWithinPartitions(*keys, pos)
+
+    def run(batches):
+        held: Group | None = None
+        last = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            codes = np.stack([pd.factorize(pdf[k], use_na_sentinel=False)[0] for k in keys], axis=1)
+            cuts = [0, *(np.flatnonzero((codes[1:] != codes[:-1]).any(axis=1)) + 1), len(pdf)]
+            columns = arrays(pdf)
+            first, final = (tuple(None if pd.isna(v) else v for v in pdf[keys].iloc[i]) for i in (0, -1))
+            done: list[Group] = []
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                part = {c: v[a:b] for c, v in columns.items()}
+                if i == 0 and held is not None and first == last:
+                    held = {c: np.concatenate([held[c], part[c]]) for c in part}
+                    continue
+                if held is not None:
+                    done.append(held)
+                held = part
+            last = final
+            if done:
+                yield frame([fn(g) for g in done])
+        if held is not None:
+            yield frame([fn(held)])
+
+    return ordered.mapInPandas(run, schema)
+
+
 @dataclass(frozen=True)
 class Placed:
     df: DataFrame
@@ -106,9 +163,9 @@ class Placed:
         self,
         schema: str,
         columns: Sequence[str],
-        apply: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame],
+        apply: Callable[[Group, np.ndarray], Group],
         start: np.ndarray,
-        summarize: Callable[[pd.DataFrame], np.ndarray] | None = None,
+        summarize: Callable[[Group], np.ndarray] | None = None,
         combine: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
         before: int = 0,
     ) -> DataFrame:
@@ -124,17 +181,15 @@ class Placed:
         pos = self.pos
 
         def run(pdf: pd.DataFrame, state: np.ndarray) -> pd.DataFrame:
-            return apply(pdf.sort_values(pos, kind="stable", ignore_index=True), state)
-
-        if not self.blocked:
-            if not keys:
-                data = data.withColumn("_all", F.lit(0))
-            cold = data.withColumn("_warm", F.lit(False)) if before else data
-            return cold.groupBy(*(keys or ["_all"])).applyInPandas(lambda pdf: run(pdf, start), schema)
+            return frame([apply(arrays(pdf.sort_values(pos, kind="stable", ignore_index=True)), state)])
 
         if not keys:
             keys = ["_all"]
             data = data.withColumn("_all", F.lit(0))
+        if not self.blocked:
+            cold = data.withColumn("_warm", F.lit(False)) if before else data
+            return each_key(cold, keys, pos, schema, lambda g: apply(g, start))
+
         group = [*keys, "_blk"]
         if before:
             halo = self.with_df(data)._with_halo(before)
@@ -147,7 +202,7 @@ class Placed:
         def reduce_block(pdf: pd.DataFrame) -> pd.DataFrame:
             ordered = pdf.sort_values(pos, kind="stable", ignore_index=True)
             head = ordered.loc[[0], group].reset_index(drop=True)
-            head["_s"] = [np.asarray(summarize(ordered), dtype=float)]
+            head["_s"] = [np.asarray(summarize(arrays(ordered)), dtype=float)]
             return head
 
         def carry_over(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -171,7 +226,7 @@ class Placed:
         self,
         schema: str,
         columns: Sequence[str],
-        step: Callable[[pd.DataFrame, np.ndarray], tuple[pd.DataFrame, np.ndarray]],
+        step: Callable[[Group, np.ndarray], tuple[Group, np.ndarray]],
         start: np.ndarray,
         states: DataFrame | None = None,
     ) -> tuple[DataFrame, DataFrame]:
@@ -191,14 +246,45 @@ class Placed:
         mixed = T.StructType([*row_schema.fields, *extra])
         pos = self.pos
 
+        if not self.blocked:
+            # rows and states are separate plans; a caller who ignores one does not pay for it
+            def end(g: Group, state: np.ndarray) -> Group:
+                after = step(g, state)[1]
+                return {**{k: g[k][:1] for k in keys}, "_state": [np.asarray(after, dtype=float)]}
+
+            cold = np.asarray(start, dtype=float)
+            if states is None:
+                rows = each_key(data, keys, pos, schema, lambda g: step(g, cold)[0])
+                ends = each_key(data, keys, pos, state_schema, lambda g: end(g, cold))
+                return rows, ends if self.key else ends.drop("_all")
+
+            def warm(known: pd.DataFrame) -> np.ndarray:
+                return np.asarray(known["_state"].iloc[0], dtype=float) if len(known) else cold
+
+            def step_rows(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+                if not len(rows):
+                    return pd.DataFrame({n: [] for n in row_schema.fieldNames()})
+                ordered = rows.sort_values(pos, kind="stable", ignore_index=True)
+                return frame([step(arrays(ordered), warm(known))[0]])
+
+            def step_state(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+                if not len(rows):
+                    return known
+                ordered = rows.sort_values(pos, kind="stable", ignore_index=True)
+                return frame([end(arrays(ordered), warm(known))])
+
+            tasks = shuffle_tasks(data)
+            pair = data.repartition(tasks, *keys).groupBy(*keys).cogroup(states.repartition(tasks, *keys).groupBy(*keys))
+            return pair.applyInPandas(step_rows, schema), pair.applyInPandas(step_state, state_schema)
+
         def both(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
             state = np.asarray(known["_state"].iloc[0], dtype=float) if len(known) else np.asarray(start, dtype=float)
             if not len(rows):
                 out, after, head = pd.DataFrame(), state, known
             else:
                 ordered = rows.sort_values(pos, kind="stable", ignore_index=True)
-                out, after = step(ordered, state)
-                head = ordered
+                group, after = step(arrays(ordered), state)
+                out, head = frame([group]), ordered
             tail = {name: [None] for name in mixed.fieldNames()}
             tail.update({name: [head[name].iloc[0]] for name in keys})
             tail["_state"] = [np.asarray(after, dtype=float)]
@@ -212,14 +298,13 @@ class Placed:
 
         if states is None:
             states = data.sparkSession.createDataFrame([], state_schema)
-        blocks = 1 + (self.longest - 1) // self.rows_per_block if self.blocked else 1
+        blocks = 1 + (self.longest - 1) // self.rows_per_block
         outputs = None
         nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in mixed.fields])
         for block in range(blocks):
-            part = data.where(F.col("_blk") == block) if self.blocked else data
+            part = data.where(F.col("_blk") == block)
             result = part.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(both, nullable)
-            if blocks > 1:
-                result = durable(result, "fold")
+            result = durable(result, "fold")
             states = result.where(F.col("_state").isNotNull()).select(*state_schema.fieldNames())
             rows = result.where(F.col("_state").isNull()).select(*row_schema.fieldNames())
             outputs = rows if outputs is None else outputs.unionByName(rows)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+
+from statewatch.plans.ordering import Group
 
 
 def sr_kernel(names: Sequence[str], bets: Sequence[float], weights: Sequence[float] | None = None, threshold: float = 1000.0):
@@ -16,19 +17,18 @@ def sr_kernel(names: Sequence[str], bets: Sequence[float], weights: Sequence[flo
     b, names = np.asarray(bets, dtype=float), list(names)
     w = np.full(len(b), 1.0 / len(b)) if weights is None else np.asarray(weights, dtype=float)
 
-    def step(pdf: pd.DataFrame, state: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+    def step(g: Group, state: np.ndarray) -> tuple[Group, np.ndarray]:
         r, t, alarm, rows = state[:-2].copy(), state[-2], state[-1], []
-        for s in pdf["_s"].to_numpy(dtype=float):
+        for s in g["_s"].astype(float):
             t += 1
             if not alarm:
                 r = (r + 1.0) * (1.0 + b * s)
                 if w @ r >= threshold * (1 - 1e-12):
                     alarm = t
             rows.append((int(t), float(w @ r), bool(alarm), int(alarm) if alarm else None))
-        out = pdf[names].reset_index(drop=True)
-        extra = pd.DataFrame(rows, columns=["t", "stat", "alarm", "alarm_time"])
-        extra["alarm_time"] = extra["alarm_time"].astype("Int64")
-        return pd.concat([out, extra], axis=1), np.concatenate([r, [t, alarm]])
+        steps, stat, alarms, first = zip(*rows, strict=True)
+        out = {**{n: g[n] for n in names}, "t": steps, "stat": stat, "alarm": alarms, "alarm_time": first}
+        return out, np.concatenate([r, [t, alarm]])
 
     return step, np.zeros(len(b) + 2)
 
@@ -37,10 +37,10 @@ def eprocess_kernel(names: Sequence[str], bets: Sequence[float], weights: Sequen
     """Uniform-start e-process in the log domain; more rows than ``horizon`` is an error."""
     b, w, names = np.asarray(bets, dtype=float), np.asarray(weights, dtype=float), list(names)
 
-    def step(pdf: pd.DataFrame, state: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+    def step(g: Group, state: np.ndarray) -> tuple[Group, np.ndarray]:
         a, t, alarm, rows = state[:-2].copy(), state[-2], state[-1], []
         with np.errstate(divide="ignore"):
-            for s in pdf["_s"].to_numpy(dtype=float):
+            for s in g["_s"].astype(float):
                 t += 1
                 if t > horizon:
                     raise ValueError("the e-process horizon is exhausted")
@@ -48,7 +48,8 @@ def eprocess_kernel(names: Sequence[str], bets: Sequence[float], weights: Sequen
                 e = (horizon - t) / horizon + float(w @ np.exp(np.minimum(a, 700.0)))
                 alarm = alarm or (t if e >= 1.0 / alpha else 0)
                 rows.append((int(t), e, bool(alarm)))
-        out = pdf[names].reset_index(drop=True)
-        return pd.concat([out, pd.DataFrame(rows, columns=["t", "stat", "alarm"])], axis=1), np.concatenate([a, [t, alarm]])
+        steps, stat, alarms = zip(*rows, strict=True)
+        out = {**{n: g[n] for n in names}, "t": steps, "stat": stat, "alarm": alarms}
+        return out, np.concatenate([a, [t, alarm]])
 
     return step, np.concatenate([np.full(len(b), -np.inf), [0.0, 0.0]])

@@ -18,9 +18,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from statewatch.plans.durable import shared_folder
+from statewatch.plans.ordering import Group, arrays, frame
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-Step = Callable[[pd.DataFrame, np.ndarray], tuple[pd.DataFrame, np.ndarray]]
+Step = Callable[[Group, np.ndarray], tuple[Group, np.ndarray]]
 
 
 def _inner(name: str) -> str:
@@ -33,8 +34,10 @@ def _outer(name: str) -> str:
 
 
 class OrderedProcessor(StatefulProcessor):
-    def __init__(self, step: Step, start: np.ndarray, fields: T.StructType, order: Sequence[str], output: list[str]) -> None:
-        self.step, self.start, self.fields, self.order, self.output = step, np.asarray(start, float), fields, list(order), output
+    def __init__(self, step: Step, start: np.ndarray, fields: T.StructType, order: Sequence[str], output: T.StructType) -> None:
+        self.step, self.start, self.fields, self.order = step, np.asarray(start, float), fields, list(order)
+        self.output = output.fieldNames()
+        self.whole = [f.name for f in output.fields if isinstance(f.dataType, T.LongType)]
         self.names = fields.fieldNames()
         self.outer = [_outer(n) for n in self.names]
 
@@ -67,9 +70,12 @@ class OrderedProcessor(StatefulProcessor):
         if ready:
             pdf = pd.DataFrame(ready, columns=self.outer).sort_values(self.order, kind="stable", ignore_index=True)
             state = np.asarray(self.learner.get()[0], float) if self.learner.exists() else self.start
-            out, after = self.step(pdf, state)
+            out, after = self.step(arrays(pdf), state)
             self.learner.update(([float(x) for x in after],))
-            yield out[self.output]
+            made = frame([out])
+            for name in self.whole:
+                made[name] = made[name].astype("Int64")
+            yield made[self.output]
 
     def close(self) -> None:
         pass
@@ -93,7 +99,7 @@ def stream_detector(
     fields = T.StructType([kept.schema[_inner(n)] for n in names])
     output = T._parse_datatype_string(schema)
     sort = ["at_us", *[c for c in order if c != event_time]]
-    processor = OrderedProcessor(step, start, fields, sort, output.fieldNames())
+    processor = OrderedProcessor(step, start, fields, sort, output)
     initial = None if states is None else states.groupBy(*key)
     return kept.groupBy(*key).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=output, outputMode="Append", timeMode="EventTime", initialState=initial
