@@ -56,7 +56,7 @@ class OrderedProcessor(StatefulProcessor):
         yield from self._release(list(self.buffer.get()) if self.buffer.exists() else [], timerValues)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.learner.update((list(initialState["_state"].iloc[0]),))
+        self.learner.update(([float(v) for v in initialState["_state"].iloc[0]],))
 
     def _release(self, rows, timerValues):
         mark = timerValues.getCurrentWatermarkInMs()
