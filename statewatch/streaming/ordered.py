@@ -29,6 +29,13 @@ def _inner(name: str) -> str:
     return f"hidden{name}" if name.startswith("_") else name
 
 
+def _plain(value):
+    """The state store takes Python values only."""
+    if isinstance(value, np.ndarray):
+        return value.tolist()
+    return value.item() if isinstance(value, np.generic) else value
+
+
 def _outer(name: str) -> str:
     return name.removeprefix("hidden") if name.startswith("hidden_") else name
 
@@ -49,7 +56,7 @@ class OrderedProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         fresh = pd.concat(list(rows), ignore_index=True)
         waiting = list(self.buffer.get()) if self.buffer.exists() else []
-        mine = list(fresh[self.names].astype(object).itertuples(index=False, name=None))
+        mine = [tuple(map(_plain, r)) for r in fresh[self.names].itertuples(index=False, name=None)]
         yield from self._release(waiting + mine, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
