@@ -247,12 +247,11 @@ def cluster_bootstrap(spark, sf):
     return out.select(V.r6(F.col("mean"), 7).alias("mean"), V.r6(F.col("lower")).alias("lower"), V.r6(F.col("upper")).alias("upper"))
 
 
-MEANS = FOLDS + """, mn AS (SELECT dataset || '-' || repeat AS block, method, round(avg(accuracy), 7) AS v FROM fo GROUP BY ALL)"""
+MEANS = FOLDS + """, mn AS (SELECT dataset AS block, method, round(avg(accuracy), 7) AS v FROM fo GROUP BY ALL)"""
 
 
 def block_means(spark, sf):
-    block = F.concat_ws("-", "dataset", "repeat")
-    return fold_records(spark, sf).groupBy(block.alias("block"), "method").agg(V.r6(F.avg("accuracy"), 7).alias("v"))
+    return fold_records(spark, sf).groupBy(F.col("dataset").alias("block"), "method").agg(V.r6(F.avg("accuracy"), 7).alias("v"))
 
 
 @query(

@@ -40,7 +40,7 @@ def witness_scores(
     and run independently.
     """
     rho0 = 0.5 * (np.asarray(reference, dtype=float) + np.asarray(reference, dtype=float).T)
-    placed = place(df.withColumn("_x", doubles(vec)), key, order, rows_per_block=rows_per_block, longest=longest)
+    placed = place(df.withColumn("_x", doubles(vec)), key, order, rows_per_block=rows_per_block, longest=longest, spread=True)
     key = list(key)
     schema = "".join(f"{_names(df, [k])}, " for k in key) + "t bigint, score double, contrast double, rank int"
 
@@ -124,7 +124,7 @@ def ewma_topk(
     alpha = smoothing(half_life)
     x = doubles(diff)
     bounded = F.forall(x, lambda v: ~F.isnan(v) & (F.abs(v) <= 1 + 1e-12)) & (F.size(x) == dim)
-    placed = place(df.withColumn("_x", require(bounded, x, "differences must lie in [-1, 1]")), key, order, rows_per_block=rows_per_block)
+    placed = place(df.withColumn("_x", require(bounded, x, "differences must lie in [-1, 1]")), key, order, rows_per_block=rows_per_block, spread=True)
     key = list(key)
     schema = "".join(f"{_names(df, [k])}, " for k in key) + "t bigint, scores array<double>"
 
@@ -154,7 +154,7 @@ def ewma_spectral(
     trace norm at most two.
     """
     alpha = smoothing(half_life)
-    placed = place(df.withColumn("_x", doubles(delta)), key, order, rows_per_block=rows_per_block)
+    placed = place(df.withColumn("_x", doubles(delta)), key, order, rows_per_block=rows_per_block, spread=True)
     if placed.blocked and placed.rows_per_block % stride:
         raise ValueError("rows_per_block must be a multiple of stride")
     key = list(key)
@@ -223,7 +223,7 @@ def online_logistic(
     unit = lambda c: F.forall(doubles(c), lambda v: ~F.isnan(v) & (v >= -1e-12) & (v <= 1 + 1e-12))
     d = F.zip_with(doubles(mon), doubles(ref), lambda a, b: a - b)
     rows = df.withColumn("_d", require(unit(ref) & unit(mon), d, "features must lie in [0, 1]"))
-    placed = place(rows, key, order, rows_per_block=rows_per_block)
+    placed = place(rows, key, order, rows_per_block=rows_per_block, spread=True)
     key = list(key)
     schema = "".join(f"{_names(df, [k])}, " for k in key) + "t bigint, score double, margin double, loss double"
     step = logistic_kernel([*key, "t"], rate, l2)

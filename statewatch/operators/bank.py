@@ -176,7 +176,7 @@ def score_bank(
     names = list(dict.fromkeys([*key, *keep]))
     schema = _names(pairs, names) + ", t bigint, logistic array<double>, sparse array<double>, spectral array<double>"
     rows = pairs.withColumns({"_r": doubles(ref), "_m": doubles(mon)})
-    placed = place(rows, key, order, rows_per_block=rows_per_block, longest=longest)
+    placed = place(rows, key, order, rows_per_block=rows_per_block, longest=longest, spread=True)
 
     step = bank_kernel([*names, "t"], q)
     return placed.fold(schema, [*names, "_r", "_m"], step, bank_start(q), states)
@@ -247,7 +247,7 @@ def shot_process(
         rows = null_safe(rows, sizes, list(key))
     else:
         rows = rows.withColumn("_H", F.lit(horizon or 1))
-    placed = place(rows, role_key, pair, "shot_index", rows_per_block=rows_per_block, longest=longest)
+    placed = place(rows, role_key, pair, "shot_index", rows_per_block=rows_per_block, longest=longest, spread=True)
     inject = 1.0 / F.col("_H") if kind == "eprocess" else F.lit(1.0)
     keep = [*pair, "_H"]
     logs = affine_logs(placed, F.col("factors"), inject, keep, len(weights))

@@ -171,7 +171,7 @@ def lr_sr(
     w = _weights(alternatives, weights)
     good = (F.size(ratios) == alternatives) & F.forall(doubles(ratios), lambda x: ~F.isnan(x) & (x >= 0) & (x < float("inf")))
     checked = df.withColumn("_f", require(good, doubles(ratios), "likelihood ratios must be finite and nonnegative"))
-    placed = place(checked, key, order, rows_per_block=rows_per_block, longest=longest)
+    placed = place(checked, key, order, rows_per_block=rows_per_block, longest=longest, spread=True)
     factors = [F.get("_f", F.lit(j)) for j in range(alternatives)]
     rows = _mixture(placed, factors, w, F.lit(1.0), [], None)
     return _alarms(rows, key, "t", F.col("stat") >= threshold * (1 - 1e-12), True)
@@ -187,7 +187,7 @@ def eprocess_bank(
     than ``horizon`` in a key fail the query. The bank keeps running after the alarm.
     """
     w = _weights(len(weights), weights)
-    placed = place(df.withColumn("_f", _factors(factors, len(w))), key, order, rows_per_block=rows_per_block, longest=longest)
+    placed = place(df.withColumn("_f", _factors(factors, len(w))), key, order, rows_per_block=rows_per_block, longest=longest, spread=True)
     if placed.longest > horizon:
         raise ValueError("the e-process horizon is exhausted")
     parts = [F.get("_f", F.lit(j)) for j in range(len(w))]
@@ -202,7 +202,7 @@ def sr_bank(
 ) -> DataFrame:
     """Mixture of ``R <- (R + 1) L``; sticky alarm at ``gamma``, the statistic keeps running."""
     w = _weights(len(weights), weights)
-    placed = place(df.withColumn("_f", _factors(factors, len(w))), key, order, rows_per_block=rows_per_block, longest=longest)
+    placed = place(df.withColumn("_f", _factors(factors, len(w))), key, order, rows_per_block=rows_per_block, longest=longest, spread=True)
     parts = [F.get("_f", F.lit(j)) for j in range(len(w))]
     rows = _mixture(placed, parts, w, F.lit(1.0), [], log_range)
     return _alarms(rows, key, "t", F.col("stat") >= gamma, False)
@@ -257,7 +257,7 @@ def hmm_increments(
     counts = model.counts(bits)
     rows = df.withColumn("_g", counts)
     rows = rows.withColumns({"_e1": model.conditional(F.col("_g"), 1), "_e2": model.conditional(F.col("_g"), 2), "_n": model.loglik(F.col("_g"), q)})
-    placed = _blocks_of_two(place(rows.drop("_g"), key, order, rows_per_block=rows_per_block, longest=longest))
+    placed = _blocks_of_two(place(rows.drop("_g"), key, order, rows_per_block=rows_per_block, longest=longest, spread=True))
     step = np.array(model.transition(q, kappa))
     start = np.array([1 - q, q])
     names, pos = list(placed.key), placed.pos
@@ -324,7 +324,7 @@ def hmm_sr(
         {"_a": require(positive(first), doubles(first), "ratios must be finite and nonnegative"),
          "_b": require(positive(second), doubles(second), "ratios must be finite and nonnegative")}
     )
-    placed = place(rows, key, order, rows_per_block=rows_per_block, longest=longest)
+    placed = place(rows, key, order, rows_per_block=rows_per_block, longest=longest, spread=True)
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     names, pos = list(placed.key), placed.pos
     schema = "".join(f"`{n}` {fields[n]}, " for n in names) + "t bigint, log_stat double, stat double"

@@ -55,9 +55,9 @@ def each_key(
     """``fn`` on the ordered rows of every key, for keys known to fit one block.
 
     One hash shuffle and one sort; a task then streams Arrow batches and cuts them at key
-    changes, which is much cheaper than a grouped call per key when keys are small. The number of
-    partitions is explicit, because adaptive coalescing sizes tasks by bytes and would put a
-    small but compute-heavy input on one core.
+    changes, which is much cheaper than a grouped call per key when keys are small. The shuffle is
+    the one ``place(spread=True)`` made: adaptive coalescing sizes tasks by bytes and would put
+    a small but compute-heavy input on one core.
     """
     keys = list(keys)
     ordered = data.repartition(shuffle_tasks(data), *keys).sortWithinPartitions(*keys, pos)
@@ -318,16 +318,21 @@ def place(
     pos: str = "t",
     rows_per_block: int | None = None,
     longest: int | None = None,
+    spread: bool = False,
 ) -> Placed:
     """Number rows 1, 2, ... inside ``key`` by ``order`` (a total order) into column ``pos``.
 
-    ``longest`` states a known bound on rows per key and saves the count.
+    ``longest`` states a known bound on rows per key and saves the count. ``spread`` is for callers
+    that run a Python kernel next: the shuffle below the window then has an explicit number of
+    partitions, which adaptive coalescing leaves alone and the kernel reuses.
     """
     size = rows_per_block or ROWS_PER_BLOCK
     order = tuple(F.col(c) if isinstance(c, str) else c for c in order)
     key = tuple(key)
     largest = longest_group(df, key) if longest is None else longest
     if largest <= size:
+        if spread and key:
+            df = df.repartition(shuffle_tasks(df), *key)
         number = F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("bigint")
         return Placed(df.withColumn(pos, number), key, order, pos, size, largest, False)
 
