@@ -338,14 +338,14 @@ def place(
 
     spark = df.sparkSession
     chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-largest // size))
-    ranged = df.repartitionByRange(chunks, *key, *order).withColumn("_chunk", F.spark_partition_id())
+    ranged = df.repartitionByRange(chunks, *key, *order).withColumn("_place_chunk", F.spark_partition_id())
     ranged = durable(ranged, "ordered")
-    sizes = ranged.groupBy(*key, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*key, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*key, "_chunk").orderBy(*order))
-    numbered = null_safe(ranged.withColumn("_i", inside), offsets, [*key, "_chunk"])
-    numbered = numbered.withColumn(pos, (F.col("_i") + F.col("_before")).cast("bigint"))
+    sizes = ranged.groupBy(*key, "_place_chunk").agg(F.count(F.lit(1)).alias("_place_n"))
+    earlier = Window.partitionBy(*key).orderBy("_place_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*key, "_place_chunk", F.coalesce(F.sum("_place_n").over(earlier), F.lit(0)).alias("_place_before"))
+    inside = F.row_number().over(Window.partitionBy(*key, "_place_chunk").orderBy(*order))
+    numbered = null_safe(ranged.withColumn("_place_i", inside), offsets, [*key, "_place_chunk"])
+    numbered = numbered.withColumn(pos, (F.col("_place_i") + F.col("_place_before")).cast("bigint"))
     numbered = numbered.withColumn("_blk", F.floor((F.col(pos) - 1) / size).cast("bigint"))
-    numbered = numbered.drop("_i", "_before", "_chunk")
+    numbered = numbered.drop("_place_i", "_place_before", "_place_chunk")
     return Placed(numbered, key, order, pos, size, largest, True)
