@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,8 +81,8 @@ class Lexicon:
     model: tuple[float, float, float] = (-4.0, 1.0, 1.0)
 
     def automaton(self) -> ahocorasick.Automaton | None:
-        entries = {p: (len(p), w) for p, w in self.weights.items()}
-        entries |= {p: (len(p), None) for p in self.exceptions}
+        entries = {p: (len(p), w, p) for p, w in self.weights.items()}
+        entries |= {p: (len(p), None, p) for p in self.exceptions}
         if not entries:
             return None
         found = ahocorasick.Automaton()
@@ -92,22 +93,23 @@ class Lexicon:
 
 
 def weigh(folded: str, automaton: ahocorasick.Automaton | None) -> float:
-    """Sum over the words of the largest weight that matches at the word, leaving out words inside an exception phrase."""
+    """Weight of the matches: at each word the heaviest pattern counts, unless an exception phrase covers it; a pattern that comes n times
+    counts 1 + log n times, so that one repeated word does not decide."""
     if automaton is None:
         return 0.0
-    best: dict[int, float] = {}
+    best: dict[int, tuple[float, str]] = {}
     clear: list[tuple[int, int]] = []
-    for end, (n, weight) in automaton.iter(folded):
+    for end, (n, weight, pattern) in automaton.iter(folded):
         start = end - n + 1
         if weight is None:
             clear.append((start, end))
-        elif weight > best.get(start, 0.0):
-            best[start] = weight
-    if clear and best:
-        for start, end in clear:
-            for at in [a for a in best if start <= a < end]:
-                del best[at]
-    return sum(best.values())
+        elif start not in best or weight > best[start][0]:
+            best[start] = (weight, pattern)
+    for start, end in clear if best else ():
+        for at in range(start, end):
+            best.pop(at, None)
+    times = Counter(best.values())
+    return sum(weight * (1.0 + math.log(n)) for (weight, _), n in times.items())
 
 
 def measures(total: float, words: int) -> tuple[float, float]:
@@ -147,15 +149,33 @@ def count_terms(docs: DataFrame, only: list[str] | None, most: int = 400_000) ->
     return docs.select("text").mapInArrow(run, "term string, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
+def sketched(docs: DataFrame) -> DataFrame:
+    """Adds ``sketch``, the smallest hash of the three-word shingles; near copies mostly share it."""
+    at = docs.columns.index("text")
+    schema = T.StructType([*docs.schema.fields, T.StructField("sketch", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, at):
+            out = []
+            for t in texts(batch.column(at)):
+                words = t.lower().split()
+                grams = map(b" ".join, zip(words, words[1:], words[2:], strict=False)) if len(words) > 2 else [b" ".join(words)]
+                out.append(min(map(xxhash.xxh64_intdigest, grams)) >> 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def choose(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int, support: int, least: float) -> Lexicon:
     """The lexicon from document counts ``(term, in toxic, in clean)``.
 
-    A weight is the smoothed log odds of the term. A longer pattern is left out where a prefix of it says as much; one that a
+    A weight is the smoothed log odds of the term less one and a half standard errors. A longer pattern is left out where a prefix of it says as much; one that a
     kept prefix covers, though clean texts use it, becomes an exception.
     """
     odds = {}
     for term, a, b in counts:
-        odds[term] = math.log((a + 0.5) / (toxic + 1.0)) - math.log((b + 0.5) / (clean + 1.0)), a, b
+        likely = math.log((a + 0.5) / (toxic + 1.0)) - math.log((b + 0.5) / (clean + 1.0))
+        odds[term] = likely - 1.5 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)), a, b
     weights: dict[str, float] = {}
     exceptions = []
     for term in sorted(odds, key=lambda t: (len(t.rstrip()), t)):
@@ -165,7 +185,7 @@ def choose(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int, suppo
         if weight >= least and a >= support:
             if weight > above + (0.7 if parents else 0.0):
                 weights[term] = weight
-        elif parents and term.endswith(" ") and weight < 0.5 and b >= 3:
+        elif parents and term.endswith(" ") and weight < 0.0 and b >= 3:
             exceptions.append(term)
     return Lexicon(weights, exceptions)
 
@@ -188,17 +208,18 @@ def fit_score(points: np.ndarray, marks: np.ndarray, ridge: float = 1e-2, steps:
     return tuple(float(b) for b in beta)
 
 
-def learn_lexicon(docs: DataFrame, marks: DataFrame, id: str, text: str, mark: str, candidates: int = 50_000, sample: int = 20_000, support: int = 4, least: float = 1.8) -> Lexicon:
+def learn_lexicon(docs: DataFrame, marks: DataFrame, id: str, text: str, mark: str, candidates: int = 50_000, sample: int = 20_000, support: int = 4, least: float = 1.5) -> Lexicon:
     """Fit on the rows of ``docs`` whose id has a 0/1 ``mark`` (ids marked both ways, or NULL, are left out).
 
-    Term counts cover all marked rows: first the terms of toxic texts, the ``candidates`` most frequent of which (those in at least
+    Term counts cover all marked texts, near copies (equal mark and equal smallest hash of three-word shingles) as one: first the terms of toxic texts, the ``candidates`` most frequent of which (those in at least
     ``support`` texts) are then counted in the clean ones. Only the two slopes and the intercept are fitted on a sample, of the
     ``sample`` rows that come first by the hash of the id.
     """
     known = marks.where(F.col(mark).isin(0, 1) & F.col(id).isNotNull())
     known = known.groupBy(F.col(id).alias("_id")).agg(F.min(mark).alias("mark"), F.max(mark).alias("_high")).where("mark = _high").drop("_high")
-    both = docs.select(F.col(id).alias("_id"), plain(text).alias("text")).join(known, "_id")
-    both = durable(both.select(F.col("_id").alias("id"), "text", "mark"), "marked")
+    both = sketched(docs.select(F.col(id).alias("_id"), plain(text).alias("text")).join(known, "_id"))
+    both = both.select(F.col("_id").alias("id"), "text", "mark", "sketch").dropDuplicates(["mark", "sketch"])
+    both = durable(both.drop("sketch"), "marked")
     sizes = {r["mark"]: r["n"] for r in both.groupBy("mark").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
