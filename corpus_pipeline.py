@@ -6,17 +6,27 @@ lost executor costs one stage at most.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statewatch.llm import exact, mixing, simhash, toxicity
+from statewatch.llm import bpe, exact, mixing, simhash, toxicity
 from statewatch.llm.common import plain, remainder
 from statewatch.plans.durable import durable
 
+#: The rank file's name in the folder of public tokenizers; ``STATEWATCH_RANKS`` may name another file.
+RANKS = "byte_bpe_50k.tiktoken"
 #: No source is drawn less than once, and none more than one and a quarter times.
 MIX = mixing.Mix(repeats=1.25)
 
 
+def ranks_path() -> str:
+    import public_tokenizers
+
+    return os.environ.get("STATEWATCH_RANKS") or public_tokenizers.path(RANKS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go. The lexicon is learned as in the toxicity query."""
     marks = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -39,11 +49,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, "doc_id", "source", words, MIX).select(*docs.columns)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document (little-endian unsigned 32-bit), with the text they decode to."""
+    found = bpe.encode_texts(docs, ranks_path(), "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", "ids", F.decode("decoded", "UTF-8").alias("text"))
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_exact_copies),
     ("simhash_near_dedup", drop_near_copies),
     ("source_mixing", mix_sources),
+    ("byte_bpe", encode),
 ]
 
 #: Fingerprints, learned weights and merge ranks are beyond SQL; the tests hold the pipeline against brute force.

@@ -116,3 +116,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def frequent_bound(counts: DataFrame, most: int) -> int:
+    """The smallest ``step`` that at most ``most`` rows reach. ``step`` is the count in eighths of powers of two, so the summary has few rows."""
+    sizes = sorted(((r["step"], r["k"]) for r in counts.groupBy("step").agg(F.count("*").alias("k")).collect()), reverse=True)
+    kept, bound = 0, 512
+    for step, k in sizes:
+        if kept + k > most:
+            break
+        kept, bound = kept + k, step
+    return int(bound)
