@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from statewatch.llm import bpe, chat, exact, language_model, mixing, sharding, simhash, toxicity, vectors
+from statewatch.llm import bpe, chat, exact, html, language_model, mixing, sharding, simhash, toxicity, vectors
 from statewatch.llm.common import plain, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_html_extraction")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html")
+    return found.select(F.col("id").alias("page_id"), "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 @query(
     "op3_embedding_near_dedup",
     """
