@@ -60,6 +60,14 @@ def map_rows(df: DataFrame, columns: list[Column], schema: T.StructType | str, f
     return df.select(*columns).mapInArrow(fn, schema)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_copies(records: DataFrame, id: str, text: Column, removed: DataFrame, repeats: DataFrame) -> DataFrame:
     """``records`` without the rows of ``removed``, and one of each set of repeated rows.
 
@@ -67,24 +75,21 @@ def drop_copies(records: DataFrame, id: str, text: Column, removed: DataFrame, r
     second pass runs only where ``repeats`` has rows.
     """
     columns = records.columns
-    taken = set(columns)
-    key = "_key"
-    while key in taken:
-        key += "_"
+    key, i, k = unused(records, "_key"), unused(records, "_i"), unused(records, "_k")
     keyed = records.withColumn(key, row_key(id, text))
 
     def matches(other: DataFrame):
-        return keyed[key].eqNullSafe(other["_k"]) & keyed[id].eqNullSafe(other["_i"])
+        return keyed[key].eqNullSafe(other[k]) & keyed[id].eqNullSafe(other[i])
 
     def renamed(df: DataFrame) -> DataFrame:
-        return df.select(F.col("id").alias("_i"), F.col("key").alias("_k"))
+        return df.select(F.col("id").alias(i), F.col("key").alias(k))
 
     gone = renamed(removed)
     left = keyed.join(gone, matches(gone), "left_anti")
     if repeats.isEmpty():
         return left.select(*columns)
     twice = renamed(repeats).distinct()
-    same = left[key].eqNullSafe(twice["_k"]) & left[id].eqNullSafe(twice["_i"])
+    same = left[key].eqNullSafe(twice[k]) & left[id].eqNullSafe(twice[i])
     once, again = left.join(twice, same, "left_anti"), left.join(twice, same, "left_semi")
     return once.unionByName(again.dropDuplicates([id, key])).select(*columns)
 

@@ -8,6 +8,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statewatch.llm.common import unused
 from statewatch.llm.sharding import hash52
 from statewatch.plans.durable import durable
 
@@ -33,11 +34,9 @@ class Mix:
             raise ValueError("give either an entropy or a repetition limit")
 
 
-def source_sizes(records: DataFrame, source: str, tokens: Column) -> DataFrame:
+def source_sizes(records: DataFrame) -> DataFrame:
     """``(source, size, rows)``: a partial sum per task, so a hot source costs one row per task."""
-    return records.groupBy(F.col(source).alias("source")).agg(
-        F.sum(F.greatest(tokens, F.lit(0)).cast("bigint")).alias("size"), F.count("*").alias("rows")
-    )
+    return records.groupBy("source").agg(F.sum("tokens").alias("size"), F.count("*").alias("rows"))
 
 
 def exponent(sizes: DataFrame, mix: Mix) -> float:
@@ -92,7 +91,8 @@ def source_plan(records: DataFrame, id: str, source: str, tokens: Column, mix: M
     value whose running token count fits the rest. Running counts come from per-part sums; only the part with the
     cut is ordered exactly, a 2**-PART_BITS share of the source.
     """
-    sizes = durable(source_sizes(records, source, tokens), "sizes")
+    records = records.select(F.col(id).alias("id"), F.col(source).alias("source"), F.greatest(tokens, F.lit(0)).cast("bigint").alias("tokens"))
+    sizes = durable(source_sizes(records), "sizes")
     power = exponent(sizes, mix)
     sized = sizes.where("size > 0")
     total = sized.agg(F.sum("size").alias("n"), F.max("size").alias("most")).first()
@@ -109,8 +109,8 @@ def source_plan(records: DataFrame, id: str, source: str, tokens: Column, mix: M
 
     part = F.shiftright("order", 52 - PART_BITS)
     open_ = plan.where("rest > 0").select(F.col("source").alias("_s"), "full", "rest")
-    last = records.join(open_, F.col(source).eqNullSafe(F.col("_s")))
-    last = last.select(F.col("_s").alias("source"), "rest", order_of(mix, F.col("full"), id).alias("order"), F.greatest(tokens, F.lit(0)).cast("bigint").alias("tokens"))
+    last = records.join(open_, F.col("source").eqNullSafe(F.col("_s")))
+    last = last.select("source", "rest", order_of(mix, F.col("full"), "id").alias("order"), "tokens")
     last = durable(last.withColumn("part", part), "orders")
     parts = last.groupBy("source", "part").agg(F.sum("tokens").alias("sum"), F.max("order").alias("top"), F.first("rest").alias("rest"))
     running = F.sum("sum").over(Window.partitionBy("source").orderBy("part"))
@@ -137,13 +137,13 @@ def mix_sources(records: DataFrame, id: str = "id", source: str = "source", toke
     share a place and are drawn together. An empty table gives no rows. Columns named block or order are replaced.
     """
     size = F.coalesce(tokens if tokens is not None else F.lit(1), F.lit(0))
-    plan = source_plan(records, id, source, size, mix).select(F.col("source").alias("_s"), F.col("full").alias("_full"), F.col("cut").alias("_cut"))
+    name, full, cut = (unused(records, c) for c in ("_source", "_full", "_cut"))
+    plan = source_plan(records, id, source, size, mix).select(F.col("source").alias(name), F.col("full").alias(full), F.col("cut").alias(cut))
     columns = [c for c in records.columns if c not in ("block", "order")]
-    rows = records.join(plan, F.col(source).eqNullSafe(F.col("_s")))
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_full"))))
+    rows = records.select(*columns).join(plan, F.col(source).eqNullSafe(F.col(name)))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(full))))
     rows = rows.withColumn("order", order_of(mix, F.col("block"), id))
-    drawn = rows.where((F.col("block") < F.col("_full")) | (F.col("order") <= F.col("_cut")))
-    return drawn.select(*columns, "block", "order")
+    return rows.where((F.col("block") < F.col(full)) | (F.col("order") <= F.col(cut))).select(*columns, "block", "order")
 
 
 def positions(drawn: DataFrame, source: str) -> DataFrame:

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statewatch.llm.common import unused
+
 #: Default number of slots; prime, and well above the number of shards.
 SLOTS = 65_537
 
@@ -74,13 +76,12 @@ def assign_shards(records: DataFrame, key: str = "shot", shards: Sequence[str] =
     rows = records.select(*[F.col(f"`{c}`") for c in taken])
     piece = F.lit(None).cast("string")
     if within is not None:
-        share = records.select(F.ceil(F.count("*") / len(shards)).alias("_share"))
-        counts = records.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
-        large = counts.crossJoin(F.broadcast(share)).where(F.col("_n") > F.col("_share"))
-        large = large.select("_key", F.ceil(F.col("_n") / F.col("_share")).alias("_pieces"))
-        rows = rows.join(F.broadcast(large), rows[key].eqNullSafe(large["_key"]), "left")
-        number = F.pmod(hash52(F.lit("piece"), F.col(within)), F.col("_pieces"))
-        piece = F.when(F.col("_pieces").isNotNull(), number.cast("string"))
+        name, pieces = unused(records, "_large"), unused(records, "_pieces")
+        share = records.select(F.ceil(F.count("*") / len(shards)).alias("share"))
+        counts = records.groupBy(F.col(key).alias(name)).agg(F.count("*").alias("n"))
+        large = counts.crossJoin(F.broadcast(share)).where("n > share").select(name, F.ceil(F.col("n") / F.col("share")).alias(pieces))
+        rows = rows.join(F.broadcast(large), F.col(key).eqNullSafe(F.col(name)), "left")
+        piece = F.pmod(hash52(F.lit("piece"), F.col(within)), F.col(pieces)).cast("string")
     placed = rows.withColumn("slot", F.pmod(hash52(F.lit("key"), F.col(key), piece), F.lit(slots)))
     found = placed.join(F.broadcast(table_frame(spark, shards, slots)), "slot")
     return found.select(*[F.col(f"`{c}`") for c in taken], "slot", "shard")
