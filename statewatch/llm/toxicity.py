@@ -11,6 +11,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -208,16 +209,24 @@ def fit_score(points: np.ndarray, marks: np.ndarray, ridge: float = 1e-2, steps:
     return tuple(float(b) for b in beta)
 
 
+def marked_ids(docs: DataFrame, marks: DataFrame, id: str, mark: str, sample: int) -> DataFrame:
+    """``(_id, mark)`` of the rows to learn from: of each mark the ``sample`` ids that come first by hash. Only ids are shuffled."""
+    known = marks.where(F.col(mark).isin(0, 1) & F.col(id).isNotNull())
+    known = known.groupBy(F.col(id).alias("_id")).agg(F.min(mark).cast("int").alias("mark"), F.max(mark).alias("high")).where("mark = high").drop("high")
+    ids = durable(docs.select(F.col(id).alias("_id")).distinct().join(known, "_id"), "ids")
+    return durable(reduce(DataFrame.unionByName, (ids.where(F.col("mark") == m).orderBy(F.xxhash64("_id"), "_id").limit(sample) for m in (0, 1))), "sample")
+
+
 def learn_lexicon(docs: DataFrame, marks: DataFrame, id: str, text: str, mark: str, candidates: int = 50_000, sample: int = 20_000, support: int = 4, least: float = 1.5) -> Lexicon:
-    """Fit on the rows of ``docs`` whose id has a 0/1 ``mark`` (ids marked both ways, or NULL, are left out).
+    """Fit on rows of ``docs`` whose id has a 0/1 ``mark`` (ids marked both ways, or NULL, are left out).
 
-    Term counts cover all marked texts, near copies (equal mark and equal smallest hash of three-word shingles) as one: first the terms of toxic texts, the ``candidates`` most frequent of which (those in at least
-    ``support`` texts) are then counted in the clean ones. Only the two slopes and the intercept are fitted on a sample, of the
-    ``sample`` rows that come first by the hash of the id.
+    It learns from at most ``sample`` ids of each mark, those that come first by hash; that bounds what is gathered, so their ids are broadcast and no text is
+    shuffled to find them. Near copies among them (equal mark and equal smallest hash of three-word shingles) teach once. First the
+    terms of toxic texts are counted; the ``candidates`` most frequent are then counted in the clean texts. The intercept and
+    the slopes are fitted on the same rows.
     """
-    known = marks.where(F.col(mark).isin(0, 1) & F.col(id).isNotNull())
-    known = known.groupBy(F.col(id).alias("_id")).agg(F.min(mark).alias("mark"), F.max(mark).alias("_high")).where("mark = _high").drop("_high")
-    both = sketched(docs.select(F.col(id).alias("_id"), plain(text).alias("text")).join(known, "_id"))
+    picked = F.broadcast(marked_ids(docs, marks, id, mark, sample))  # at most twice the sample
+    both = sketched(docs.select(F.col(id).alias("_id"), plain(text).alias("text")).join(picked, "_id"))
     both = both.select(F.col("_id").alias("id"), "text", "mark", "sketch").dropDuplicates(["mark", "sketch"])
     both = durable(both.drop("sketch"), "marked")
     sizes = {r["mark"]: r["n"] for r in both.groupBy("mark").agg(F.count("*").alias("n")).collect()}
@@ -229,8 +238,7 @@ def learn_lexicon(docs: DataFrame, marks: DataFrame, id: str, text: str, mark: s
     bad = {r["term"]: r["docs"] for r in bad.orderBy(F.desc("docs"), "term").limit(candidates).collect()}
     good = {r["term"]: r["docs"] for r in count_terms(both.where("mark = 0"), list(bad)).collect()}  # no more rows than candidates
     lexicon = choose([(t, n, good.get(t, 0)) for t, n in bad.items()], toxic, clean, support, least)
-    picked = both.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(sample)
-    rows = match(picked, "id", "text", lexicon, ["mark"]).select("mark", "weight", "n_words").collect()
+    rows = match(both, "id", "text", lexicon, ["mark"]).select("mark", "weight", "n_words").collect()
     points = np.array([measures(r["weight"], r["n_words"]) for r in rows]).reshape(-1, 2)
     lexicon.model = fit_score(points, np.array([r["mark"] for r in rows], dtype=float))
     return lexicon
