@@ -374,10 +374,8 @@ def resources(spark, sf):
 @query("r21_alarm_summary")
 def alarm_summary(spark, sf):
     """Includes an exact binomial bound, which SQL cannot state; the counts are tested separately."""
-    runs = alarms(spark, sf).select(
-        F.when(F.col("evaluation") == "null_arl", "null").otherwise("change").alias("regime"), "change_time",
-        F.when(F.col("alarm_time") > F.coalesce("change_time", F.lit(300)), F.col("alarm_time")).alias("alarm_time"),
-    )
+    regime = F.when(F.col("evaluation") == "null_arl", "null").otherwise("change").alias("regime")
+    runs = alarms(spark, sf).select(regime, "change_time", "alarm_time")
     return D.alarm_summary(runs)
 
 

@@ -162,15 +162,17 @@ def spend(spark, sf):
     "i07_paired_bootstrap",
     V.sql(
         SPEND,
-        """dr AS (SELECT r AS replicate, (r * 7919 + p * 104729) % 400 AS "index" FROM range(50) q(r), range(400) w(p))""",
-        """me AS (SELECT k, replicate, avg(d) AS m FROM od JOIN dr USING ("index") GROUP BY ALL)""",
+        """cn AS (SELECT k, count(*) AS n FROM od GROUP BY k)""",
+        """dr AS (SELECT k, r AS replicate, (r * 7919 + "index" * "index" * 31 + "index" * r * 13) % n AS "index" FROM od JOIN cn USING (k), range(50) q(r))""",
+        """me AS (SELECT k, replicate, avg(d) AS m FROM od JOIN dr USING (k, "index") GROUP BY ALL)""",
         """ob AS (SELECT k, avg(d) AS mean, count(*) AS n FROM od GROUP BY k)""",
         body="""SELECT k, n, round(mean, 7) + 0.0 AS mean, round(quantile_cont(m, 0.025), 6) + 0.0 AS lower, round(quantile_cont(m, 0.975), 6) + 0.0 AS upper FROM me JOIN ob USING (k) GROUP BY ALL""",
     ),
 )
 def paired_bootstrap(spark, sf):
-    draws = R.circular_blocks(spark, 400, 400, 1, 50, start=lambda r, p: F.pmod(r * 7919 + p * 104729, F.lit(400)))
-    out = R.paired_bootstrap(spend(spark, sf), "d", draws, ["k"])
+    rows = spend(spark, sf)
+    draws = R.draws_per_row(rows, ["k"], 50, draw=lambda r, p, n: F.pmod(r * 7919 + p * p * 31 + p * r * 13, n))
+    out = R.paired_bootstrap(rows, "d", draws, ["k"])
     return out.select("k", "n", V.r6(F.col("mean"), 7).alias("mean"), V.r6(F.col("lower")).alias("lower"), V.r6(F.col("upper")).alias("upper"))
 
 
@@ -236,14 +238,16 @@ def sign_flip(spark, sf):
     V.sql(
         SPEND,
         """cl AS (SELECT o_custkey, sum(d) AS s, count(*) AS k, row_number() OVER (ORDER BY o_custkey) - 1 AS "index" FROM od GROUP BY 1)""",
-        """dr AS (SELECT r AS replicate, (r * 7919 + p * 104729) % 500 AS "index" FROM range(50) q(r), range(500) w(p))""",
+        """dr AS (SELECT r AS replicate, (r * 7919 + "index" * "index" * 31 + "index" * r * 13) % (SELECT count(*) FROM cl) AS "index" FROM cl, range(50) q(r))""",
         """me AS (SELECT replicate, sum(s) / sum(k) AS m FROM cl JOIN dr USING ("index") GROUP BY 1)""",
         body="""SELECT (SELECT round(avg(d), 7) + 0.0 FROM od) AS mean, round(quantile_cont(m, 0.025), 6) + 0.0 AS lower, round(quantile_cont(m, 0.975), 6) + 0.0 AS upper FROM me""",
     ),
 )
 def cluster_bootstrap(spark, sf):
-    draws = R.circular_blocks(spark, 500, 500, 1, 50, start=lambda r, p: F.pmod(r * 7919 + p * 104729, F.lit(500)))
-    out = R.cluster_bootstrap(spend(spark, sf), "d", "o_custkey", draws)
+    rows = spend(spark, sf)
+    clusters = R.numbered_clusters(rows, "d", "o_custkey")
+    draws = R.draws_per_row(clusters, [], 50, draw=lambda r, p, n: F.pmod(r * 7919 + p * p * 31 + p * r * 13, n))
+    out = R.cluster_bootstrap(rows, "d", "o_custkey", draws)
     return out.select(V.r6(F.col("mean"), 7).alias("mean"), V.r6(F.col("lower")).alias("lower"), V.r6(F.col("upper")).alias("upper"))
 
 

@@ -96,13 +96,12 @@ def shot_index(spark, sf):
 
 @query(
     "s07_flatten_shots",
-    V.sql(V.BITS_LONG, body="SELECT user_id, shot * 5 + role AS idx, chk, bit FROM bits_long"),
+    V.sql(V.BITS_LONG, body="""SELECT (user_id * 100000 + shot) * 5 + role AS "index", chk, bit FROM bits_long"""),
 )
 def flatten(spark, sf):
     rows = V.bits(spark, sf).withColumn("bits", unpack("k", 7))
-    index = shaping.to_index("shot", "role", 5)
-    long = rows.select("user_id", index.alias("idx"), F.posexplode("bits").alias("chk", "bit"))
-    return long
+    # one stream of shots for all users: a user's shots follow those of the one before
+    return shaping.flatten_shots(rows.withColumn("shot", F.col("user_id") * 100_000 + F.col("shot")), "bits", "shot", "role", 5)
 
 
 SPLITS = [("fit", 0, 4), ("threshold", 4, 8), ("held", 9, 14)]
@@ -135,18 +134,7 @@ def assign_split(spark, sf):
 )
 def pair_blocks(spark, sf):
     rows = V.bits(spark, sf)
-    paired, alone = shaping.pair_blocks(
-        rows.where("shot < 6"), rows.where("shot >= 6"), ["user_id", "role"], ["shot"], ["k"]
-    )
-    left = paired.withColumn("side", F.lit(None).cast("string"))
-    # the unpaired rows come back with their values
-    ref = shaping.pair_blocks(rows.where("shot < 6"), rows.where("shot < 6"), ["user_id", "role"], ["shot"], ["k"])[0]
-    mon = shaping.pair_blocks(rows.where("shot >= 6"), rows.where("shot >= 6"), ["user_id", "role"], ["shot"], ["k"])[0]
-    keys = ["user_id", "role", "pair"]
-    none = F.lit(None).cast("int")
-    ref_alone = alone.where("side = 'reference'").join(ref, keys).select(*keys, "ref_k", none.alias("mon_k"), "side")
-    mon_alone = alone.where("side = 'monitor'").join(mon, keys).select(*keys, none.alias("ref_k"), "mon_k", "side")
-    return left.select(*keys, "ref_k", "mon_k", "side").unionByName(ref_alone).unionByName(mon_alone)
+    return shaping.pair_blocks(rows.where("shot < 6"), rows.where("shot >= 6"), ["user_id", "role"], ["shot"], ["k"])
 
 
 @query(

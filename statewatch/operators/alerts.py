@@ -17,7 +17,7 @@ INF = float("inf")
 def _threshold(df: DataFrame, threshold: float | DataFrame, key: Sequence[str]) -> DataFrame:
     """Attach one threshold per key: a number, or a table (key..., threshold)."""
     if isinstance(threshold, DataFrame):
-        return null_safe(df, F.broadcast(threshold.select(*key, F.col("threshold").alias("_thr"))), list(key))
+        return null_safe(df, threshold.select(*key, F.col("threshold").alias("_thr")), list(key))
     return df.withColumn("_thr", F.lit(float(threshold)))
 
 

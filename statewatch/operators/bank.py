@@ -18,7 +18,7 @@ from statewatch.operators.adaptive import _matrix, _names
 from statewatch.operators.bootstrap import order_threshold
 from statewatch.operators.sequences import _alarms, affine_logs
 from statewatch.plans import draw_index, place
-from statewatch.plans.guards import broadcast_if_small, null_safe
+from statewatch.plans.guards import null_safe
 from statewatch.plans.ordering import Group
 
 # Betting fractions, learning rates, half-lives, top-k sizes and the refit stride.
@@ -63,7 +63,7 @@ def nll_score(pairs: DataFrame, profile: DataFrame, role: Sequence[str], ref: st
     logs = profile.groupBy(*role).agg(
         F.array_sort(F.collect_list(F.struct("chk", F.log("p").alias("a"), F.log1p(-F.col("p")).alias("b")))).alias("_l")
     )
-    joined = null_safe(pairs, broadcast_if_small(logs), list(role))
+    joined = null_safe(pairs, logs, list(role))
     # (monitor - reference) * (log(1-p) - log p) summed: the constant part cancels
     gaps = F.zip_with(doubles(mon), doubles(ref), lambda m, r: m - r)
     cost = F.zip_with(gaps, F.col("_l"), lambda d, e: d * (e["b"] - e["a"]))
@@ -73,7 +73,7 @@ def nll_score(pairs: DataFrame, profile: DataFrame, role: Sequence[str], ref: st
 
 def hotelling_score(df: DataFrame, vec: str, means: DataFrame, precision: np.ndarray, role: Sequence[str]) -> DataFrame:
     """Adds ``hotelling``: ``(x - mean_role)' P (x - mean_role)``, tiny negatives set to zero."""
-    joined = null_safe(df, broadcast_if_small(means.select(*role, F.col("mean").alias("_m"))), list(role))
+    joined = null_safe(df, means.select(*role, F.col("mean").alias("_m")), list(role))
     p = np.asarray(precision, dtype=float)
 
     @F.pandas_udf("double")
@@ -329,7 +329,7 @@ def swap_audit(
     warm = None if states is None else _copy_states(states, replicates).select(*who, role, "_state")
     keep = [*who, role, *pair, ref, mon]
     bank, _ = score_bank(swapped, [*who, role], list(pair), ref, mon, q, warm, keep, rows_per_block, longest)
-    bank = null_safe(bank, broadcast_if_small(sizes), list(key))
+    bank = null_safe(bank, sizes, list(key))
     bank = bank.withColumn("rate", rate_score(ref, mon))
     priors = component_priors(q)
     out = None

@@ -41,9 +41,24 @@ def uniform_draws(spark: SparkSession, n: int, draws: int, replicates: int, seed
     return circular_blocks(spark, n, draws, 1, replicates, seed)
 
 
-def draw_counts(indices: DataFrame) -> DataFrame:
-    """How often each replicate drew each index."""
-    return indices.groupBy("replicate", "index").agg(F.count(F.lit(1)).alias("copies"))
+def draw_counts(indices: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """How often each replicate drew each index (of each key)."""
+    return indices.groupBy(*key, "replicate", "index").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def draws_per_row(
+    df: DataFrame, key: Sequence[str], replicates: int, seed: int = 0, draw: Callable[[Column, Column, Column], Column] | None = None
+) -> DataFrame:
+    """``(key, replicate, index)``: as many draws from a key's rows as it has rows, in every replicate.
+
+    ``df`` has ``index`` 0, 1, ... inside each key. Row p makes draw p of each replicate, so the draws are made where the rows are, and equal ones
+    merge before they move. ``draw(replicate, position, rows)`` gives the index; by default it is a hash.
+    """
+    make = draw or (lambda r, p, n: draw_index(n, seed, r, p))
+    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    rows = null_safe(df.select(*key, F.col("index").alias("_p")), sizes, list(key))
+    rows = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))))
+    return rows.select(*key, "replicate", make(F.col("replicate"), F.col("_p"), F.col("_n")).cast("bigint").alias("index"))
 
 
 def intervals(df: DataFrame, key: Sequence[str], value: str) -> DataFrame:
@@ -127,10 +142,13 @@ def count_frequencies(df: DataFrame, key: Sequence[str], value: str) -> DataFram
 def paired_bootstrap(df: DataFrame, diff: str, indices: DataFrame, key: Sequence[str] = (), confidence: float = 0.95) -> DataFrame:
     """Mean paired difference with a percentile interval.
 
-    ``df`` has ``index`` 0, 1, ... inside each key; every key uses the same draws.
+    ``df`` has ``index`` 0, 1, ... inside each key. ``indices`` from ``draws_per_row`` hold each key's own draws; a table without the key columns serves
+    all keys alike.
     """
     observed = df.groupBy(*key).agg(F.avg(diff).alias("mean"), F.count(F.lit(1)).alias("n"))
-    drawn = draw_counts(indices).join(df.select(*key, "index", F.col(diff).alias("_d")), "index")
+    rows = df.select(*key, "index", F.col(diff).alias("_d"))
+    own = [k for k in key if k in indices.columns]
+    drawn = null_safe(draw_counts(indices, own), rows, [*own, "index"])
     means = drawn.groupBy(*key, "replicate").agg((F.sum(F.col("_d") * F.col("copies")) / F.sum("copies")).alias("_m"))
     tail = (1 - confidence) / 2
     bounds = quantiles(means, key, "_m", {"lower": tail, "upper": 1 - tail})
@@ -167,15 +185,19 @@ def discordance(df: DataFrame, a: str, b: str, resamples: int = 0, seed: int = 0
     return out.crossJoin(F.broadcast(bounds))  # one row each
 
 
+def numbered_clusters(df: DataFrame, diff: str, cluster: str) -> DataFrame:
+    """``(index, _s, _k)``: sum and count of each cluster, numbered from 0 in order of the cluster id."""
+    sums = df.groupBy(cluster).agg(F.sum(diff).alias("_s"), F.count(diff).alias("_k"))
+    return place(sums, [], [cluster], "_i").rows().select((F.col("_i") - 1).alias("index"), "_s", "_k")
+
+
 def cluster_bootstrap(df: DataFrame, diff: str, cluster: str, indices: DataFrame, confidence: float = 0.95) -> DataFrame:
     """Resample whole clusters: mean over all member rows of the drawn clusters.
 
     ``indices`` draws from 0 .. clusters-1 in order of the cluster id. Clusters are reduced to
     (sum, count) before they meet the draws.
     """
-    sums = df.groupBy(cluster).agg(F.sum(diff).alias("_s"), F.count(diff).alias("_k"))
-    numbered = place(sums, [], [cluster], "_i").rows().select((F.col("_i") - 1).alias("index"), "_s", "_k")
-    drawn = draw_counts(indices).join(numbered, "index")
+    drawn = draw_counts(indices).join(numbered_clusters(df, diff, cluster), "index")
     means = drawn.groupBy("replicate").agg((F.sum(F.col("_s") * F.col("copies")) / F.sum(F.col("_k") * F.col("copies"))).alias("_m"))
     tail = (1 - confidence) / 2
     bounds = quantiles(means, [], "_m", {"lower": tail, "upper": 1 - tail})

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from statewatch.functions.arrays import col, dot, doubles, minus, norm, total, vector
 from statewatch.functions.encode import power_spectrum
 from statewatch.operators.states import SQL_DIM, _square, additive_state, density, moments, pooled_covariance, twirl
-from statewatch.plans import bounded_model, require
+from statewatch.plans import bounded_model, place, require
 
 CONTRAST = (
     "delta array<double>, eigenvalues array<double>, eigenvectors array<double>, effect array<double>, "
@@ -213,12 +213,13 @@ def sector_contrast(
 def regime_response(df: DataFrame, param: str, vec: str, dim: int) -> DataFrame:
     """Trace distance of the states at neighbouring parameter values, per unit of the parameter.
 
-    ``peak`` marks the largest response. One state row per parameter value reaches the window.
+    ``peak`` marks the largest response. Neighbours are found among the parameter values alone; the states then meet by joins.
     """
     states = additive_state(df, [param], vec, dim).select(param, density().alias("rho"))
-    order = Window.orderBy(param)
-    steps = states.withColumns({"_next": F.lead(param).over(order), "_to": F.lead("rho").over(order)})
-    steps = steps.where(F.col("_next").isNotNull()).withColumn("_c", contrast_of("_to", "rho"))
+    values = place(df.select(param).distinct(), [], [param], "_p").rows()
+    following = values.select(F.col(param).alias("_next"), (F.col("_p") - 1).alias("_p"))
+    steps = values.join(following, "_p").select(param, "_next").join(states, param)
+    steps = steps.join(states.select(F.col(param).alias("_next"), F.col("rho").alias("_to")), "_next").withColumn("_c", contrast_of("_to", "rho"))
     gap = (F.col("_next") - F.col(param)).cast("double")
     out = steps.select(
         ((F.col(param) + F.col("_next")) / 2.0).alias("midpoint"),
@@ -226,8 +227,8 @@ def regime_response(df: DataFrame, param: str, vec: str, dim: int) -> DataFrame:
         (F.col("_c.trace_norm") / (2.0 * gap)).alias("response"),
         F.col("_c.delta").alias("delta"),
     )
-    top = Window.orderBy(F.col("response").desc(), "midpoint")
-    return out.withColumn("peak", F.row_number().over(top) == 1)
+    top = out.agg(F.max_by("midpoint", F.struct(F.col("response"), -F.col("midpoint"))).alias("_top"))  # one row
+    return out.crossJoin(F.broadcast(top)).withColumn("peak", F.col("midpoint") == F.col("_top")).drop("_top")
 
 
 def score_scan(df: DataFrame, param: Sequence[str], score: str) -> DataFrame:

@@ -85,14 +85,16 @@ def signed_rank_tail(w: float, n: int) -> float:
 
 
 def wilson(k: Column | str, n: Column | str, confidence: float = 0.95) -> Column:
-    z = NormalDist().inv_cdf(0.5 + confidence / 2)
-    hits, size = col(k).cast("double"), col(n).cast("double")
-    good = (size > 0) & (hits >= 0) & (hits <= size)
-    rate = require(good, hits, "binomial counts are invalid") / size
-    below = 1.0 + z * z / size
-    centre = (rate + z * z / (2.0 * size)) / below
-    radius = z * F.sqrt(rate * (1.0 - rate) / size + z * z / (4.0 * size * size)) / below
-    return F.struct((centre - radius).alias("lower"), (centre + radius).alias("upper"))
+    """Score interval: the two roots p of ``(k - n p)^2 = z^2 n p (1 - p)``.
+
+    In p that is ``(n + z^2) p^2 - (2 k + z^2) p + k^2 / n = 0``.
+    """
+    square = NormalDist().inv_cdf(0.5 + confidence / 2) ** 2
+    trials, found = col(n).cast("double"), col(k).cast("double")
+    hits = require((found >= 0) & (trials >= found) & (trials > 0), found, "need trials > 0 and hits between 0 and trials")
+    middle = (hits + square / 2) / (trials + square)
+    spread = F.sqrt(square * (hits * (trials - hits) / trials + square / 4)) / (trials + square)
+    return F.struct((middle - spread).alias("lower"), (middle + spread).alias("upper"))
 
 
 def clopper_pearson(k: Column | str, n: Column | str, confidence: float = 0.95) -> Column:
@@ -148,10 +150,13 @@ def sign_flip(df: DataFrame, diff: str, key: Sequence[str] = (), largest: int =
     n is bounded by ``largest``. The vectors are split in two stages, so that even one key
     spreads over the cluster.
     """
-    groups = df.groupBy(*key).agg(F.collect_list(F.col(diff).cast("double")).alias("_d"), F.count(F.lit(1)).alias("n"))
+    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_size"))
+    # checked before anything is gathered: a key that is too long never meets collect_list
+    small = require(F.col("_size") <= largest, F.col("_size"), f"sign flips are exact up to {largest} rows")
+    checked = null_safe(df, sizes.select(*key, small.alias("_size")), list(key)).where("_size > 0")
+    groups = checked.groupBy(*key).agg(F.collect_list(F.col(diff).cast("double")).alias("_d"), F.count(F.lit(1)).alias("n"))
     n = F.col("n").cast("int")
-    values = require(F.col("n") <= largest, F.col("_d"), f"sign flips are exact up to {largest} rows")
-    rows = groups.select(*key, "n", values.alias("_d")).withColumn(
+    rows = groups.select(*key, "n", "_d").withColumn(
         "_obs", F.abs(F.aggregate("_d", F.lit(0.0), lambda s, x: s + x)) / F.col("n")
     )
     low = F.least(n, F.lit(12))
@@ -189,11 +194,14 @@ def friedman(df: DataFrame, block: str, method: str, value: str) -> DataFrame:
     return row.select("n", "k", stat.alias("statistic")).withColumn("p", tail("statistic", "k"))
 
 
-def wilcoxon(df: DataFrame, diff: str, key: Sequence[str] = ()) -> DataFrame:
-    """Signed-rank test, zero differences dropped; exact without ties up to 50 rows, else normal.
+def wilcoxon(df: DataFrame, diff: str, key: Sequence[str] = (), method: str = "auto") -> DataFrame:
+    """Signed-rank test, zero differences dropped. Ranks come from running counts over distinct magnitudes.
 
-    Ranks come from running counts over distinct magnitudes.
+    ``method`` is how p is found: ``normal``, ``exact`` (an error with ties, zeros or more than 1,000 rows, whose table of rank sums
+    would not fit), or ``auto``, exact up to 50 rows without ties and zeros, as other statistics packages do.
     """
+    if method not in ("auto", "exact", "normal"):
+        raise ValueError("method must be auto, exact or normal")
     d = F.col(diff).cast("double")
     tally = df.groupBy(*key).agg(F.count_if(d > 0).alias("wins"), F.count_if(d == 0).alias("draws"), F.count_if(d < 0).alias("losses"))
     cells = df.where(d != 0).groupBy(*key, F.abs(d).alias("_a")).agg(
@@ -214,7 +222,9 @@ def wilcoxon(df: DataFrame, diff: str, key: Sequence[str] = ()) -> DataFrame:
         for x, n, t, zeros in zip(w, m, ties, draws, strict=True):
             if n is None or pd.isna(n) or n == 0:
                 res.append(1.0)
-            elif n <= 50 and t == 0 and zeros == 0:
+            elif method == "exact" and (n > 1000 or t or zeros):
+                raise ValueError("exact p needs distinct nonzero differences, 1,000 at most")
+            elif method == "exact" or (method == "auto" and n <= 50 and t == 0 and zeros == 0):
                 res.append(signed_rank_tail(x, int(n)))
             else:
                 spread = math.sqrt((n * (n + 1) * (2 * n + 1) - t / 2) / 24)

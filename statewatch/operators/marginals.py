@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from statewatch.functions.arrays import col, total
 from statewatch.operators.shaping import stratified_sample
-from statewatch.plans import bounded_model, broadcast_if_small
+from statewatch.plans import bounded_model
 
 
 def bernoulli_profile(
@@ -139,7 +139,7 @@ def marginal_deviation(df: DataFrame, regime: str, bits: str, expected: DataFram
     """
     cells = df.select(regime, F.posexplode(bits).alias("chk", "_b"))
     seen = cells.groupBy(regime, "chk").agg(F.avg("_b").alias("rate"))
-    joined = seen.join(broadcast_if_small(expected), [regime, "chk"], "left")
+    joined = seen.join(expected, [regime, "chk"], "left")
     gap = F.max(F.abs(F.col("rate") - F.col("p")))
     return joined.groupBy(regime).agg(F.avg("rate").alias("mean_rate"), F.coalesce(gap, F.lit(0.0)).alias("max_gap"))
 

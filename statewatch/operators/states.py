@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,6 @@ from statewatch.plans.guards import null_safe
 from statewatch.plans.rowmap import add_columns
 
 SQL_DIM = 8
-MAX_DIM = 1024
 BUFFERED_CELLS = 4_000_000
 
 
@@ -52,8 +51,8 @@ def additive_state(
     triangle per key, so only triangles reach the shuffle. ``normalize=False`` keeps the raw
     outer products (moments).
     """
-    if not 1 <= dim <= MAX_DIM:
-        raise ValueError(f"dim must lie in 1..{MAX_DIM}")
+    if dim < 1:
+        raise ValueError("dim must be positive")
     w = F.lit(1.0) if weight is None else col(weight).cast("double")
     good = ~F.isnan(w) & (w > 0) & (w < float("inf"))
     rows = df.select(*key, require(good, w, "weights must be finite and positive").alias("_w"), doubles(vec).alias("_x"))
@@ -156,7 +155,7 @@ def _pack(cells: DataFrame, key: list[str]) -> DataFrame:
         *key,
         F.get("_t", F.lit(0)).cast("bigint").alias("n"),
         F.get("_t", F.lit(1)).alias("mass"),
-        F.slice("_t", 3, MAX_DIM * MAX_DIM).alias("acc"),
+        F.slice("_t", 3, F.size("_t")).alias("acc"),
     )
 
 
@@ -237,13 +236,12 @@ def decayed_state(
 def class_densities(df: DataFrame, label: str, vec: str, dim: int, priors: str | dict = "empirical") -> DataFrame:
     """One density per class with its prior: ``empirical``, ``balanced`` or explicit weights."""
     states = additive_state(df, [label], vec, dim)
-    whole = Window.partitionBy()  # one row per class
     if isinstance(priors, str):
         name = priors.lower()
         if name == "empirical":
-            prior = F.col("n") / F.sum("n").over(whole)
+            prior = F.col("n") / F.col("_all")
         elif name == "balanced":
-            prior = F.lit(1.0) / F.count(F.lit(1)).over(whole)
+            prior = F.lit(1.0) / F.col("_classes")
         else:
             raise ValueError("priors must be 'empirical', 'balanced' or a mapping")
     else:
@@ -251,7 +249,9 @@ def class_densities(df: DataFrame, label: str, vec: str, dim: int, priors: str |
             raise ValueError("explicit priors must be finite and positive")
         raw = F.create_map(*[F.lit(x) for pair in priors.items() for x in pair])[F.col(label)]
         prior = raw / sum(priors.values())
-    return states.select(label, "n", prior.alias("prior"), density().alias("rho"))
+    totals = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_classes"))
+    joined = states.crossJoin(F.broadcast(totals))  # one row; the matrices stay where they are
+    return joined.select(label, "n", prior.alias("prior"), density().alias("rho"))
 
 
 def sliding_state(
@@ -349,8 +349,17 @@ def cyclic_twirl(df: DataFrame, rho: str, dim: int) -> DataFrame:
 
 
 def moments(df: DataFrame, key: Sequence[str], vec: str, dim: int) -> DataFrame:
-    """Count, mean and sample covariance (n - 1) per key, from one pass over ``[x, 1]``."""
-    lifted = df.select(*key, F.concat(doubles(vec), F.array(F.lit(1.0))).alias("_x"))
+    """Count, mean and sample covariance (n - 1) per key.
+
+    Rows are first shifted by a value of their key near the mean (the mean of its rows, from a first pass over the column sums), so the sums
+    of products do not cancel where the mean is large against the spread.
+    """
+    rows = df.select(*key, doubles(vec).alias("_x"))
+    rows = rows.withColumn("_x", require(F.size("_x") == dim, F.col("_x"), f"vectors must have {dim} entries"))
+    first = rows.groupBy(*key).agg(*[F.avg(F.get("_x", F.lit(i))).alias(f"_m{i}") for i in range(dim)])
+    shift = first.select(*key, F.array(*[f"_m{i}" for i in range(dim)]).alias("_m"))
+    centred = null_safe(rows, shift, list(key)).select(*key, F.zip_with("_x", "_m", lambda x, m: x - m).alias("_x"))
+    lifted = centred.select(*key, F.concat("_x", F.array(F.lit(1.0))).alias("_x"))
     sums = additive_state(lifted, key, "_x", dim + 1, normalize=False)
     spots = F.sequence(F.lit(0), F.lit(dim - 1))
     sums = sums.select(*key, "n", "acc", F.slice("acc", dim * (dim + 1) + 1, dim).alias("_s"))
@@ -363,8 +372,10 @@ def moments(df: DataFrame, key: Sequence[str], vec: str, dim: int) -> DataFrame:
         return F.flatten(F.transform(spots, lambda i: F.transform(spots, lambda j: cell(i, j))))
 
     whole = F.struct(F.col("acc").alias("acc"), F.col("_s").alias("s"), F.col("n").alias("n"))
-    mean = let(F.col("n"), lambda n: F.transform("_s", lambda v: v / n))
-    return sums.select(*key, "n", mean.alias("mean"), F.when(F.col("n") > 1, let(whole, covariance)).alias("cov"))
+    found = sums.select(*key, "n", "_s", F.when(F.col("n") > 1, let(whole, covariance)).alias("cov"))
+    joined = null_safe(found, shift, list(key))
+    mean = let(F.col("n"), lambda n: F.zip_with("_m", "_s", lambda m, s: m + s / n))
+    return joined.select(*key, "n", mean.alias("mean"), "cov")
 
 
 def pooled_covariance(moment_rows: DataFrame) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from statewatch.plans.draws import draw_index, draw_uniform
 from statewatch.plans.durable import durable
-from statewatch.plans.guards import bounded_model, broadcast_if_small, require
+from statewatch.plans.guards import bounded_model, require
 from statewatch.plans.ordering import Placed, longest_group, place
 from statewatch.plans.quantiles import quantiles
 
 __all__ = [
     "Placed",
     "bounded_model",
-    "broadcast_if_small",
     "draw_index",
     "draw_uniform",
     "durable",

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MODEL_ROWS = 4096
-BROADCAST_ROWS = 200_000
 
 
 def require(condition: Column, value: Column, message: str) -> Column:
@@ -25,12 +24,6 @@ def bounded_model(df: DataFrame, rows: int = MODEL_ROWS) -> list:
     return found
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when a row count proves the side small; else leave it to the planner."""
-    small = df.limit(rows + 1).count() <= rows
-    return F.broadcast(df) if small else df
-
-
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` that also matches NULL keys, keeping one copy of the keys."""
     if not keys:

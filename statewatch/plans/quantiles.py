@@ -16,28 +16,21 @@ def quantiles(
 ) -> DataFrame:
     """One row per key with a column per entry of ``levels`` (linear interpolation, NULLs ignored).
 
-    Small groups use the built-in ``percentile``; beyond the bound of one task the values are
-    ranked with ``place`` and the two neighbouring order statistics are picked.
+    Equal values are merged first, so a column of few values costs few rows however many hold them. Running counts over the distinct
+    values then show which of them hold the two order statistics on either side of each level.
     """
-    limit = rows_per_block or ordering.ROWS_PER_BLOCK
     data = df.where(F.col(value).isNotNull())
-    largest = ordering.longest_group(data, key)
-    if largest <= limit:
-        return data.groupBy(*key).agg(*[F.percentile(value, F.lit(q)).alias(name) for name, q in levels.items()])
-    counts = data.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ordering.place(data.select(*key, value), key, [value], "_rank", limit, largest).rows()
-    joined = null_safe(ranked, counts, list(key))
+    cells = data.groupBy(*key, value).agg(F.count(F.lit(1)).alias("_c"))
+    placed = ordering.place(cells, key, [value], "_rank", rows_per_block or ordering.ROWS_PER_BLOCK)
+    ranked = placed.running(_upto=("sum", F.col("_c"))).rows()
+    joined = null_safe(ranked, data.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")), list(key))
     picks = []
     for name, q in levels.items():
         spot = (F.col("_n") - 1) * F.lit(q)
         for side, at in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
-            picks.append(F.max(F.when(F.col("_rank") == at + 1, F.col(value))).alias(f"_{side}_{name}"))
+            holds = (at < F.col("_upto")) & (at >= F.col("_upto") - F.col("_c"))
+            picks.append(F.max(F.when(holds, F.col(value))).cast("double").alias(f"_{side}_{name}"))
         picks.append(F.max(spot - F.floor(spot)).alias(f"_f_{name}"))
     found = joined.groupBy(*key).agg(*picks)
-    return found.select(
-        *key,
-        *[
-            (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n)
-            for n in levels
-        ],
-    )
+    between = lambda n: F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")
+    return found.select(*key, *[between(n).alias(n) for n in levels])
