@@ -18,6 +18,7 @@ from statewatch.operators.adaptive import _matrix, _names
 from statewatch.operators.bootstrap import order_threshold
 from statewatch.operators.sequences import _alarms, affine_logs
 from statewatch.plans import draw_index, place
+from statewatch.plans.durable import durable
 from statewatch.plans.guards import null_safe
 from statewatch.plans.ordering import Group
 
@@ -271,7 +272,7 @@ def shot_process(
         log_stat, level = F.col("_s"), gamma
     out = shots.withColumn("log_stat", log_stat).withColumn("stat", F.exp(F.least("log_stat", F.lit(709.0))))
     out = out.select(*key, *pair, "shot_index", "log_stat", "stat")
-    return _alarms(out, key, "shot_index", F.col("stat") >= level, False)
+    return _alarms(out, placed, key, "shot_index", F.col("stat") >= level, False)
 
 
 # ---------------------------------------------------------------- resampled replays
@@ -330,7 +331,7 @@ def swap_audit(
     keep = [*who, role, *pair, ref, mon]
     bank, _ = score_bank(swapped, [*who, role], list(pair), ref, mon, q, warm, keep, rows_per_block, longest)
     bank = null_safe(bank, sizes, list(key))
-    bank = bank.withColumn("rate", rate_score(ref, mon))
+    bank = durable(bank.withColumn("rate", rate_score(ref, mon)), "bank")  # every method reads it; the learners run once
     priors = component_priors(q)
     out = None
     for method in methods:

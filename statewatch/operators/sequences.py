@@ -12,13 +12,14 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statewatch.functions.arrays import doubles, log0, vector
 from statewatch.functions.bets import bounded_score
 from statewatch.functions.likelihood import TemplateModel
 from statewatch.plans import Placed, place, require
+from statewatch.plans.durable import durable
 from statewatch.plans.guards import null_safe
 from statewatch.plans.ordering import Group
 
@@ -130,13 +131,21 @@ def _mixture(placed: Placed, factors: Sequence[Column], weights: list[float], in
     return rows.withColumn("log_stat", log_stat).withColumn("stat", F.exp(F.least("log_stat", F.lit(709.0)))).select(*names, "log_stat", "stat")
 
 
-def _alarms(rows: DataFrame, key: Sequence[str], pos: str, crossing: Column, freeze: bool) -> DataFrame:
-    """Sticky alarm with its first step; with ``freeze`` the statistic keeps its value from then on."""
-    hit = rows.where(crossing)
-    first = hit.groupBy(*key).agg(
-        F.min(pos).alias("alarm_time"), F.min_by(F.struct("log_stat", "stat"), pos).alias("_at")
-    )
-    out = null_safe(rows, first, list(key), "left")
+def _alarms(rows: DataFrame, placed: Placed, key: Sequence[str], pos: str, crossing: Column, freeze: bool) -> DataFrame:
+    """Sticky alarm with its first step; with ``freeze`` the statistic keeps its value from then on.
+
+    The trace is evaluated once: where every key fits a task, the first crossing is a window over the key; where keys are cut into
+    blocks, the trace is written and its first crossings joined to it.
+    """
+    first = F.min(F.when(crossing, F.col(pos)))
+    at = F.min_by(F.struct("log_stat", "stat"), F.when(crossing, F.col(pos)))
+    if placed.blocked:
+        rows = durable(rows, "trace")
+        found = rows.where(crossing).groupBy(*key).agg(first.alias("alarm_time"), at.alias("_at"))
+        out = null_safe(rows, found, list(key), "left")
+    else:
+        whole = Window.partitionBy(*key)
+        out = rows.withColumns({"alarm_time": first.over(whole), **({"_at": at.over(whole)} if freeze else {})})
     alarm = F.coalesce(F.col(pos) >= F.col("alarm_time"), F.lit(False))
     out = out.withColumn("alarm", alarm)
     if freeze:
@@ -160,7 +169,7 @@ def bounded_sr(
     factors = [1.0 + F.lit(float(b)) * F.col("_s") for b in bets]
     span = None if max(bets) >= 1 else -math.log(1 - max(bets))
     rows = _mixture(placed, factors, w, F.lit(1.0), [score], span)
-    return _alarms(rows, key, "t", F.col("stat") >= threshold * (1 - 1e-12), True)
+    return _alarms(rows, placed, key, "t", F.col("stat") >= threshold * (1 - 1e-12), True)
 
 
 def lr_sr(
@@ -174,7 +183,7 @@ def lr_sr(
     placed = place(checked, key, order, rows_per_block=rows_per_block, longest=longest, spread=True)
     factors = [F.get("_f", F.lit(j)) for j in range(alternatives)]
     rows = _mixture(placed, factors, w, F.lit(1.0), [], None)
-    return _alarms(rows, key, "t", F.col("stat") >= threshold * (1 - 1e-12), True)
+    return _alarms(rows, placed, key, "t", F.col("stat") >= threshold * (1 - 1e-12), True)
 
 
 def eprocess_bank(
@@ -193,7 +202,7 @@ def eprocess_bank(
     parts = [F.get("_f", F.lit(j)) for j in range(len(w))]
     tail = (F.lit(float(horizon)) - F.col("t")) / float(horizon)
     rows = _mixture(placed, parts, w, F.lit(1.0 / horizon), [], log_range, tail)
-    return _alarms(rows, key, "t", F.col("stat") >= 1.0 / alpha, False)
+    return _alarms(rows, placed, key, "t", F.col("stat") >= 1.0 / alpha, False)
 
 
 def sr_bank(
@@ -205,7 +214,7 @@ def sr_bank(
     placed = place(df.withColumn("_f", _factors(factors, len(w))), key, order, rows_per_block=rows_per_block, longest=longest, spread=True)
     parts = [F.get("_f", F.lit(j)) for j in range(len(w))]
     rows = _mixture(placed, parts, w, F.lit(1.0), [], log_range)
-    return _alarms(rows, key, "t", F.col("stat") >= gamma, False)
+    return _alarms(rows, placed, key, "t", F.col("stat") >= gamma, False)
 
 
 def _factors(name: str, n: int) -> Column:
@@ -371,7 +380,7 @@ def hmm_sr(
         return np.concatenate([(own * math.exp(own_scale - scale) + carried * math.exp(moved_scale - scale)).ravel(), [scale]])
 
     scanned = placed.scan(schema, ["_a", "_b"], apply, np.zeros(k * h + 1), summarize, combine)
-    return _alarms(scanned, key, "t", F.col("stat") >= threshold * (1 - 1e-12), True)
+    return _alarms(scanned, placed, key, "t", F.col("stat") >= threshold * (1 - 1e-12), True)
 
 
 # ---------------------------------------------------------------- predictable linear witnesses

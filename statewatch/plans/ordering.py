@@ -46,7 +46,22 @@ def arrays(pdf: pd.DataFrame) -> Group:
 
 def frame(groups: Sequence[Group]) -> pd.DataFrame:
     """One data frame from the column dictionaries of many groups."""
-    return pd.DataFrame({c: [x for g in groups for x in g[c]] for c in groups[0]})
+
+    def column(c: str):
+        parts = [g[c] for g in groups]
+        if all(isinstance(x, np.ndarray) and x.ndim == 1 and x.dtype != object for x in parts):
+            return np.concatenate(parts)
+        return [x for part in parts for x in part]
+
+    return pd.DataFrame({c: column(c) for c in groups[0]})
+
+
+def key_runs(pdf: pd.DataFrame, keys: Sequence[str]) -> list[tuple[tuple, int, int]]:
+    """``(key, start, stop)`` of the runs of equal keys in consecutive rows; NULL keys are equal."""
+    codes = np.stack([pd.factorize(pdf[k], use_na_sentinel=False)[0] for k in keys], axis=1)
+    cuts = [0, *(np.flatnonzero((codes[1:] != codes[:-1]).any(axis=1)) + 1), len(pdf)]
+    heads = pdf[list(keys)].iloc[cuts[:-1]].itertuples(index=False, name=None)
+    return [(tuple(None if pd.isna(v) else v for v in head), a, b) for head, a, b in zip(heads, cuts, cuts[1:], strict=False)]
 
 
 def each_key(
@@ -62,30 +77,29 @@ def each_key(
     keys = list(keys)
     ordered = data.repartition(shuffle_tasks(data), *keys).sortWithinPartitions(*keys, pos)
 
+    def whole(parts: list[Group]) -> Group:
+        return {c: np.concatenate([g[c] for g in parts]) for c in parts[0]} if len(parts) > 1 else parts[0]
+
     def run(batches):
-        held: Group | None = None
+        held: list[Group] = []  # of a key that goes on in the next batch; joined once
         last = None
         for pdf in batches:
             if not len(pdf):
                 continue
-            codes = np.stack([pd.factorize(pdf[k], use_na_sentinel=False)[0] for k in keys], axis=1)
-            cuts = [0, *(np.flatnonzero((codes[1:] != codes[:-1]).any(axis=1)) + 1), len(pdf)]
             columns = arrays(pdf)
-            first, final = (tuple(None if pd.isna(v) else v for v in pdf[keys].iloc[i]) for i in (0, -1))
             done: list[Group] = []
-            for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            for key, a, b in key_runs(pdf, keys):
                 part = {c: v[a:b] for c, v in columns.items()}
-                if i == 0 and held is not None and first == last:
-                    held = {c: np.concatenate([held[c], part[c]]) for c in part}
+                if held and key == last:
+                    held.append(part)
                     continue
-                if held is not None:
-                    done.append(held)
-                held = part
-            last = final
+                if held:
+                    done.append(whole(held))
+                held, last = [part], key
             if done:
                 yield frame([fn(g) for g in done])
-        if held is not None:
-            yield frame([fn(held)])
+        if held:
+            yield frame([fn(whole(held))])
 
     return ordered.mapInPandas(run, schema)
 
@@ -232,83 +246,58 @@ class Placed:
     ) -> tuple[DataFrame, DataFrame]:
         """Ordered kernel whose state cannot be composed (online learners).
 
-        Keys run in parallel; a key larger than a block is walked block by block, and between
-        two blocks only the learner state is kept, as a written table. Returns the rows and the
-        final state per key. ``states`` (key..., ``_state``) warms the keys it lists.
+        One shuffle by key and one sort; a task then streams Arrow batches through ``step`` with only the learner state of the current key in
+        memory, so a key may be of any length. Keys run in parallel, a key's rows one after the other. Returns the rows and the final
+        state per key, as separate plans: a caller who ignores one does not pay for it. ``states`` (key..., ``_state``) warms the
+        keys it lists; a key without rows keeps its state.
         """
         keys = list(self.key) or ["_all"]
-        data = self.df if self.key else self.df.withColumn("_all", F.lit(0))
-        data = data.select(*dict.fromkeys([*keys, *(["_blk"] if self.blocked else []), self.pos, *columns]))
-        key_fields = [data.schema[name] for name in keys]
-        state_schema = T.StructType([*key_fields, T.StructField("_state", T.ArrayType(T.DoubleType()))])
-        row_schema = T.StructType(T._parse_datatype_string(schema).fields)
-        extra = [f for f in state_schema.fields if f.name not in row_schema.fieldNames()]
-        mixed = T.StructType([*row_schema.fields, *extra])
         pos = self.pos
-
-        if not self.blocked:
-            # rows and states are separate plans; a caller who ignores one does not pay for it
-            def end(g: Group, state: np.ndarray) -> Group:
-                after = step(g, state)[1]
-                return {**{k: g[k][:1] for k in keys}, "_state": [np.asarray(after, dtype=float)]}
-
-            cold = np.asarray(start, dtype=float)
-            if states is None:
-                rows = each_key(data, keys, pos, schema, lambda g: step(g, cold)[0])
-                ends = each_key(data, keys, pos, state_schema, lambda g: end(g, cold))
-                return rows, ends if self.key else ends.drop("_all")
-
-            def warm(known: pd.DataFrame) -> np.ndarray:
-                return np.asarray(known["_state"].iloc[0], dtype=float) if len(known) else cold
-
-            def step_rows(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-                if not len(rows):
-                    return pd.DataFrame({n: [] for n in row_schema.fieldNames()})
-                ordered = rows.sort_values(pos, kind="stable", ignore_index=True)
-                return frame([step(arrays(ordered), warm(known))[0]])
-
-            def step_state(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-                if not len(rows):
-                    return known
-                ordered = rows.sort_values(pos, kind="stable", ignore_index=True)
-                return frame([end(arrays(ordered), warm(known))])
-
-            tasks = shuffle_tasks(data)
-            pair = data.repartition(tasks, *keys).groupBy(*keys).cogroup(states.repartition(tasks, *keys).groupBy(*keys))
-            return pair.applyInPandas(step_rows, schema), pair.applyInPandas(step_state, state_schema)
-
-        def both(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-            state = np.asarray(known["_state"].iloc[0], dtype=float) if len(known) else np.asarray(start, dtype=float)
-            if not len(rows):
-                out, after, head = pd.DataFrame(), state, known
-            else:
-                ordered = rows.sort_values(pos, kind="stable", ignore_index=True)
-                group, after = step(arrays(ordered), state)
-                out, head = frame([group]), ordered
-            tail = {name: [None] for name in mixed.fieldNames()}
-            tail.update({name: [head[name].iloc[0]] for name in keys})
-            tail["_state"] = [np.asarray(after, dtype=float)]
-            out = out.reindex(columns=mixed.fieldNames())
-            for name in keys:
-                if name not in row_schema.fieldNames() and len(out):
-                    out[name] = head[name].iloc[0]
-            out["_state"] = None
-            frames = [f for f in (out, pd.DataFrame(tail)) if len(f)]
-            return pd.concat([f.astype(object) for f in frames], ignore_index=True)[mixed.fieldNames()]
-
-        if states is None:
-            states = data.sparkSession.createDataFrame([], state_schema)
-        blocks = 1 + (self.longest - 1) // self.rows_per_block
-        outputs = None
-        nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in mixed.fields])
-        for block in range(blocks):
-            part = data.where(F.col("_blk") == block)
-            result = part.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(both, nullable)
-            result = durable(result, "fold")
-            states = result.where(F.col("_state").isNotNull()).select(*state_schema.fieldNames())
-            rows = result.where(F.col("_state").isNull()).select(*row_schema.fieldNames())
-            outputs = rows if outputs is None else outputs.unionByName(rows)
-        return outputs, states if self.key else states.drop("_all")
+        data = self.df if self.key else self.df.withColumn("_all", F.lit(0))
+        names = list(dict.fromkeys([*keys, pos, *columns]))
+        data = data.select(*names)
+        state_schema = T.StructType([*[data.schema[name] for name in keys], T.StructField("_state", T.ArrayType(T.DoubleType()))])
+        cold = np.asarray(start, dtype=float)
+        rows = data.withColumn("_state", F.lit(None).cast("array<double>"))
+        if states is not None:
+            if not self.key:
+                states = states.withColumn("_all", F.lit(0))
+            # positions start at 1, so a warm state comes first
+            empty = [F.lit(0).cast(data.schema[n].dataType).alias(n) if n == pos else F.lit(None).cast(data.schema[n].dataType).alias(n) for n in names if n not in keys]
+            rows = rows.unionByName(states.select(*keys, *empty, F.col("_state").cast("array<double>").alias("_state")))
+        ordered = rows.repartition(shuffle_tasks(data), *keys).sortWithinPartitions(*keys, pos)
+        whole = [f.name for f in data.schema.fields if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))]
+
+        def walk(batches, want_rows: bool):
+            last, state = None, cold
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                done: list[Group] = []
+                ended: list[tuple] = []
+                for key, a, b in key_runs(pdf, keys):
+                    if last != (key,):
+                        if last is not None:
+                            ended.append((*last[0], state))
+                        last, state = (key,), cold
+                    part = pdf.iloc[a:b]
+                    warm = part["_state"].notna()
+                    if warm.any():
+                        state = np.asarray(part["_state"][warm].iloc[0], dtype=float)
+                        part = part[~warm].astype({n: "int64" for n in whole if n not in keys and not part[~warm][n].isna().any()})
+                    if len(part):
+                        out, state = step(arrays(part[names]), state)
+                        done.append(out)
+                if want_rows and done:
+                    yield frame(done)
+                elif not want_rows and ended:
+                    yield pd.DataFrame(ended, columns=[*keys, "_state"])
+            if not want_rows and last is not None:
+                yield pd.DataFrame([(*last[0], state)], columns=[*keys, "_state"])
+
+        out = ordered.mapInPandas(lambda batches: walk(batches, True), schema)
+        ends = ordered.mapInPandas(lambda batches: walk(batches, False), state_schema)
+        return out, ends if self.key else ends.drop("_all")
 
 
 def place(
