@@ -80,6 +80,36 @@ def difference(spark, sf):
     return out.select("user_id", "shot", "role", "chk", "event")
 
 
+@query(
+    "s04_load_snapshots",
+    """WITH e AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS shot, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events WHERE event_type = 'click')
+    SELECT shot, CAST(i AS INT) AS position, CAST((k >> CAST(i AS INT)) & 1 AS INT) AS bit FROM e, range(7) r(i)""",
+)
+def load_snapshots(spark, sf):
+    """Snapshot files written from the events, one entry per type, read back through the operator."""
+    folder = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    bits = V.events(spark, sf).select("event_type", "event_id", unpack(F.from_json("props", "k bigint")["k"], 7).alias("bits"))
+    shots = bits.groupBy("event_type").agg(F.sort_array(F.collect_list(F.struct("event_id", "bits"))).alias("shots"))
+    entry = shots.select(
+        F.create_map(F.lit("logical_state"), "event_type").alias("metadata"), F.create_map(F.lit("checks"), F.col("shots.bits")).alias("per_shot_cregs")
+    )
+    entry.write.option("maxRecordsPerFile", 1).json(folder)
+    return tables.load_snapshots(spark, folder, "click", ["checks"])["checks"]
+
+
+@query(
+    "s05_load_outcomes",
+    """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS shot, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS bit FROM orders
+    QUALIFY shot >= 100""",
+)
+def load_outcomes(spark, sf):
+    """0/1 lines written from the orders in order of their key, read back from line 100 on."""
+    folder = f"{shared_folder(spark)}/outcomes-{uuid.uuid4().hex}"
+    lines = V.table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "1").otherwise("0").alias("value"))
+    lines.orderBy("o_orderkey").select("value").write.text(folder)
+    return tables.load_outcomes(spark, folder, start=100)
+
+
 @query(
     "s07_shot_index",
     V.sql(
@@ -177,11 +207,19 @@ def round_trip(spark, sf):
     return part.join(price, "o_orderpriority")
 
 
-@query("s13_file_manifest")
+@query(
+    "s13_file_manifest",
+    """WITH l AS (SELECT o_custkey % 8 AS shard, o_orderkey || ' ' || o_orderstatus || chr(10) AS line, o_orderkey FROM orders)
+    SELECT CAST(sum(length(line)) AS BIGINT) AS bytes, sha256(string_agg(line, '' ORDER BY o_orderkey)) AS sha256 FROM l GROUP BY shard""",
+)
 def manifest(spark, sf):
-    """Bytes and SHA-256 of the files a sink wrote from the orders table."""
+    """Bytes and SHA-256 of eight text files that a sink wrote from the orders table."""
     folder = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
-    tables.write_table(V.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), folder)
+    lines = V.table(spark, sf, "orders").select(
+        (F.col("o_custkey") % 8).alias("shard"), F.concat_ws(" ", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("value"), "o_orderkey"
+    )
+    placed = lines.repartition(8, "shard").sortWithinPartitions("shard", "o_orderkey").select("shard", "value")
+    placed.write.partitionBy("shard").text(folder)
     return tables.file_manifest(spark, folder).select("bytes", "sha256")
 
 

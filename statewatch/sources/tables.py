@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statewatch.functions.arrays import finite
+from statewatch.plans.durable import durable
 from statewatch.plans.guards import require
+from statewatch.plans.ordering import place as ordering_place
 
 
 def labelled(df: DataFrame, features: Sequence[str] | Column, label: str, id: str) -> DataFrame:
@@ -69,15 +71,21 @@ def load_snapshots(
 def load_outcomes(
     spark: SparkSession, path: str, start: int = 0, stop: int | None = None, expected: int | None = None
 ) -> DataFrame:
-    """``(shot, bit)`` for lines ``[start, stop)`` of a 0/1 text file.
+    """``(shot, bit)`` for lines ``[start, stop)`` of a 0/1 text file, or of a folder of them in order of their names.
 
-    Line numbers come from per-partition counts (``zipWithIndex``), so a large file is read in
-    parallel. Only the requested slice is validated.
+    Lines are numbered inside the block of a file that a task reads; a short table with the lines of each block gives the number of
+    the first. Only the requested slice is validated.
     """
-    lines = spark.sparkContext.textFile(path).zipWithIndex().map(lambda p: (p[1], p[0]))
-    df = spark.createDataFrame(lines, "shot bigint, line string")
-    if expected is not None and df.count() != expected:
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    lines = spark.read.text(path).select(F.col("value").alias("line"), *place, F.monotonically_increasing_id().alias("_at"))
+    lines = durable(lines, "lines")  # the numbers hold for what has been written
+    blocks = lines.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    placed = ordering_place(blocks, [], ["_file", "_block"], "_k").running(_upto=("sum", F.col("_lines"))).rows()
+    counted = durable(placed, "blocks")
+    if expected is not None and (counted.agg(F.sum("_lines")).first()[0] or 0) != expected:
         raise ValueError(f"expected {expected} outcome lines")
+    joined = lines.join(counted.drop("_k"), ["_file", "_block"])
+    df = joined.select((F.col("_upto") - F.col("_lines") + F.col("_at") - F.col("_first")).alias("shot"), "line")
     if start:
         df = df.where(F.col("shot") >= start)
     if stop is not None:
