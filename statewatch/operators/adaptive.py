@@ -50,19 +50,23 @@ def witness_scores(
         if (size <= 1e-15).any():
             raise ValueError("a zero vector has no state")
         x = x / size
-        rows = []
-        for i in np.flatnonzero(~warm):
-            past = x[max(0, i - window) : i]
-            if not len(past):
-                rows.append((0.0, 0.0, 0))
-                continue
-            values, vectors = np.linalg.eigh(past.T @ past / len(past) - rho0)
-            chosen = np.flatnonzero(values > tolerance)[::-1][: None if rank is None else rank]
-            basis = vectors[:, chosen]
-            seen = float(((x[i] @ basis) ** 2).sum())
-            expected = float(np.einsum("ik,ij,jk->", basis, rho0, basis))
-            rows.append((seen - expected, float(values[chosen].sum()), len(chosen)))
-        score, contrast, found = zip(*rows, strict=True) if rows else ((), (), ())
+        # the rows before each row, with zero rows before the first
+        past = np.lib.stride_tricks.sliding_window_view(np.vstack([np.zeros((window, x.shape[1])), x]), window, axis=0)
+        own = np.flatnonzero(~warm)
+        score, contrast, found = np.zeros(len(own)), np.zeros(len(own)), np.zeros(len(own), np.int32)
+        for a in range(0, len(own), 1024):  # one batched eigenproblem for so many rows
+            at = own[a : a + 1024]
+            known = np.minimum(at, window)
+            gram = past[at] @ past[at].transpose(0, 2, 1) / np.maximum(known, 1)[:, None, None]
+            values, vectors = np.linalg.eigh(gram - rho0)
+            chosen = (values > tolerance) & (known > 0)[:, None]
+            if rank is not None:
+                chosen[:, : max(0, chosen.shape[1] - rank)] = False
+            seen = np.einsum("nd,ndk->nk", x[at], vectors) ** 2
+            expected = np.einsum("ndk,ndk->nk", vectors, rho0 @ vectors)
+            score[a : a + 1024] = ((seen - expected) * chosen).sum(axis=1)
+            contrast[a : a + 1024] = (values * chosen).sum(axis=1)
+            found[a : a + 1024] = chosen.sum(axis=1)
         return {**{n: g[n][~warm] for n in [*key, "t"]}, "score": score, "contrast": contrast, "rank": found}
 
     return placed.scan(schema, ["_x"], apply, np.zeros(1), before=window)

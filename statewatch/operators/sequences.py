@@ -232,17 +232,36 @@ def page_cusum(
 ) -> DataFrame:
     """Two-sided ``S <- max(0, S +- x - kappa)`` per channel, restarted at each key; score = largest.
 
-    ``S_t = P_t - min(0, min P)`` with P the running sum, so two running windows do it.
+    With P the running sum of a block that starts in S, ``S_t = P_t - min(-S, min P)``: two cumulative array operations for all channels,
+    margins and sides at once. A block is summed up by its total and its smallest P, so long keys run in parallel.
     """
-    placed = place(df, key, order, rows_per_block=rows_per_block, longest=longest)
-    tracks = [(c, k, s, f"{i}_{j}_{n}") for i, c in enumerate(channels) for j, k in enumerate(kappas) for n, s in (("p", 1), ("n", -1))]
-    placed = placed.running(**{f"_P{n}": ("sum", F.lit(float(s)) * F.col(c) - F.lit(float(k))) for c, k, s, n in tracks})
-    placed = placed.running(**{f"_M{n}": ("min", F.col(f"_P{n}")) for *_, n in tracks})
-    value = {n: F.col(f"_P{n}") - F.least(F.lit(0.0), F.col(f"_M{n}")) for *_, n in tracks}
-    side = lambda x: F.greatest(F.lit(0.0), *[v for n, v in value.items() if n.endswith(x)])
-    rows = placed.rows().withColumns({"positive": side("p"), "negative": side("n")})
-    rows = rows.withColumn("cusum", F.greatest("positive", "negative"))
-    return rows.drop(*[f"{a}{n}" for *_, n in tracks for a in ("_P", "_M")])
+    margins = np.array(kappas, dtype=float)
+    names = [c for c in df.columns if c != "t"]
+    inputs = [f"_x{i}" for i in range(len(channels))]
+    rows = df.select(*names, *[F.col(c).cast("double").alias(n) for c, n in zip(channels, inputs, strict=True)])
+    placed = place(rows, key, order, rows_per_block=rows_per_block, longest=longest, spread=True)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in names)
+    size = 2 * len(channels) * len(margins)
+
+    def paths(g: Group) -> np.ndarray:
+        x = np.stack([np.asarray(g[n], dtype=float) for n in inputs], axis=1)[:, :, None]
+        return np.cumsum(np.concatenate([(x - margins).reshape(len(x), -1), (-x - margins).reshape(len(x), -1)], axis=1), axis=0)
+
+    def apply(g: Group, state: np.ndarray) -> Group:
+        total = paths(g)
+        level = total - np.minimum(-state, np.minimum.accumulate(total, axis=0))
+        up, down = level[:, : size // 2].max(axis=1), level[:, size // 2 :].max(axis=1)
+        return {**{n: g[n] for n in [*names, "t"]}, "positive": up, "negative": down, "cusum": np.maximum(up, down)}
+
+    def summarize(g: Group) -> np.ndarray:
+        total = paths(g)
+        return np.concatenate([total[-1], total.min(axis=0)])
+
+    def combine(state: np.ndarray, summary: np.ndarray) -> np.ndarray:
+        return summary[:size] - np.minimum(-state, summary[size:])
+
+    schema = fields + ", t bigint, positive double, negative double, cusum double"
+    return placed.scan(schema, [*names, *inputs], apply, np.zeros(size), summarize, combine)
 
 
 # ---------------------------------------------------------------- two-state chains
