@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from statewatch.catalog import views as V
 from statewatch.catalog.detector_queries import FROZEN, SIGNED, SR_BETS, sr_sql
 from statewatch.catalog.registry import query
-from statewatch.streaming import eprocess_kernel, run_to_table, sr_kernel, stream_detector
+from statewatch.streaming import cusum_kernel, eprocess_kernel, factor_kernel, run_to_table, sr_kernel, stream_detector
 
 
 def event_stream(spark, sf):
@@ -47,3 +47,56 @@ def eprocess_stream(spark, sf):
         "user_id bigint, t bigint, stat double, alarm boolean",
     )
     return run_to_table(out).withColumn("stat", V.r6(F.col("stat")))
+
+
+@query(
+    "t07_ratio_sr_stream",
+    V.sql(
+        V.SCORE,
+        """bt(b) AS (VALUES (0.5::DOUBLE), (1.0::DOUBLE))""",
+        """lg AS (SELECT user_id, t, b, b * s - b * b / 8 AS l, sum(b * s - b * b / 8) OVER (PARTITION BY user_id, b ORDER BY t) AS c FROM score, bt)""",
+        """ac AS (SELECT user_id, t, b, exp(c) * sum(exp(l - c)) OVER (PARTITION BY user_id, b ORDER BY t) AS a FROM lg)""",
+        """sm AS (SELECT user_id, t, avg(a) AS v FROM ac GROUP BY ALL)""",
+        FROZEN,
+        body="SELECT user_id, t, round(v, 5) AS stat, alarm_time FROM fz",
+    ),
+)
+def ratio_stream(spark, sf):
+    rows = event_stream(spark, sf).withColumn("_f", F.array(*[F.exp(b * F.col("_s") - b * b / 8) for b in (0.5, 1.0)]))
+    step, start = factor_kernel(["user_id"], [0.5, 0.5], 60.0, True)
+    out = stream_detector(rows, ["user_id"], "ts", ["ts", "event_id"], ["_f"], step, start, "user_id bigint, t bigint, stat double, alarm boolean, alarm_time bigint")
+    return run_to_table(out).select("user_id", "t", V.r6(F.col("stat"), 5).alias("stat"), "alarm_time")
+
+
+@query(
+    "t16_sr_bank_stream",
+    V.sql(
+        V.SCORE, sr_sql(SIGNED),
+        """fa AS (SELECT user_id, min(t) AS alarm_at FROM sm WHERE v >= 60 GROUP BY 1)""",
+        body="SELECT user_id, t, round(v, 4) AS stat, coalesce(t >= alarm_at, false) AS alarm, CASE WHEN t >= alarm_at THEN alarm_at END AS alarm_time FROM sm LEFT JOIN fa USING (user_id)",
+    ),
+)
+def bank_stream(spark, sf):
+    rows = event_stream(spark, sf).withColumn("_f", F.array(*[1.0 + F.lit(float(b)) * F.col("_s") for b in SIGNED]))
+    step, start = factor_kernel(["user_id"], [0.25] * 4, 60.0, False)
+    out = stream_detector(rows, ["user_id"], "ts", ["ts", "event_id"], ["_f"], step, start, "user_id bigint, t bigint, stat double, alarm boolean, alarm_time bigint")
+    return run_to_table(out).withColumn("stat", V.r6(F.col("stat"), 4))
+
+
+@query(
+    "t17_page_cusum_stream",
+    V.sql(
+        V.SCORE,
+        """kp(kp) AS (VALUES (0.01), (0.05), (0.1))""",
+        """ps AS (SELECT user_id, t, kp, sum(s - kp) OVER w AS pp, sum(-s - kp) OVER w AS pn FROM score, kp WINDOW w AS (PARTITION BY user_id, kp ORDER BY t))""",
+        """mn AS (SELECT *, pp - least(0, min(pp) OVER w) AS sp, pn - least(0, min(pn) OVER w) AS sn FROM ps WINDOW w AS (PARTITION BY user_id, kp ORDER BY t))""",
+        body="SELECT user_id, t, round(max(sp), 6) + 0.0 AS positive, round(max(sn), 6) + 0.0 AS negative, round(greatest(max(sp), max(sn)), 6) + 0.0 AS cusum FROM mn GROUP BY ALL",
+    ),
+)
+def cusum_stream(spark, sf):
+    step, start = cusum_kernel(["user_id"], (0.01, 0.05, 0.1))
+    out = stream_detector(
+        event_stream(spark, sf), ["user_id"], "ts", ["ts", "event_id"], ["_s"], step, start,
+        "user_id bigint, t bigint, positive double, negative double, cusum double",
+    )
+    return run_to_table(out).select("user_id", "t", *[V.r6(F.col(c)).alias(c) for c in ("positive", "negative", "cusum")])

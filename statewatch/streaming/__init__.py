@@ -1,6 +1,6 @@
-"""Structured Streaming forms of the ordered detectors."""
+"""Stateful detectors on Structured Streaming."""
 
+from statewatch.streaming.kernels import cusum_kernel, eprocess_kernel, factor_kernel, sr_kernel
 from statewatch.streaming.ordered import late_rows, run_to_table, stream_detector
-from statewatch.streaming.kernels import eprocess_kernel, sr_kernel
 
-__all__ = ["eprocess_kernel", "late_rows", "run_to_table", "sr_kernel", "stream_detector"]
+__all__ = ["cusum_kernel", "eprocess_kernel", "factor_kernel", "late_rows", "run_to_table", "sr_kernel", "stream_detector"]
