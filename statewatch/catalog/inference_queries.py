@@ -29,24 +29,10 @@ def counts(spark, sf):
     return V.events(spark, sf).groupBy("event_type").agg(F.count_if(F.col("value") > 100).alias("k"), F.count(F.lit(1)).alias("n"))
 
 
-def tail_sql(x: str, n: str, p: str) -> str:
-    """P(X <= x) of a binomial."""
-    return f"list_sum(list_transform(range(0, {x} + 1), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p}) + ({n} - i) * ln(1 - {p}))))"
-
-
-def clopper_sql(source: str, k: str, n: str, keep: str) -> str:
-    """``bi`` holds ``keep`` with 95 % ``low`` and ``high``, both halved 50 times. The tail falls as p grows."""
-    return f"""bi0 AS (SELECT *, {k} AS k_, {n} AS n_ FROM {source}),
-    bi1 AS (SELECT {keep}, k_, n_, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, 0.0::DOUBLE AS c, 1.0::DOUBLE AS d, 0 AS turn FROM bi0
-      UNION ALL SELECT {keep}, k_, n_, CASE WHEN coalesce({tail_sql("k_ - 1", "n_", "((a + b) / 2)")}, 0) > 0.975 THEN (a + b) / 2 ELSE a END, CASE WHEN coalesce({tail_sql("k_ - 1", "n_", "((a + b) / 2)")}, 0) > 0.975 THEN b ELSE (a + b) / 2 END,
-        CASE WHEN {tail_sql("k_", "n_", "((c + d) / 2)")} > 0.025 THEN (c + d) / 2 ELSE c END, CASE WHEN {tail_sql("k_", "n_", "((c + d) / 2)")} > 0.025 THEN d ELSE (c + d) / 2 END, turn + 1 FROM bi1 WHERE turn < 50),
-    bi AS (SELECT {keep}, k_ AS k, n_ AS n, CASE WHEN k_ = 0 THEN 0.0 ELSE (a + b) / 2 END AS low, CASE WHEN k_ = n_ THEN 1.0 ELSE (c + d) / 2 END AS high FROM bi1 WHERE turn = 50)"""
-
-
 @query(
     "i01_clopper_pearson",
     f"""WITH RECURSIVE c AS (SELECT event_type, count(*) FILTER (WHERE value > 100) AS k, count(*) AS n FROM events GROUP BY 1),
-    {clopper_sql("c", "k", "n", "event_type")} SELECT event_type, k, n, round(low, 7) AS lower, round(high, 7) AS upper FROM bi""",
+    {V.clopper_sql("c", "k", "n", "event_type")} SELECT event_type, k, n, round(low, 7) AS lower, round(high, 7) AS upper FROM bi""",
 )
 def clopper(spark, sf):
     out = counts(spark, sf).withColumn("i", I.clopper_pearson("k", "n"))

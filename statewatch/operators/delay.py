@@ -86,19 +86,23 @@ def delay_summary(rows: DataFrame, key: Sequence[str] = KEYS) -> DataFrame:
 def alarm_summary(runs: DataFrame) -> DataFrame:
     """False alarms with a 97.5 % upper bound, detection rate and median delay of detected streams.
 
+    An alarm of a change stream up to the change itself detects nothing; it counts in ``early_alarms``.
+
     ``runs``: regime ('null' or 'change'), alarm_time (NULL = none), change_time.
     """
     null, changed = F.col("regime") == "null", F.col("regime") == "change"
     alarm = F.col("alarm_time").isNotNull()
+    early = changed & alarm & (F.col("alarm_time") <= F.col("change_time"))
+    found = changed & alarm & ~early
     counts = runs.agg(
         F.count_if(null).alias("null_streams"), F.count_if(null & alarm).alias("false_alarms"),
-        F.count_if(changed).alias("change_streams"), F.count_if(changed & alarm).alias("detections"),
+        F.count_if(changed).alias("change_streams"), F.count_if(found).alias("detections"), F.count_if(early).alias("early_alarms"),
     )
-    delays = runs.where(changed & alarm).withColumn("_d", (F.col("alarm_time") - F.col("change_time")).cast("double"))
+    delays = runs.where(found).withColumn("_d", (F.col("alarm_time") - F.col("change_time")).cast("double"))
     middle = quantiles(delays, [], "_d", {"median_delay": 0.5})
     bound = clopper_pearson("false_alarms", "null_streams", 0.95)
     return counts.withColumn("_b", bound).crossJoin(F.broadcast(middle)).select(  # one row each
         "null_streams", "false_alarms", (F.col("false_alarms") / F.col("null_streams")).alias("false_alarm_rate"),
         F.col("_b.upper").alias("false_alarm_upper"), "change_streams", (F.col("detections") / F.col("change_streams")).alias("detection_rate"),
-        "median_delay",
+        "early_alarms", "median_delay",
     )
