@@ -13,7 +13,7 @@ from statewatch.functions.arrays import doubles
 from statewatch.functions.learners import logistic_step, smoothing, spectral_effects, top_k_scores
 from statewatch.operators.sequences import START, _mixture, _weights
 from statewatch.plans import longest_group, place, require
-from statewatch.plans.ordering import Group
+from statewatch.plans.ordering import Group, block_rows
 
 GEOMETRIC_BETS = [0.01 * 99 ** (i / 19) for i in range(20)]  # 0.01 .. 0.99
 
@@ -158,9 +158,10 @@ def ewma_spectral(
     trace norm at most two.
     """
     alpha = smoothing(half_life)
-    placed = place(df.withColumn("_x", doubles(delta)), key, order, rows_per_block=rows_per_block, spread=True)
-    if placed.blocked and placed.rows_per_block % stride:
-        raise ValueError("rows_per_block must be a multiple of stride")
+    if stride < 1:
+        raise ValueError("stride must be positive")
+    # a block starts where the effects are refitted
+    placed = place(df.withColumn("_x", doubles(delta)), key, order, rows_per_block=block_rows(rows_per_block, stride), spread=True)
     key = list(key)
     schema = "".join(f"{_names(df, [k])}, " for k in key) + "t bigint, rank_one double, positive double"
 

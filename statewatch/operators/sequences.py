@@ -21,7 +21,7 @@ from statewatch.functions.likelihood import TemplateModel
 from statewatch.plans import Placed, place, require
 from statewatch.plans.durable import durable
 from statewatch.plans.guards import null_safe
-from statewatch.plans.ordering import Group
+from statewatch.plans.ordering import Group, block_rows
 
 SAFE_LOG = 600.0
 START = 6.0 / math.pi**2
@@ -267,12 +267,6 @@ def page_cusum(
 # ---------------------------------------------------------------- two-state chains
 
 
-def _blocks_of_two(placed: Placed) -> Placed:
-    if placed.blocked and placed.rows_per_block % 2:
-        raise ValueError("rows_per_block must be even")
-    return placed
-
-
 def hmm_increments(
     df: DataFrame, key: Sequence[str], order: Sequence[str], bits: str, model: TemplateModel, q: float, kappa: float,
     rows_per_block: int | None = None, check: bool = True, longest: int | None = None,
@@ -285,7 +279,7 @@ def hmm_increments(
     counts = model.counts(bits)
     rows = df.withColumn("_g", counts)
     rows = rows.withColumns({"_e1": model.conditional(F.col("_g"), 1), "_e2": model.conditional(F.col("_g"), 2), "_n": model.loglik(F.col("_g"), q)})
-    placed = _blocks_of_two(place(rows.drop("_g"), key, order, rows_per_block=rows_per_block, longest=longest, spread=True))
+    placed = place(rows.drop("_g"), key, order, rows_per_block=block_rows(rows_per_block, 2), longest=longest, spread=True)
     step = np.array(model.transition(q, kappa))
     start = np.array([1 - q, q])
     names, pos = list(placed.key), placed.pos

@@ -25,6 +25,12 @@ from statewatch.plans.guards import null_safe
 ROWS_PER_BLOCK = 96_000
 
 
+def block_rows(rows_per_block: int | None, multiple: int) -> int:
+    """A block size near ``rows_per_block`` that ``multiple`` divides."""
+    size = rows_per_block or ROWS_PER_BLOCK
+    return max(multiple, size - size % multiple)
+
+
 def longest_group(df: DataFrame, key: Sequence[str]) -> int:
     """Rows of the largest key: a partial count per key and a maximum."""
     if not key:
@@ -155,8 +161,8 @@ class Placed:
     def look_back(self, before: int, build: Callable[[WindowSpec], dict[str, Column]]) -> Placed:
         """Add window columns that reach at most ``before`` rows back.
 
-        In blocked mode the last ``before`` rows of a block are also sent to the next block, so
-        a frame never needs a row that another task holds.
+        In blocked mode the ``before`` rows ahead of a block are also sent to it, from as many blocks as they
+        span, so a frame never needs a row that another task holds.
         """
         if not self.blocked:
             return self.with_columns(build(self.window()))
@@ -166,12 +172,9 @@ class Placed:
         return self.with_df(out.drop("_home"))
 
     def _with_halo(self, before: int) -> DataFrame:
-        size = self.rows_per_block
-        if before > size:
-            raise ValueError("a frame may not be longer than a block")
-        near_end = F.pmod(F.col(self.pos) - 1, F.lit(size)) >= size - before
-        homes = F.when(near_end, F.array("_blk", F.col("_blk") + 1)).otherwise(F.array("_blk"))
-        return self.df.withColumn("_home", F.explode(homes))
+        """Rows with the blocks (``_home``) that need them: their own, and those that begin at most ``before`` rows later."""
+        last = F.floor((F.col(self.pos) - 1 + before) / self.rows_per_block).cast("bigint")
+        return self.df.withColumn("_home", F.explode(F.sequence(F.col("_blk"), last)))
 
     def scan(
         self,

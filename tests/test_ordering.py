@@ -64,3 +64,32 @@ def test_fold_carries_state_across_blocks_and_runs(stream):
         resumed, after = run(tail, size, run(head, None)[1])
         assert {r.k: r._state[0] for r in after.collect()} == pytest.approx(ends)
         assert by_key(resumed, "c")[0][-1] == pytest.approx(ends[0])
+
+
+def test_a_frame_may_span_several_blocks(spark):
+    rows = spark.createDataFrame([(0, t, float(t % 7)) for t in range(60)] + [(1, t, 1.0) for t in range(3)], "k int, t0 int, x double")
+    wide = lambda w: {"s": F.sum("x").over(w.rowsBetween(-24, 0))}
+    short = {(r.k, r.t): r.s for r in place(rows, ["k"], ["t0"]).look_back(24, wide).rows().collect()}
+    long = {(r.k, r.t): r.s for r in place(rows, ["k"], ["t0"], rows_per_block=7).look_back(24, wide).rows().collect()}
+    assert short == long and len(short) == 63
+
+
+def test_learners_stream_through_a_long_key(spark):
+    """A key that takes many Arrow batches, cold and warm, against a plain loop."""
+    n = 25_000
+    rows = spark.range(n).select((F.col("id") % 3 == 2).cast("int").alias("k"), F.col("id").alias("t0"), (F.col("id") % 11).cast("double").alias("x"))
+
+    def step(g, state):
+        total = np.cumsum(g["x"]) + state[0]
+        return {"k": g["k"], "t": g["t"], "s": total}, np.array([total[-1]])
+
+    warm = spark.createDataFrame([(0, [5.0]), (9, [1.0])], "k int, _state array<double>")
+    placed = place(rows, ["k"], ["t0"], spread=True)
+    for states, first in ((None, 0.0), (warm, 5.0)):
+        out, ends = placed.fold("k int, t bigint, s double", ["x"], step, np.zeros(1), states)
+        last = {r.k: r.s for r in out.groupBy("k").agg(F.max_by("s", "t").alias("s")).collect()}
+        want = {k: sum(float(i % 11) for i in range(n) if (i % 3 == 2) == bool(k)) for k in (0, 1)}
+        want[0] += first
+        assert last == want and out.count() == n
+        ended = {r.k: r["_state"][0] for r in ends.collect()}
+        assert {k: ended[k] for k in (0, 1)} == want and ended.get(9) == (None if states is None else 1.0)
