@@ -341,7 +341,7 @@ def probabilities(spark, sf):
 @query("c19_spectral_rule")
 def spectral_rule(spark, sf):
     rows = V.vec(spark, sf)
-    model = DensityClassifier(64, decision_rule="spectral", random_starts=0, max_sweeps=5).fit(rows)
+    model = DensityClassifier(64, decision_rule="spectral", random_starts=0, max_sweeps=10).fit(rows)
     return model.transform(rows).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -418,7 +418,7 @@ def scalar_readout(spark, sf):
 @query("c25_baseline_suite")
 def suite(spark, sf):
     rows = V.vec2(spark, sf).select((F.col("label") == "O").cast("int").alias("cls"), "x")
-    out = baseline_suite(rows, rows, "x", "cls", 2, trees=20, rounds=5)
+    out = baseline_suite(rows, rows, "x", "cls", 2)
     return out.groupBy("method", "cls", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
