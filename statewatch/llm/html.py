@@ -332,8 +332,11 @@ def render(root: Node) -> str:
                 continue
             if tag in VOID:
                 continue
+            children = node.children
+            if tag == "details" and node.attribute("open") is None:  # closed: only its summary shows
+                children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
             work.append((node, True))
-            work.extend((child, False) for child in reversed(node.children))
+            work.extend((child, False) for child in reversed(children))
             if tag == "table":
                 canvas.block(1)
                 grids.append(Grid())

@@ -209,6 +209,7 @@ PAGES = {
     "<dl><dt>t<dd>d</dl><a title='a>b' href=x>link</a> 5 < 6 &copy;": "t\n    d\n\nlink 5 < 6 ©",
     "<!-- no --><p>x<!-- > --> y</p></p>": "x y",
     "<h1>H</h1>text<hr>more": "H\n\ntext\n\n---\n\nmore",
+    "<details><summary>more</summary>no</details><details open><summary>all</summary>yes</details>": "more\nall\nyes",
     "": "",
     "no tags   at all": "no tags at all",
     "<b>open <i>never closed": "open never closed",
