@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import string
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,3 +133,25 @@ def frequent_bound(counts: DataFrame, most: int) -> int:
             break
         kept, bound = kept + k, step
     return int(bound)
+
+
+def hashed_sample(df: DataFrame, hash: Column, rows: int, most: int) -> DataFrame:
+    """About ``most`` of the ``rows`` rows of ``df``, and never more than twice as many: those whose 64-bit hash lies below the share that is
+    wanted. Nothing is sorted, and the choice does not depend on the partitions."""
+    share = most / max(rows, 1)
+    if share >= 1.0:
+        return df
+    return df.where(hash < F.lit(int(-(2**63) + share * 2.0**64))).limit(2 * most)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While an action runs inside, Arrow batches hold at most ``rows`` rows: whole texts are large rows, and a batch is held on both sides of
+    the pipe. The session's own setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statewatch.llm.common import frequent_bound, plain, slices
+from statewatch.llm.common import arrow_rows, frequent_bound, hashed_sample, plain, slices
 from statewatch.plans.durable import durable
 
 SYMBOLS = 256
@@ -29,7 +29,7 @@ WIDTH = 16
 #: Words before the predicted one that form its bag context; the two nearest also count by position.
 BAG = 16
 #: Noise words for each batch, and positions in a batch.
-NOISE, BATCH = 48, 8192
+NOISE, BATCH = 48, 4096
 #: Most words whose counts are shipped to the tasks.
 FREQUENT = 524_288
 BLANK = np.zeros(256, bool)
@@ -116,20 +116,37 @@ def predicted(model: Bilinear, symbols: np.ndarray, p1: np.ndarray, p2: np.ndarr
     return model.near[p1] + model.far[p2] + bag.astype(np.float32)
 
 
-def log_probabilities(model: Bilinear, symbols: np.ndarray, first: np.ndarray, rows: int = 2048) -> np.ndarray:
-    """Natural log of each symbol's probability after its context, normalised over all symbols by a batched product."""
+def log_probabilities(model: Bilinear, symbols: np.ndarray, first: np.ndarray, piece: int = 8192) -> np.ndarray:
+    """Natural log of each symbol's probability after its context. Long runs go by pieces, with the words of the bag before each."""
+    parts = []
+    for a in range(0, len(symbols), piece):
+        halo = min(a, BAG)
+        parts.append(piece_log_probabilities(model, symbols[a - halo : a + piece], first[a - halo : a + piece])[halo:])
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
+def piece_log_probabilities(model: Bilinear, symbols: np.ndarray, first: np.ndarray, rows: int = 1024) -> np.ndarray:
+    """The same for one piece, normalised over all symbols by a batched product."""
     result = np.empty(len(symbols))
     p1, p2, low = contexts(symbols, first)
-    context = predicted(model, symbols, p1, p2, low)
-    output = np.ascontiguousarray(model.out.T)
+    # a column of ones brings the bias into the product
+    context = np.ones((len(symbols), WIDTH + 1), np.float32)
+    context[:, :WIDTH] = predicted(model, symbols, p1, p2, low)
+    output = np.ascontiguousarray(np.vstack([model.out.T, model.bias]))
+    ones = np.ones(SYMBOLS, np.float32)
+    longest = float(np.sqrt(np.einsum("ij,ij->i", context, context).max(initial=0.0)) * np.sqrt((output**2).sum(axis=0).max()))
+    logits = np.empty((rows, SYMBOLS), np.float32)
     for a in range(0, len(symbols), rows):
-        logits = context[a : a + rows] @ output
-        logits += model.bias
-        own = logits[np.arange(len(logits)), symbols[a : a + rows]]
-        top = float(logits.max())
-        logits -= top
-        np.exp(logits, out=logits)
-        result[a : a + rows] = own.astype(np.float64) - top - np.log(logits.sum(axis=1, dtype=np.float32).astype(np.float64))
+        part = context[a : a + rows]
+        block = logits[: len(part)]
+        np.matmul(part, output, out=block)
+        own = block[np.arange(len(part)), symbols[a : a + rows]].astype(np.float64)
+        if longest > 60.0:  # exp could overflow
+            top = block.max(axis=1, keepdims=True)
+            block -= top
+            own -= top[:, 0]
+        np.exp(block, out=block)
+        result[a : a + rows] = own - np.log((block @ ones).astype(np.float64))
     return result
 
 
@@ -277,10 +294,11 @@ def learn_vocabulary(counts: DataFrame, frequent: int) -> tuple[Vocabulary, Data
 
 
 def warm_up(docs: DataFrame, vocabulary: Vocabulary, sample: int, most: int = 2_000_000) -> Bilinear:
-    """Starting point of the distributed pass: a fit on the texts of a bounded sample (by hash of the text; ``most`` words)."""
+    """Starting point of the distributed pass: a fit on the texts of a bounded sample (by hash), over about ``most`` words."""
     model = Bilinear.start(vocabulary.symbols)
     trainer = Trainer(model, vocabulary.symbols, 0.1, 1)
-    picked = docs.select("text").orderBy(F.xxhash64("text")).limit(sample).toArrow().combine_chunks()
+    texts = int(vocabulary.symbols[0])
+    picked = hashed_sample(docs, F.xxhash64("id", "text"), texts, sample).select("text").toArrow().combine_chunks()
     if not picked.num_rows:
         return model
     symbols, first, *_ = vocabulary.read(pa.concat_arrays(picked["text"].chunks))
@@ -325,11 +343,12 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", learn:
     (but by ``learn``). Texts are read whole.
     """
     source = docs.select(F.col(id).alias("id"), plain(text).alias("text"), (F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))).alias("learn"))
-    training = source.where("learn").select("text")
+    training = source.where("learn").select("id", "text")
     counts = count_words(training).withColumn("step", F.floor(F.log2("n") * 8 + 1e-9))
-    counts = durable(counts, "counts")
-    vocabulary, rest = learn_vocabulary(counts, frequent)
-    model = fit(training, vocabulary, sample)
+    with arrow_rows(docs.sparkSession):
+        counts = durable(counts, "counts")
+        vocabulary, rest = learn_vocabulary(counts, frequent)
+        model = fit(training, vocabulary, sample)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model.flat()))
     schema = T.StructType(
         [
@@ -365,7 +384,8 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", learn:
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     numbered = source.select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    scored = durable(numbered.mapInArrow(run, schema), "scored")
+    with arrow_rows(docs.sparkSession):
+        scored = durable(numbered.mapInArrow(run, schema), "scored")
     words = scored.select("row", F.explode("rare").alias("word")).join(rest, "word")
     found = words.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count("*").alias("also"))
     joined = scored.drop("rare").join(found, "row", "left")
