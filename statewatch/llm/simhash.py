@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statewatch.llm.common import components, drop_copies, plain, row_key, slices, texts
+from statewatch.llm.common import arrow_rows, components, drop_copies, plain, row_key, slices, texts
 from statewatch.plans.durable import durable
 
 SEED = 42
@@ -197,7 +197,8 @@ def near_copies(records: DataFrame, id: str = "doc_id", text: str = "text", radi
     words are one shingle. Repeated rows and ties share a fingerprint. NULL ids belong to groups but name none unless all
     ids of a group are NULL. An empty table gives no rows. Other columns are not read. Texts are read whole.
     """
-    prints = durable(fingerprints(records, id, text), "fingerprints")
+    with arrow_rows(records.sparkSession):
+        prints = durable(fingerprints(records, id, text), "fingerprints")
     distinct = prints.groupBy(F.col("fingerprint").alias("value")).agg(F.min("id").alias("least"))
     distinct = durable(distinct, "values")
     found = components(fingerprint_links(distinct.select("value"), radius, bucket))

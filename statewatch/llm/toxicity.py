@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statewatch.llm.common import plain, slices, texts
+from statewatch.llm.common import arrow_rows, hashed_sample, plain, slices, texts
 from statewatch.plans.durable import durable
 
 #: Characters that look like a Latin letter (Cyrillic, Greek), and digits or signs that stand for one.
@@ -210,25 +210,28 @@ def fit_score(points: np.ndarray, marks: np.ndarray, ridge: float = 1e-2, steps:
 
 
 def marked_ids(docs: DataFrame, marks: DataFrame, id: str, mark: str, sample: int) -> DataFrame:
-    """``(_id, mark)`` of the rows to learn from: of each mark the ``sample`` ids that come first by hash. Only ids are shuffled."""
+    """``(_id, mark)`` of the rows to learn from: about ``sample`` ids of each mark, by hash. Only ids are shuffled."""
     known = marks.where(F.col(mark).isin(0, 1) & F.col(id).isNotNull())
     known = known.groupBy(F.col(id).alias("_id")).agg(F.min(mark).cast("int").alias("mark"), F.max(mark).alias("high")).where("mark = high").drop("high")
     ids = durable(docs.select(F.col(id).alias("_id")).distinct().join(known, "_id"), "ids")
-    return durable(reduce(DataFrame.unionByName, (ids.where(F.col("mark") == m).orderBy(F.xxhash64("_id"), "_id").limit(sample) for m in (0, 1))), "sample")
+    sizes = {r["mark"]: r["n"] for r in ids.groupBy("mark").agg(F.count("*").alias("n")).collect()}
+    picked = (hashed_sample(ids.where(F.col("mark") == m), F.xxhash64("_id"), sizes.get(m, 0), sample) for m in (0, 1))
+    return durable(reduce(DataFrame.unionByName, picked), "sample")
 
 
 def learn_lexicon(docs: DataFrame, marks: DataFrame, id: str, text: str, mark: str, candidates: int = 50_000, sample: int = 20_000, support: int = 4, least: float = 1.5) -> Lexicon:
     """Fit on rows of ``docs`` whose id has a 0/1 ``mark`` (ids marked both ways, or NULL, are left out).
 
-    It learns from at most ``sample`` ids of each mark, those that come first by hash; that bounds what is gathered, so their ids are broadcast and no text is
-    shuffled to find them. Near copies among them (equal mark and equal smallest hash of three-word shingles) teach once. First the
+    It learns from about ``sample`` ids of each mark (twice that at most), picked by hash; that bounds what is gathered, so the ids are broadcast and no
+    text is shuffled to find them. Near copies among them (equal mark and equal smallest hash of three-word shingles) teach once. First the
     terms of toxic texts are counted; the ``candidates`` most frequent are then counted in the clean texts. The intercept and
     the slopes are fitted on the same rows.
     """
-    picked = F.broadcast(marked_ids(docs, marks, id, mark, sample))  # at most twice the sample
+    picked = F.broadcast(marked_ids(docs, marks, id, mark, sample))  # at most four times the sample
     both = sketched(docs.select(F.col(id).alias("_id"), plain(text).alias("text")).join(picked, "_id"))
     both = both.select(F.col("_id").alias("id"), "text", "mark", "sketch").dropDuplicates(["mark", "sketch"])
-    both = durable(both.drop("sketch"), "marked")
+    with arrow_rows(docs.sparkSession):
+        both = durable(both.drop("sketch"), "marked")
     sizes = {r["mark"]: r["n"] for r in both.groupBy("mark").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statewatch.llm.common import components
+from statewatch.llm.common import components, hashed_sample
 from statewatch.plans.durable import durable
 
 #: Rows of a list (and queries against it) that one task compares at a time.
@@ -179,7 +179,7 @@ def found_links(spark, classes: DataFrame, least: float, probes: int, list_rows:
     sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     models: dict[int, Quantiser] = {}
     for dim, n in sizes.items():
-        taken = classes.where(F.col("dim") == dim).orderBy("node").limit(sample).select("vector").toArrow()
+        taken = hashed_sample(classes.where(F.col("dim") == dim), F.col("node"), n, sample).select("vector").toArrow()
         x = units(taken["vector"].to_pylist())
         # a fit needs some rows for each centre; sixteen are enough
         models[dim] = fit_quantiser(x, int(min(most_lists, max(1, n // list_rows), max(1, len(x) // 16))))
