@@ -20,18 +20,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statewatch.functions.arrays import let
-from statewatch.llm.common import frequent_bound, plain, slices
+from statewatch.llm.common import arrow_rows, frequent_bound, plain, slices
 from statewatch.plans.durable import durable
 
 #: The split that the rank files go with (fixed value): contractions, words, numbers, signs, white space.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Most words that are encoded once for the whole corpus and shipped to every task.
-FREQUENT = 524_288
+FREQUENT = 1_000_000
+#: Bytes of text that are encoded together.
+BLOCK = 4_000_000
 #: Longer words are merged with a heap instead of the fold, whose steps grow with the square of the length.
 LONG = 128
 SLOTS = 16_384
-NONE = 2**31 - 1
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -52,11 +53,12 @@ KINDS: list[np.ndarray] = []
 def kinds() -> np.ndarray:
     """Code point -> letter, number, white space or other."""
     if not KINDS:
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         table = np.full(0x110000, OTHER, np.uint8)
-        for kind, name in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\p{White_Space}")):
-            found = "".join(regex.findall(name, every))
-            table[np.frombuffer(found.encode("utf-32-le"), "<u4")] = kind
+        for start in range(0, 0x110000, 0x1000):
+            some = "".join(chr(c) for c in range(start, start + 0x1000) if not 0xD800 <= c < 0xE000)
+            for kind, name in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
+                found = "".join(regex.findall(name, some))
+                table[np.frombuffer(found.encode("utf-32-le"), "<u4")] = kind
         KINDS.append(table)
     return KINDS[0]
 
@@ -106,6 +108,12 @@ def starts_of(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def split_block(block: pa.RecordBatch, column: int) -> tuple[pa.Array, np.ndarray]:
+    """``split_words`` of a block, half a megabyte at a time: characters take more room while they are split."""
+    parts = [split_words(part.column(column)) for part in slices([block], column, 500_000)]
+    return pa.concat_arrays([words for words, _ in parts]), np.concatenate([sizes for _, sizes in parts])
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words of all texts as one binary array, and how many of them each text has."""
     values = [t or "" for t in texts.to_pylist()]
@@ -145,50 +153,33 @@ def literal_bytes(tokens: list[bytes]) -> Column:
 def encode_word(word: Column, table: Column, pieces: Column) -> Column:
     """``(ids, bytes)`` of a word (binary): a fold of ranked merges, and the pieces of its ids put together again.
 
-    The state is the list of pieces and the rank of each neighbouring pair. A step joins the first pair of lowest rank
-    and looks up the two pairs it changes; when no pair has a rank, a step changes nothing.
+    The state is the array of places where a piece starts, and the end. A step looks up what the pieces on both sides of each place make
+    together, and removes the place of lowest rank, the first of equal ones; where nothing has a rank it removes nothing.
     """
 
     def rank(piece: Column) -> Column:
-        # the hash is unsigned in the table's layout; SLOTS is a power of two, so its low bits are the slot
-        slot = F.xxhash64(piece).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
-        return F.coalesce(F.try_element_at(F.get(table, slot), piece), F.lit(NONE))
-
-    def merge(state: Column, _: Column) -> Column:
-        def at(lowest: Column) -> Column:
-            def join(i: Column) -> Column:
-                p, r = state["p"], state["r"]
-                n = F.size(p)
-
-                def put(piece: Column) -> Column:
-                    left = F.when(i > 1, F.array(rank(F.concat(F.get(p, i - 2), piece)))).otherwise(F.array().cast("array<int>"))
-                    right = F.when(i + 1 < n, F.array(rank(F.concat(piece, F.get(p, i + 1))))).otherwise(F.array().cast("array<int>"))
-                    return F.struct(
-                        F.concat(F.slice(p, 1, i - 1), F.array(piece), F.slice(p, i + 2, n)).alias("p"),
-                        F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, n)).alias("r"),
-                    )
-
-                return let(F.concat(F.get(p, i - 1), F.get(p, i)), put)
+        slot = F.xxhash64(piece).bitwiseAND(SLOTS - 1).cast("int")
+        return F.try_element_at(F.get(table, slot), piece)
 
-            return F.when(F.coalesce(lowest, F.lit(NONE)) == NONE, state).otherwise(let(F.array_position(state["r"], lowest).cast("int"), join))
+    def fold(spelled: Column) -> Column:
+        def merge(cuts: Column, _: Column) -> Column:
+            def joined(cut: Column, i: Column) -> Column:  # NULL at either end, and where there is no rank
+                start = F.get(cuts, i - 1)
+                return F.shiftleft(rank(F.substr(spelled, start, F.get(cuts, i + 1) - start)).cast("bigint"), 32).bitwiseOR(cut)
 
-        return let(F.array_min(state["r"]), at)
+            lowest = F.array_min(F.transform(cuts, joined))
+            return F.array_remove(cuts, F.coalesce(lowest.bitwiseAND(2**32 - 1).cast("int"), F.lit(0)))
 
-    def fold(spelled: Column) -> Column:
-        def start(p: Column) -> Column:
-            pairs = F.transform(F.slice(p, 2, F.size(p)), lambda x, i: rank(F.concat(F.get(p, i), x)))
-            turns = F.slice(p, 2, F.size(p))
-            return F.aggregate(turns, F.struct(p.alias("p"), pairs.alias("r")), merge, lambda s: F.transform(s["p"], rank))
+        n = F.length(spelled)
+        cuts = F.aggregate(F.sequence(F.lit(2), n), F.sequence(F.lit(1), n + 1), merge)
+        merged = let(cuts, lambda c: F.transform(F.slice(c, 1, F.size(c) - 1), lambda at, i: rank(F.substr(spelled, at, F.get(c, i + 1) - at))))
+        return let(rank(spelled), lambda r: F.when(r.isNull(), merged).otherwise(F.array(r)))
 
-        whole = let(rank(spelled), lambda r: F.when(r == NONE, let(F.split(spelled, ""), start)).otherwise(F.array(r)))
-        return let(
-            whole,
-            lambda ids: F.struct(
-                ids.alias("ids"), F.encode(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""), "ISO-8859-1").alias("bytes")
-            ),
-        )
+    def both(ids: Column) -> Column:
+        joined = F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")
+        return F.struct(ids.alias("ids"), F.encode(joined, "ISO-8859-1").alias("bytes"))
 
-    return let(F.decode(word, "ISO-8859-1"), fold)
+    return let(let(F.decode(word, "ISO-8859-1"), fold), both)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -223,7 +214,7 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 # ---------------------------------------------------------------- the corpus
 
 
-def count_words(docs: DataFrame, most: int = 2_000_000) -> DataFrame:
+def count_words(docs: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``(word, n)`` over all texts. A task merges its counts block by block and flushes them when they reach ``most`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +224,7 @@ def count_words(docs: DataFrame, most: int = 2_000_000) -> DataFrame:
             return pa.Table.from_batches(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for batch in slices(batches, 0, 4_000_000):
-            words, _ = split_words(batch.column(0))
+            words, _ = split_block(batch, 0)
             counts = pc.value_counts(words)
             held.append(pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["word", "n"]))
             if sum(b.num_rows for b in held) > most:
@@ -244,6 +235,8 @@ def count_words(docs: DataFrame, most: int = 2_000_000) -> DataFrame:
                     held = []
         if held:
             yield from total().combine_chunks().to_batches()
+        held = []
+        pa.default_memory_pool().release_unused()
 
     return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -251,7 +244,8 @@ def count_words(docs: DataFrame, most: int = 2_000_000) -> DataFrame:
 def frequent_words(docs: DataFrame, most: int) -> DataFrame:
     """The words whose count is at least the smallest bound that leaves ``most`` of them or fewer. Bounds are eighths of powers of two."""
     step = F.floor(F.log2("n") * 8 + 1e-9)
-    counts = durable(count_words(docs).where("n > 1").where(F.length("word") <= LONG).withColumn("step", step), "words")
+    with arrow_rows(docs.sparkSession):
+        counts = durable(count_words(docs).where("n > 1").where(F.length("word") <= LONG).withColumn("step", step), "words")
     return counts.where(F.col("step") >= frequent_bound(counts, most)).select("word")
 
 
@@ -273,11 +267,9 @@ def encode_texts(docs: DataFrame, ranks_path: str, id: str = "doc_id", text: str
     known = frequent_words(source.select("text"), frequent)
     known = known.withColumn("made", let(table, lambda t: let(pieces, lambda p: encode_word(F.col("word"), t, p))))
     known = known.select("word", F.col("made.ids").alias("ids"), F.col("made.bytes").alias("bytes")).toArrow().combine_chunks()
-    shared = spark.sparkContext.broadcast((tokens, *(pa.concat_arrays(known.column(c).chunks) if known.num_rows else known.column(c).type for c in ("word", "ids", "bytes"))))
-
-    def dictionary() -> tuple[list[bytes], pa.Array, pa.Array, pa.Array]:
-        tokens, *columns = shared.value
-        return tokens, *(c if isinstance(c, pa.Array) else pa.array([], c) for c in columns)
+    columns = {c: pa.concat_arrays(known[c].chunks) if known.num_rows else pa.array([], known[c].type) for c in ("word", "ids", "bytes")}
+    spelled = spark.sparkContext.broadcast((tokens, columns["word"]))
+    encoded = spark.sparkContext.broadcast((columns["ids"], columns["bytes"]))
 
     key = docs.schema[id].dataType
     blocks = T.StructType(
@@ -291,52 +283,53 @@ def encode_texts(docs: DataFrame, ranks_path: str, id: str = "doc_id", text: str
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, words, *_ = dictionary()
+        tokens, words = spelled.value
         ranks: dict[bytes, int] = {}
-        for batch in slices(batches, 1, 4_000_000):
-            found, sizes = split_words(batch.column(1))
+        for batch in slices(batches, 1, BLOCK):
+            found, sizes = split_block(batch, 1)
             coded = found.dictionary_encode()
             known = pc.index_in(coded.dictionary, value_set=words).to_numpy(zero_copy_only=False)
             code = np.where(np.isnan(known), -1, known).astype(np.int64)
             new = np.flatnonzero(code < 0)
-            spelled = coded.dictionary.take(pa.array(new))
-            length = pc.binary_length(spelled).to_numpy(zero_copy_only=False)
+            fresh = coded.dictionary.take(pa.array(new))
+            length = pc.binary_length(fresh).to_numpy(zero_copy_only=False)
             is_long = length > LONG
             short, long = new[~is_long], new[is_long]
             # after the shared words come the block's own, then its long ones
             code[short] = len(words) + np.arange(len(short))
             code[long] = len(words) + len(short) + np.arange(len(long))
             merged = []
-            for w in spelled.filter(pa.array(is_long)).to_pylist():
+            for w in fresh.filter(pa.array(is_long)).to_pylist():
                 ranks = ranks or {t: i for i, t in enumerate(tokens)}
                 ids = merge_long(w, ranks)
                 merged.append({"ids": ids, "bytes": b"".join(tokens[i] for i in ids)})
-            codes = code[coded.indices.to_numpy()].astype("<i4").tobytes() if len(found) else b""
+            codes = b"" if not len(found) else code[coded.indices.to_numpy()].astype("<i4").tobytes()
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             long_type = pa.struct([("ids", pa.list_(pa.int32())), ("bytes", pa.binary())])
             yield pa.RecordBatch.from_arrays(
-                [one(batch.column(0)), one(pa.array(sizes, pa.int64())), pa.array([codes], pa.binary()), one(spelled.filter(pa.array(~is_long))), one(pa.array(merged, long_type))],
+                [one(batch.column(0)), one(pa.array(sizes, pa.int64())), pa.array([pa.compress(codes, codec="zstd", asbytes=True)], pa.binary()), one(fresh.filter(pa.array(~is_long))), one(pa.array(merged, long_type))],
                 names=blocks.names,
             )
+            pa.default_memory_pool().release_unused()
 
     out = T.StructType([T.StructField("id", key), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, known_ids, known_bytes = dictionary()
+        known_ids, known_bytes = encoded.value
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, sizes, codes, made, long = (batch.column(c)[row] for c in ("docs", "sizes", "codes", "made", "long"))
                 of_block = [x.values for x in (made, long) if len(x.values)]
-                id_lists = pa.concat_arrays([known_ids, *(x.field("ids").cast(known_ids.type) for x in of_block)])
-                byte_strings = pa.concat_arrays([known_bytes, *(x.field("bytes") for x in of_block)])
-                code = np.frombuffer(codes.as_py(), "<i4")
+                id_lists = pa.concat_arrays([known_ids, *(x.flatten()[0].cast(known_ids.type) for x in of_block)])
+                byte_strings = pa.concat_arrays([known_bytes, *(x.flatten()[1] for x in of_block)])
                 ends = np.cumsum(sizes.values.to_numpy())
+                code = np.frombuffer(pa.decompress(codes.as_py(), 4 * int(ends[-1]), codec="zstd") if ends[-1] else b"", "<i4")
                 starts = ends - sizes.values.to_numpy()
                 for a, b in runs(starts, ends):  # some texts at a time
                     part = pa.array(code[starts[a] : ends[b - 1]])
                     lists, strings = id_lists.take(part), byte_strings.take(part)
                     flat = lists.flatten().to_numpy().astype("<u4").tobytes()
-                    joined = b"".join(strings.to_pylist())
+                    joined = memoryview(strings.buffers()[2] or b"")
                     at = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
                     to = np.concatenate([[0], np.cumsum(pc.binary_length(strings).to_numpy(zero_copy_only=False))]).astype(np.int64)
                     cuts = np.concatenate([starts[a:b] - starts[a], ends[b - 1 : b] - starts[a]])
@@ -350,9 +343,14 @@ def encode_texts(docs: DataFrame, ranks_path: str, id: str = "doc_id", text: str
                         ],
                         names=out.names,
                     )
+                pa.default_memory_pool().release_unused()
 
     made = let(table, lambda t: let(pieces, lambda p: F.transform("words", lambda w: encode_word(w, t, p))))
-    return source.mapInArrow(read, blocks).select("docs", "sizes", "codes", "long", made.alias("made")).mapInArrow(write, out)
+    folded = source.mapInArrow(read, blocks).select("docs", "sizes", "codes", "long", made.alias("made"))
+    # written once: the folds are the dear part, and the two passes in Python need not be in memory together
+    with arrow_rows(spark):
+        written = durable(folded, "folded")
+    return written.mapInArrow(write, out)
 
 
 def runs(starts: np.ndarray, ends: np.ndarray, most: int = 200_000) -> Iterator[tuple[int, int]]:
