@@ -129,4 +129,5 @@ def test_pipeline(spark):
             assert all(len(r.ids) == 4 * r.n_tokens for r in rows)
         sizes.append(len(rows))
         docs = spark.createDataFrame(rows, out.schema) if name != "byte_bpe" else out
-    assert sizes[0] < 203 and sizes[1] <= sizes[0] and sizes[2] <= sizes[1] and sizes[3] >= sizes[2] and sizes[4] == sizes[3]
+    # few labels here: the toxicity stage is held to its decisions in test_texts
+    assert sizes[0] <= 203 and sizes[1] < sizes[0] and sizes[2] <= sizes[1] and sizes[3] >= sizes[2] and sizes[4] == sizes[3]
