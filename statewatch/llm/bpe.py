@@ -270,6 +270,8 @@ def encode_texts(docs: DataFrame, ranks_path: str, id: str = "doc_id", text: str
     columns = {c: pa.concat_arrays(known[c].chunks) if known.num_rows else pa.array([], known[c].type) for c in ("word", "ids", "bytes")}
     spelled = spark.sparkContext.broadcast((tokens, columns["word"]))
     encoded = spark.sparkContext.broadcast((columns["ids"], columns["bytes"]))
+    del known, columns  # the broadcasts have them
+    pa.default_memory_pool().release_unused()
 
     key = docs.schema[id].dataType
     blocks = T.StructType(
