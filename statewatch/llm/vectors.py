@@ -37,6 +37,22 @@ class Quantiser:
         best = np.argpartition(-score, k - 1, axis=1)[:, :k]
         return np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, 1), axis=1, kind="stable"), 1)
 
+    def reachable(self, x: np.ndarray, home: np.ndarray, radius: np.ndarray, least: float, among: np.ndarray | None = None) -> np.ndarray:
+        """Rows x lists: whether a member of the list can have a cosine of at least ``least`` with the row. False is certain.
+
+        A member lies within the list's ``radius`` (an angle) of its centre and no nearer to another centre; rows at most
+        acos(least) apart differ by as much in their angle to a centre, and by sqrt(2 - 2 least) across the plane between two centres.
+        """
+        among = np.arange(len(self.centres)) if among is None else among
+        centres, least = self.centres[among], min(max(least, -1.0), 1.0)
+        score = x @ centres.T
+        near = np.arccos(np.clip(score, -1, 1)) <= radius[among] + np.arccos(least) + 1e-6
+        for h in np.unique(home):
+            own = home == h
+            apart = np.linalg.norm(centres - self.centres[h], axis=1)
+            near[own] &= (x[own] @ self.centres[h])[:, None] - score[own] <= np.sqrt(2 - 2 * least) * apart + 1e-6
+        return near
+
     def split(self, x: np.ndarray) -> np.ndarray:
         m, _, w = self.books.shape
         padded = np.zeros((len(x), m * w))
@@ -90,6 +106,15 @@ def fit_quantiser(sample: np.ndarray, lists: int, subspaces: int = 8, codes: int
     return Quantiser(centres, books)
 
 
+def bundled(centres: np.ndarray, size: int) -> np.ndarray:
+    """A bundle number for each list: about ``size`` lists whose centres lie in the same direction share one."""
+    heads = centres[np.random.default_rng(0).permutation(len(centres))[: -(-len(centres) // size)]]
+    order = np.lexsort((np.arange(len(centres)), (centres @ heads.T).argmax(1)))
+    out = np.empty(len(centres), np.int32)
+    out[order] = np.arange(len(centres)) // size
+    return out
+
+
 def units(vectors: list) -> np.ndarray:
     """Unit vectors in double precision, without negative zeros."""
     x = np.array([np.asarray(v, np.float64) for v in vectors])
@@ -129,7 +154,6 @@ def near_vectors(
     features: str = "features",
     label: str = "label",
     least: float = 0.93,
-    probes: int = 12,
     list_rows: int = 512,
     most_lists: int = 16_384,
     sample: int = 16_384,
@@ -140,11 +164,11 @@ def near_vectors(
     One row per input row: ``id, n_links`` (other vectors linked directly), ``component_id`` (smallest id reachable) and ``kept`` (it is its own).
 
     Equal vectors are one class; classes are searched, copies only counted. Coarse centres and residual codebooks are fitted on ``sample`` classes (by
-    hash), every class is indexed in its nearest list. A class is looked up in the ``probes`` nearest lists of its label: the codes give
-    its cosine with each member to within the member's quantisation error, so whatever could reach ``least`` is kept, and then checked
-    in double precision. Recall depends on the probes alone (tests hold it against brute force). About ``list_rows`` classes
-    share a list up to ``most_lists`` lists. Members and queries of a list are cut into tiles of about ``tile`` rows by hash, and a task
-    compares two tiles, so a list of any size spreads out; a tile reports counts and a spanning set of links, never pairs.
+    hash), every class is indexed in its nearest list. A class is looked up in every list of its label that ``Quantiser.reachable`` can't rule
+    out, so no link is lost: the codes give its cosine with each member to within the member's quantisation error, so whatever could reach
+    ``least`` is kept, and then checked in double precision. About ``list_rows`` classes share a list up to ``most_lists`` lists. Lists travel in
+    bundles of about ``tile`` rows of a label, and two bundles meet once. Members and queries of a bundle are cut into tiles of about ``tile`` rows by hash, and a task
+    compares two tiles, so a bundle of any size spreads out; a tile reports counts and a spanning set of links, never pairs.
 
     Cases: rows with NULL id or label, and vectors that are NULL, empty, zero, or hold NULL, NaN or infinite values, link with nothing. Vectors of different
     length don't link. Repeated rows link with each other and share the id. Ties at ``least`` are links. An empty table gives no rows.
@@ -157,7 +181,7 @@ def near_vectors(
         F.min("id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vector").alias("vector")
     )
     classes = durable(classes, "classes")
-    links = durable(found_links(spark, classes, least, probes, list_rows, most_lists, sample, tile), "found")
+    links = durable(found_links(spark, classes, least, list_rows, most_lists, sample, tile), "found")
     grouped = components(links.where("root IS NOT NULL").select(F.col("node").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     known = classes.select("node", "least", "copies").join(counted, "node", "left").join(grouped, "node", "left")
@@ -174,24 +198,29 @@ def near_vectors(
     return finished.unionByName(alone)
 
 
-def found_links(spark, classes: DataFrame, least: float, probes: int, list_rows: int, most_lists: int, sample: int, tile: int) -> DataFrame:
+def found_links(spark, classes: DataFrame, least: float, list_rows: int, most_lists: int, sample: int, tile: int) -> DataFrame:
     """``(node, links, root)``: parts of each class's link count, and links that connect what is linked."""
-    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    labels = classes.groupBy("dim", "label").agg(F.count("*").alias("n"))
+    # with n, the size of the label that a class is in, on average over the classes
+    sizes = labels.groupBy("dim").agg(F.sum("n").alias("n"), (F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")).alias("own")).collect()
     models: dict[int, Quantiser] = {}
-    for dim, n in sizes.items():
+    bundles: dict[int, np.ndarray] = {}
+    for dim, n, own in sizes:
         taken = hashed_sample(classes.where(F.col("dim") == dim), F.col("node"), n, sample).select("vector").toArrow()
         x = units(taken["vector"].to_pylist())
         # a fit needs some rows for each centre; sixteen are enough
         models[dim] = fit_quantiser(x, int(min(most_lists, max(1, n // list_rows), max(1, len(x) // 16))))
-    shared = spark.sparkContext.broadcast(models)
+        lists = len(models[dim].centres)
+        bundles[dim] = bundled(models[dim].centres, max(1, round(tile * lists / own)))
+    shared = spark.sparkContext.broadcast((models, bundles))
     label = classes.schema["label"]
     index_schema = T.StructType(
         [
             label,
-            *[T.StructField(c, T.IntegerType()) for c in ("dim", "list")],
+            *[T.StructField(c, T.IntegerType()) for c in ("dim", "list", "bundle")],
             T.StructField("node", T.LongType()),
             T.StructField("copies", T.LongType()),
-            T.StructField("near", T.ArrayType(T.IntegerType())),
+            T.StructField("angle", T.DoubleType()),
             T.StructField("codes", T.BinaryType()),
             T.StructField("error", T.DoubleType()),
             classes.schema["vector"],
@@ -199,24 +228,47 @@ def found_links(spark, classes: DataFrame, least: float, probes: int, list_rows:
     )
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models, bundles = shared.value
         for pdf in batches:
             for dim, part in pdf.groupby("dim"):
-                model = shared.value[dim]
+                model = models[dim]
                 x = units(part["vector"].to_list())
-                near = model.lists(x, probes)
-                codes, error = model.encode(x - model.centres[near[:, 0]])
-                part = part.assign(list=near[:, 0], near=list(near.astype(np.int32)), codes=[c.tobytes() for c in codes], error=error)
+                home = model.lists(x, 1)[:, 0]
+                codes, error = model.encode(x - model.centres[home])
+                angle = np.arccos(np.clip((x * model.centres[home]).sum(1), -1, 1))
+                part = part.assign(list=home, bundle=bundles[dim][home], angle=angle, codes=[c.tobytes() for c in codes], error=error)
                 yield part[index_schema.names]
 
     base = classes.select("label", "dim", "node", "copies", "vector")
     members = durable(base.mapInPandas(index, index_schema), "index")
-    place = ["label", "dim", "list"]
+    radii = {dim: np.full(len(model.centres), -np.inf) for dim, model in models.items()}
+    for dim, list_, angle in members.groupBy("dim", "list").agg(F.max("angle")).collect():
+        radii[dim][list_] = angle
+    around = spark.sparkContext.broadcast(radii)
+    asking_schema = T.StructType([f for f in index_schema if f.name != "angle"] + [T.StructField("near", T.ArrayType(T.IntegerType()))])
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models, bundles = shared.value
+        for pdf in batches:
+            for dim, part in pdf.groupby("dim"):
+                found = []
+                for start in range(0, len(part), TILE):
+                    some = part.iloc[start : start + TILE]
+                    near = models[dim].reachable(units(some["vector"].to_list()), some["list"].to_numpy(), around.value[dim], least)
+                    # of two bundles, the one with the smaller number asks the other
+                    for row, own in zip(near, some["bundle"].to_numpy(), strict=True):
+                        others = bundles[dim][row]
+                        found.append(np.unique(np.append(others[others > own], own)).astype(np.int32))
+                yield part.assign(near=found)[asking_schema.names]
+
+    place = ["label", "dim", "bundle"]
+    columns = ["list", "home", "node", "copies", "codes", "error", "vector"]
+    homed = members.drop("angle").withColumn("home", F.col("bundle"))
+    queries = members.mapInPandas(ask, asking_schema).withColumn("home", F.col("bundle")).withColumn("bundle", F.explode("near")).drop("near")
     sizes_ = members.groupBy(*place).agg(F.count("*").alias("m"))
-    queries = members.withColumn("home", F.col("list")).withColumn("list", F.explode("near"))
     asked = queries.groupBy(*place).agg(F.count("*").alias("q"))
     cuts = sizes_.join(asked, place).select(*place, F.ceil(F.col("m") / tile).alias("mt"), F.ceil(F.col("q") / tile).alias("qt"))
     cuts = durable(cuts, "cuts")
-    columns = ["node", "copies", "near", "home", "codes", "error", "vector"]
 
     def dealt(df: DataFrame, own: str, other: str, side: int) -> DataFrame:
         placed = df.join(cuts, place)
@@ -225,40 +277,48 @@ def found_links(spark, classes: DataFrame, least: float, probes: int, list_rows:
         a, b = ("mine", "theirs") if side else ("theirs", "mine")
         return spread.select(*place, F.col(a).alias("q_tile"), F.col(b).alias("m_tile"), F.lit(side).alias("side"), *columns)
 
-    both = dealt(queries, "qt", "mt", 1).unionByName(dealt(members.withColumn("home", F.col("list")), "mt", "qt", 0))
+    both = dealt(queries, "qt", "mt", 1).unionByName(dealt(homed, "mt", "qt", 0))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        query, member = pdf[pdf["side"] == 1].reset_index(drop=True), pdf[pdf["side"] == 0].reset_index(drop=True)
+        query = pdf[pdf["side"] == 1].sort_values("list").reset_index(drop=True)
+        member = pdf[pdf["side"] == 0].sort_values("list").reset_index(drop=True)
         empty = pd.DataFrame({"node": [], "links": [], "root": []}).astype({"node": "int64", "links": "int64", "root": "Int64"})
         if not len(query) or not len(member):
             return empty
-        dim, list_ = int(pdf["dim"].iloc[0]), int(pdf["list"].iloc[0])
-        model = shared.value[dim]
+        dim, bundle = int(pdf["dim"].iloc[0]), int(pdf["bundle"].iloc[0])
+        model = shared.value[0][dim]
         q, x = units(query["vector"].to_list()), units(member["vector"].to_list())
         codes = np.frombuffer(b"".join(member["codes"]), np.uint8).reshape(len(member), -1)
         error = member["error"].to_numpy()
+        here, list_ = np.unique(member["list"].to_numpy(), return_inverse=True)
         nodes = np.concatenate([query["node"].to_numpy(), member["node"].to_numpy()])
         unique, where = np.unique(nodes, return_inverse=True)
         root = np.arange(len(unique))
         counts = np.zeros(len(unique), np.int64)
-        near = np.stack(member["near"].to_list())
-        home = query["home"].to_numpy()
+        home, other = query["list"].to_numpy(), (query["home"] != bundle).to_numpy()
         of_query, of_member = query["copies"].to_numpy(), member["copies"].to_numpy()
         at_q, at_m = where[: len(query)], where[len(query) :]
         for a in range(0, len(q), 256):
             part = q[a : a + 256]
+            near = model.reachable(part, home[a : a + 256], around.value[dim], least, here).any(0)
+            some = np.flatnonzero(near[list_])
+            if not len(some):
+                continue
             tables = model.tables(part)
-            score = np.repeat((part @ model.centres[list_])[:, None], len(x), 1)
+            score = (part @ model.centres[here].T)[:, list_[some]]
             for m in range(codes.shape[1]):
-                score += tables[:, m, codes[:, m]]
-            i, j = np.nonzero(score + error[None, :] >= least - 1e-9)
-            cosine = np.einsum("ij,ij->i", part[i], x[j])
-            good = cosine >= least
+                score += tables[:, m, codes[some, m]]
+            i, j = np.nonzero(score + error[None, some] >= least - 1e-9)
+            j = some[j]
+            good = np.empty(len(i), bool)
+            for cut in range(0, len(i), 65_536):
+                upto = slice(cut, cut + 65_536)
+                good[upto] = np.einsum("ij,ij->i", part[i[upto]], x[j[upto]]) >= least
             i, j = i[good] + a, j[good]
             i, j = i[at_q[i] != at_m[j]], j[at_q[i] != at_m[j]]
             np.add.at(counts, at_q[i], of_member[j])
-            # the member doesn't find the query by itself where it doesn't look into the query's list
-            blind = ~(near[j] == home[i][:, None]).any(1)
+            # inside a bundle the member finds the query by itself
+            blind = other[i]
             np.add.at(counts, at_m[j[blind]], of_query[i[blind]])
             u, v = at_q[i], at_m[j]
             while len(u):

@@ -68,6 +68,24 @@ def test_recall_at_the_threshold():
     assert ((b == a[:, :1]).any(1) | (a == b[:, :1]).any(1)).mean() > 0.99
 
 
+@pytest.mark.parametrize("options", [{}, {"tile": 300}])
+def test_all_links_of_a_dense_group(spark, options):
+    """A crowd of near copies cut into many lists loses no link."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4800, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:1600] = [near(x[0], np.sqrt(0.96), rng) for _ in range(1600)]
+    x[1600:1900] = [near(v, 0.931, rng) for v in x[2000:2300]]
+    label = np.arange(len(x)) % 16 == 15
+    df = spark.createDataFrame([(i, v.tolist(), int(l)) for i, (v, l) in enumerate(zip(x, label))], "id bigint, features array<double>, label int")
+    got = {r.id: (r.n_links, r.component_id) for r in vectors.near_vectors(df.repartition(4), list_rows=16, **options).collect()}
+    linked = (x @ x.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(linked, False)
+    assert linked[:1600].sum() > 1_000_000
+    assert [got[i][0] for i in range(len(x))] == linked.sum(1).tolist()
+    assert {got[i][1] for i in range(1600)} == {0, 15}
+
+
 def test_codes_bound_the_cosine():
     rng = np.random.default_rng(2)
     x = vectors.units(list(rng.normal(size=(800, 10))))
