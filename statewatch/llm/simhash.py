@@ -188,15 +188,8 @@ def fingerprint_links(values: DataFrame, radius: int = RADIUS, bucket: int = BUC
     return found.where(F.col("b").isNotNull()).select("a", "b").unionByName(more.select("a", "b"))
 
 
-def near_copies(records: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Groups of texts whose SimHash fingerprints differ in ``radius`` bits or fewer, chains included.
-
-    One row per input row: ``id, key, fingerprint`` (16 lowercase hex digits) and ``component_id``, the smallest id of the group.
-
-    Cases: NULL text counts as empty; texts without words share fingerprint zero and link like any other. Fewer than three
-    words are one shingle. Repeated rows and ties share a fingerprint. NULL ids belong to groups but name none unless all
-    ids of a group are NULL. An empty table gives no rows. Other columns are not read. Texts are read whole.
-    """
+def grouped_copies(records: DataFrame, id: str, text: str, radius: int, bucket: int) -> DataFrame:
+    """What ``near_copies`` returns, with the ``group`` of each row: the group's smallest fingerprint as a bigint, which no other group shares."""
     with arrow_rows(records.sparkSession):
         prints = durable(fingerprints(records, id, text), "fingerprints")
     distinct = prints.groupBy(F.col("fingerprint").alias("value")).agg(F.min("id").alias("least"))
@@ -205,18 +198,33 @@ def near_copies(records: DataFrame, id: str = "doc_id", text: str = "text", radi
     named = distinct.join(found, F.col("value") == F.col("node"), "left")
     named = named.select("value", F.coalesce("component", "value").alias("group"), "least")
     groups = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    lookup = named.join(groups, "group").select(F.col("value").alias("fingerprint"), "component_id")
+    lookup = named.join(groups, "group").select(F.col("value").alias("fingerprint"), "component_id", "group")
     out = prints.join(durable(lookup, "groups"), "fingerprint")
-    return out.select("id", "key", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("id", "key", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "group")
+
+
+def near_copies(records: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """Groups of texts whose SimHash fingerprints differ in ``radius`` bits or fewer, chains included.
 
+    One row per input row: ``id, key, fingerprint`` (16 lowercase hex digits) and ``component_id``, the smallest id of the group.
 
-def drop_near_copies(records: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``records`` with one row of each group of ``near_copies``: the one with the smallest id; all columns stay."""
-    found = near_copies(records, id, text, **options)
+    Cases: NULL text counts as empty; texts without words share fingerprint zero and link like any other. Fewer than three
+    words are one shingle. Repeated rows and ties share a fingerprint. NULL ids belong to groups but name none unless all
+    ids of a group are NULL. An empty table gives no rows. Other columns are not read. Texts are read whole.
+    """
+    return grouped_copies(records, id, text, radius, bucket).drop("group")
+
+
+def drop_near_copies(records: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """``records`` with one row of each group of ``near_copies``: the one with the smallest id; all columns stay.
+
+    Groups stay apart even where they share the smallest id or have none.
+    """
+    found = grouped_copies(records, id, text, radius, bucket)
     ours = F.col("id").eqNullSafe(F.col("component_id"))
-    rows = found.groupBy("component_id", "id", "key").agg(F.count("*").alias("n"))
+    rows = found.groupBy("group", "component_id", "id", "key").agg(F.count("*").alias("n"))
     # of rows that share the smallest id, the one with the smallest key stays
-    best = rows.where(ours).groupBy(F.col("component_id").alias("c")).agg(F.min("key").alias("best"))
-    rows = durable(rows.join(best, F.col("component_id").eqNullSafe(F.col("c"))), "decided")
+    best = rows.where(ours).groupBy("group").agg(F.min("key").alias("best"))
+    rows = durable(rows.join(best, "group"), "decided")
     stays = ours & (F.col("key") == F.col("best"))
     return drop_copies(records, id, plain(text), rows.where(~stays), rows.where(stays & (F.col("n") > 1)))

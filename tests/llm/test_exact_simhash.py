@@ -153,6 +153,16 @@ def test_near_copies_match_plain_loop(spark):
     assert sorted(r.doc_id for r in left) == sorted(min(i for i in ids if i is not None) for ids in least.values())
 
 
+def test_groups_that_share_an_id_stay_apart(spark):
+    words = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(None, words("a")), (None, words("b")), (None, words("b")), (None, words("c")), (1, words("d")), (1, words("e")), (2, words("e")), (3, words("f"))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    left = simhash.drop_near_copies(df).collect()
+    want = [(None, words("a")), (None, words("b")), (None, words("c")), (1, words("d")), (1, words("e")), (3, words("f"))]
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(map(tuple, left), key=key) == want
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(100, 130)]
     star = [(5, i) for i in range(10, 60)]
