@@ -10,7 +10,8 @@ from statewatch.catalog import views as V
 from statewatch.catalog.registry import query
 from statewatch.functions.bits import unpack
 from statewatch.operators import shaping
-from statewatch.plans.durable import shared_folder
+from statewatch.plans import place
+from statewatch.plans.durable import durable, shared_folder
 from statewatch.sources import tables
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -80,21 +81,27 @@ def difference(spark, sf):
     return out.select("user_id", "shot", "role", "chk", "event")
 
 
+#: Shots of a snapshot entry, and lines of a text file, at most.
+RUN, LINES = 1_000, 100_000
+
+
 @query(
     "s04_load_snapshots",
     """WITH e AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS shot, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events WHERE event_type = 'click')
     SELECT shot, CAST(i AS INT) AS position, CAST((k >> CAST(i AS INT)) & 1 AS INT) AS bit FROM e, range(7) r(i)""",
 )
 def load_snapshots(spark, sf):
-    """Snapshot files written from the events, one entry per type, read back through the operator."""
+    """Snapshot files written from the events, one entry per type and run of shots, all read back through the operator."""
     folder = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
     bits = V.events(spark, sf).select("event_type", "event_id", unpack(F.from_json("props", "k bigint")["k"], 7).alias("bits"))
-    shots = bits.groupBy("event_type").agg(F.sort_array(F.collect_list(F.struct("event_id", "bits"))).alias("shots"))
-    entry = shots.select(
-        F.create_map(F.lit("logical_state"), "event_type").alias("metadata"), F.create_map(F.lit("checks"), F.col("shots.bits")).alias("per_shot_cregs")
-    )
-    entry.write.option("maxRecordsPerFile", 1).json(folder)
-    return tables.load_snapshots(spark, folder, "click", ["checks"])["checks"]
+    numbered = place(bits, ["event_type"], ["event_id"], "rn").rows().withColumn("first", F.col("rn") - 1 - F.pmod(F.col("rn") - 1, F.lit(RUN)))
+    shots = numbered.groupBy("event_type", "first").agg(F.sort_array(F.collect_list(F.struct("rn", "bits"))).alias("shots"))
+    metadata = F.create_map(F.lit("logical_state"), "event_type", F.lit("first_shot"), F.col("first").cast("string"))
+    entry = shots.select(metadata.alias("metadata"), F.create_map(F.lit("checks"), F.col("shots.bits")).alias("per_shot_cregs"))
+    entry.write.json(folder)
+    back = tables.load_snapshot_entries(spark, folder, "checks", ["logical_state", "first_shot"])
+    every = durable(back.withColumn("shot", F.col("first_shot").cast("bigint") + F.col("shot")), "snapshots")  # checks the other types too
+    return every.where("logical_state = 'click'").select("shot", "position", "bit")
 
 
 @query(
@@ -213,14 +220,14 @@ def round_trip(spark, sf):
     SELECT CAST(sum(length(line)) AS BIGINT) AS bytes, sha256(string_agg(line, '' ORDER BY o_orderkey)) AS sha256 FROM l GROUP BY shard""",
 )
 def manifest(spark, sf):
-    """Bytes and SHA-256 of eight text files that a sink wrote from the orders table."""
+    """Bytes and SHA-256 of eight shards that a sink wrote from the orders table, each as text files of bounded length."""
     folder = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
     lines = V.table(spark, sf, "orders").select(
         (F.col("o_custkey") % 8).alias("shard"), F.concat_ws(" ", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("value"), "o_orderkey"
     )
-    placed = lines.repartition(8, "shard").sortWithinPartitions("shard", "o_orderkey").select("shard", "value")
-    placed.write.partitionBy("shard").text(folder)
-    return tables.file_manifest(spark, folder).select("bytes", "sha256")
+    placed = lines.repartitionByRange("shard", "o_orderkey").sortWithinPartitions("shard", "o_orderkey").select("shard", "value")
+    placed.write.option("maxRecordsPerFile", LINES).partitionBy("shard").text(folder)
+    return tables.folder_manifest(spark, folder).select("bytes", "sha256")
 
 
 @query(
@@ -228,8 +235,6 @@ def manifest(spark, sf):
     """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, o_orderkey, round(o_totalprice, 2) AS price FROM orders""",
 )
 def shards(spark, sf):
-    from statewatch.plans import place
-
     placed = place(V.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [], ["o_orderkey"], "rn").rows()
     rows = placed.select((F.col("rn") - 1).alias("idx"), "o_orderkey", V.r6(F.col("o_totalprice"), 2).alias("price"))
     parts = [rows.where(F.pmod("o_orderkey", F.lit(3)) == i) for i in range(3)]

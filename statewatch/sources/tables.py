@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +70,25 @@ def load_snapshots(
     return out
 
 
+def load_snapshot_entries(spark: SparkSession, path: str, register: str, fields: Sequence[str]) -> DataFrame:
+    """``(*fields, shot, position, bit)`` of one register of every entry, from JSON lines with one entry each.
+
+    The metadata ``fields`` name an entry and must not repeat. Entries are decoded where they are read; every one is checked.
+    """
+    entries = spark.read.schema(SNAPSHOT).json(path)
+    named = [F.col("metadata")[f].alias(f) for f in fields]
+    rows = F.try_element_at("per_shot_cregs", F.lit(register))
+    rows = require(rows.isNotNull(), rows, f"no register {register}")
+    width = F.size(F.get(rows, F.lit(0)))
+    good = F.forall(rows, lambda r: (F.size(r) == width) & F.forall(r, lambda b: b.isin(0, 1)))
+    checked = entries.select(*named, require(good, rows, "register must be a rectangular array of bits").alias("rows"))
+    repeated = entries.select(*named).groupBy(*fields).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        raise ValueError(f"entries repeat: {repeated.first().asDict()}")
+    shots = checked.select(*fields, F.posexplode("rows").alias("shot", "bits"))
+    return shots.select(*fields, F.col("shot").cast("bigint").alias("shot"), F.posexplode("bits").alias("position", "bit"))
+
+
 def load_outcomes(
     spark: SparkSession, path: str, start: int = 0, stop: int | None = None, expected: int | None = None
 ) -> DataFrame:
@@ -114,6 +135,40 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", by: Sequence[str
     writer.format(fmt).save(path)
 
 
+def folder_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Folder, bytes and SHA-256 of the files that Spark wrote into each folder below ``path``, one after another in the order written.
+
+    A digest is sequential, so a folder streams through one task; it holds a few files at a time, and each is as long as the writer's ``maxRecordsPerFile``.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    number = lambda pattern: F.regexp_extract(name, pattern, 1).cast("bigint")
+    parts = files.select(F.regexp_extract("path", "^(.*)/", 1).alias("folder"), number(r"^part-(\d+)").alias("task"), number(r"\.c(\d+)").alias("part"), "content")
+    placed = parts.repartition("folder").sortWithinPartitions("folder", "task", "part").select("folder", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, digest, size = None, hashlib.sha256(), 0
+        done = lambda: pa.RecordBatch.from_pydict({"folder": [last], "bytes": [size], "sha256": [digest.hexdigest()]})
+        for batch in batches:
+            for folder, content in zip(batch.column(0), batch.column(1), strict=True):
+                if folder.as_py() != last:
+                    if last is not None:
+                        yield done()
+                    last, digest, size = folder.as_py(), hashlib.sha256(), 0
+                digest.update(content.as_py())
+                size += len(content.as_py())
+        if last is not None:
+            yield done()
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "8")  # whole files are large rows
+    try:
+        return durable(placed.mapInArrow(run, "folder string, bytes bigint, sha256 string"), "digests")
+    finally:
+        spark.conf.set(setting, before)
+
+
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Path, byte size and SHA-256 of every file below ``path``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

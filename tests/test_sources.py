@@ -82,3 +82,42 @@ def test_manifest(spark, tmp_path):
     (tmp_path / "m" / "a.bin").write_bytes(b"abc")
     row = tables.file_manifest(spark, str(tmp_path / "m")).first()
     assert row.bytes == 3 and row.sha256 == hashlib.sha256(b"abc").hexdigest()
+
+
+def test_folder_manifest_joins_files_in_order(spark, tmp_path):
+    lines = spark.range(2300, numPartitions=1).selectExpr("id % 2 AS shard", "CAST(id AS STRING) AS value").sortWithinPartitions("shard")
+    lines.write.option("maxRecordsPerFile", 1).partitionBy("shard").text(str(tmp_path / "f"))  # part numbers beyond 999
+    got = {r.folder[-1]: (r.bytes, r.sha256) for r in tables.folder_manifest(spark, str(tmp_path / "f")).collect()}
+    for shard in (0, 1):
+        text = "".join(f"{i}\n" for i in range(shard, 2300, 2)).encode()
+        assert got[str(shard)] == (len(text), hashlib.sha256(text).hexdigest())
+
+
+def test_snapshot_entries(spark, tmp_path):
+    entry = lambda state, first, bits: json.dumps({"metadata": {"s": state, "first": first}, "per_shot_cregs": {"a": bits}})
+    path = tmp_path / "s.json"
+    path.write_text("\n".join([entry("x", "0", [[0, 1], [1, 1]]), entry("x", "2", [[1, 0]]), entry("y", "0", [[0]])]))
+    rows = tables.load_snapshot_entries(spark, str(path), "a", ["s", "first"]).collect()
+    assert sorted(map(tuple, rows)) == [("x", "0", 0, 0, 0), ("x", "0", 0, 1, 1), ("x", "0", 1, 0, 1), ("x", "0", 1, 1, 1), ("x", "2", 0, 0, 1), ("x", "2", 0, 1, 0), ("y", "0", 0, 0, 0)]
+    path.write_text("\n".join([entry("x", "0", [[0]]), entry("x", "0", [[1]])]))
+    with pytest.raises(ValueError, match="repeat"):
+        tables.load_snapshot_entries(spark, str(path), "a", ["s", "first"])
+    path.write_text(entry("y", "0", [[2]]))
+    with pytest.raises(Exception, match="bits"):
+        tables.load_snapshot_entries(spark, str(path), "a", ["s", "first"]).collect()
+
+
+def test_written_snapshots_are_bounded(spark, monkeypatch, tmp_path):
+    """No line holds more than a run of shots, and none of the eight shards is one file."""
+    from statewatch.catalog import shaping_queries as S
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(S, "RUN", 7, raising=False)
+    monkeypatch.setattr(S, "LINES", 50, raising=False)
+    monkeypatch.setattr(S, "shared_folder", lambda s: str(tmp_path))
+    S.load_snapshots(spark, sf).collect()
+    rows = spark.read.schema(tables.SNAPSHOT).json(f"{tmp_path}/snapshots-*").selectExpr("size(per_shot_cregs.checks) AS n").collect()
+    assert len(rows) > 5 and max(r.n for r in rows) <= 7
+    S.manifest(spark, sf).collect()
+    lines = spark.read.text(f"{tmp_path}/manifest-*").selectExpr("_metadata.file_path AS f").groupBy("f").count().collect()
+    assert max(r["count"] for r in lines) <= 50
