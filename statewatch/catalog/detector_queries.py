@@ -382,23 +382,23 @@ def warm_replay(spark, sf):
     return out.select("stream", "role", "user_id", "pair", V.r6(F.col("composite_score")).alias("composite_score"))
 
 
-def indexed_pairs(spark, sf):
-    """Shots numbered over all users."""
-    rows = pair_bits(spark, sf)
-    shots = place(rows.select("user_id", "pair").distinct(), [], ["user_id", "pair"], "_i").rows()
-    return rows.join(shots.withColumn("index", F.col("_i") - 1).drop("_i"), ["user_id", "pair"]).withColumn("one", F.lit(0))
+#: The fewest maxima that have a 1 % threshold.
+REPLICATES = 99
 
 
 @query("i05_bootstrap_max_e")
 def bootstrap_max(spark, sf):
-    rows = indexed_pairs(spark, sf)
-    n = rows.agg(F.max("index")).first()[0] + 1
-    indices = R.circular_blocks(spark, n, n, 32, 3, seed=11)
-    maxima, _ = K.bootstrap_max_e(rows, ["one"], "role", "index", "r", "m", 7, 5, "composite", indices, 3, n)
-    return maxima.select("replicate", V.r6(F.col("max_log_e"), 5).alias("max_log_e"))
+    rows = pair_bits(spark, sf)
+    sizes = rows.groupBy("user_id").agg((F.max("pair") + 1).alias("n"))
+    indices = R.keyed_blocks(sizes, ["user_id"], "n", 32, REPLICATES, seed=11)
+    maxima, threshold = K.bootstrap_max_e(rows, ["user_id"], "role", "pair", "r", "m", 7, 5, "composite", indices, REPLICATES, None)
+    found = maxima.join(threshold.select("user_id", "threshold"), "user_id")
+    return found.select("user_id", "replicate", V.r6(F.col("max_log_e"), 5).alias("max_log_e"), V.r6(F.col("threshold"), 5).alias("threshold"))
 
 
 @query("i06_swap_audit")
 def swap_audit(spark, sf):
-    out = K.swap_audit(indexed_pairs(spark, sf), ["one"], "role", ["index"], "r", "m", 7, 5, 3, seed=12, methods=("rate", "composite"))
-    return out.select("replicate", "method", "crossed", V.r6(F.col("max_log_e"), 5).alias("max_log_e"), V.r6(F.col("final_log_e"), 5).alias("final_log_e"), "shots")
+    methods = ("rate", "logistic", "sparse", "spectral", "composite")
+    out = K.swap_audit(pair_bits(spark, sf), ["user_id"], "role", ["pair"], "r", "m", 7, 5, REPLICATES, seed=12, methods=methods)
+    values = [V.r6(F.col(c), 5).alias(c) for c in ("max_log_e", "final_log_e")]
+    return out.select("user_id", "replicate", "method", "crossed", *values, "shots")

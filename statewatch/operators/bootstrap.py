@@ -36,6 +36,17 @@ def circular_blocks(
     return out.where(F.col("position") < horizon)
 
 
+def keyed_blocks(sizes: DataFrame, key: Sequence[str], n: str, block: int, replicates: int, seed: int = 0) -> DataFrame:
+    """``(key, replicate, position, index)``: as ``circular_blocks``, for each row (key, ``n``) of ``sizes`` as many indices as it says."""
+    copies = F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))
+    rows = sizes.where(F.col(n) > 0).select(*key, F.col(n).alias("_n"), F.explode(copies).alias("replicate")).repartition(*key, "replicate")
+    rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / block).cast("bigint"))))
+    rows = rows.withColumn("_s", draw_index(F.col("_n"), seed, *[F.col(k) for k in key], F.col("replicate"), F.col("_b")))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
+    rows = rows.withColumn("position", F.col("_b") * block + F.col("_o")).where(F.col("position") < F.col("_n"))
+    return rows.select(*key, "replicate", "position", F.pmod(F.col("_s") + F.col("_o"), F.col("_n")).alias("index"))
+
+
 def uniform_draws(spark: SparkSession, n: int, draws: int, replicates: int, seed: int = 0) -> DataFrame:
     """``(replicate, position, index)`` with independent draws from 0 .. n-1."""
     return circular_blocks(spark, n, draws, 1, replicates, seed)

@@ -128,6 +128,31 @@ def test_swap_audit_and_bootstrap_from_warm_state(spark, pairs):
     assert trace.agg(F.max("log_stat")).first()[0] == pytest.approx(values[0])
 
 
+def test_registered_replays_give_a_threshold_for_each_user(spark):
+    from statewatch.catalog import detector_queries as D
+
+    sf = "/root/testdata/sf0.001"
+    shots = {r.user_id: r.n for r in D.pair_bits(spark, sf).groupBy("user_id").agg((F.max("pair") + 1).alias("n")).collect()}
+    found = D.bootstrap_max(spark, sf).collect()
+    assert len(found) == 99 * len(shots) and len({(r.user_id, r.replicate) for r in found}) == len(found)
+    for user in shots:
+        own = [r for r in found if r.user_id == user]
+        assert {r.threshold for r in own} == {max(r.max_log_e for r in own)}
+    audit = D.swap_audit(spark, sf).collect()
+    assert len(audit) == 99 * 5 * len(shots) and len({r.method for r in audit}) == 5
+    assert all(r.shots == shots[r.user_id] for r in audit)
+
+
+def test_keyed_blocks(spark):
+    sizes = spark.createDataFrame([(1, 70), (2, 3), (3, 32)], "k int, n bigint")
+    found = R.keyed_blocks(sizes, ["k"], "n", 32, 4, seed=1).collect()
+    for k, n in ((1, 70), (2, 3), (3, 32)):
+        for replicate in range(4):
+            own = sorted((r.position, r["index"]) for r in found if (r.k, r.replicate) == (k, replicate))
+            assert [p for p, _ in own] == list(range(n))
+            assert all(b == (a + 1) % n for (p, a), (_, b) in zip(own, own[1:]) if (p + 1) % 32)
+
+
 def test_distribution_tails():
     assert I.beta_cdf(0.3, 2, 5) == pytest.approx(0.579825, abs=1e-6)
     assert I.beta_quantile(0.975, 1, 10) == pytest.approx(1 - 0.025**0.1, abs=1e-12)
