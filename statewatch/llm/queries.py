@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from statewatch.llm import bpe, chat, exact, html, language_model, mixing, sharding, simhash, toxicity, vectors
-from statewatch.llm.common import plain, remainder
+from statewatch.llm import bpe, chat, exact, html, language_model, licences, merkle, mixing, sharding, simhash, spelling, toxicity, vectors
+from statewatch.llm.common import ascii_lower, plain, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -173,6 +173,155 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "slot", "shard")
 
 
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a text in SQL, byte by byte and bit by bit."""
+    digit = "instr('0123456789ABCDEF', substr(hex(encode({t})), 2 * i + {k}, 1)) - 1"
+    value = f"16 * ({digit.format(t=text, k=1)}) + {digit.format(t=text, k=2)}"
+    step = "lambda x, y: xor(x >> 1, 3988292384 * (x & 1))"
+    bits = f"list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], {step})"
+    all_bytes = f"list_transform(range(strlen({text})), lambda i: CAST({value} AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {all_bytes}), lambda c, b: {bits}), 4294967295)"
+
+
+def spelled_sql(*fields: str) -> str:
+    one = "CASE WHEN {f} IS NULL THEN '-' ELSE strlen(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR) END"
+    return " || ".join(one.format(f=f) for f in fields)
+
+
+MANIFEST_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@query(
+    "op11_merkle_manifest",
+    f"""
+    WITH RECURSIVE raw AS (
+      SELECT *, CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {LOWER.format("text")} ELSE text END AS got FROM documents
+    ), leaves AS (
+      SELECT doc_id, lang, sha256({spelled_sql(*MANIFEST_FIELDS)}) AS leaf, sha256({spelled_sql("doc_id", "source", "lang", "n_chars", "got")}) AS held FROM raw
+    ), placed AS (
+      SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+    ), up AS (
+      SELECT lang, 0 AS level, i, n, leaf AS h FROM placed
+      UNION ALL
+      SELECT lang, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY lang, level, i // 8, n
+    ), subroots AS (
+      SELECT lang, level AS tall, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1
+    ), over AS (
+      SELECT 0 AS level, i, n, subroot AS h FROM subroots
+      UNION ALL
+      SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM over WHERE n > 1 GROUP BY level, i // 8, n
+    ), nodes AS (
+      SELECT lang, true AS inner_tree, level, i, n, h FROM up UNION ALL SELECT NULL, false, level, i, n, h FROM over
+    ), sides AS (
+      SELECT a.lang, a.inner_tree, a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+             coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+      FROM nodes a JOIN nodes b ON a.lang IS NOT DISTINCT FROM b.lang AND a.inner_tree = b.inner_tree AND a.level = b.level AND a.i // 8 = b.i // 8
+      WHERE a.n > 1 GROUP BY ALL
+    ), walk AS (
+      SELECT p.doc_id, p.lang, p.leaf, p.i AS pos, true AS inner_tree, 0 AS level, p.i, '' AS proof, p.held AS folded FROM placed p
+      UNION ALL
+      SELECT w.doc_id, w.lang, w.leaf, w.pos, CASE WHEN s.l IS NULL THEN false ELSE w.inner_tree END, CASE WHEN s.l IS NULL THEN 0 ELSE w.level + 1 END,
+             CASE WHEN s.l IS NULL THEN t.i ELSE w.i // 8 END, CASE WHEN s.l IS NULL THEN w.proof ELSE w.proof || s.l || s.r END,
+             CASE WHEN s.l IS NULL THEN w.folded ELSE sha256(s.l || w.folded || s.r) END
+      FROM walk w
+      LEFT JOIN sides s ON s.inner_tree = w.inner_tree AND s.level = w.level AND s.i = w.i AND (NOT w.inner_tree OR s.lang IS NOT DISTINCT FROM w.lang)
+      LEFT JOIN subroots t ON t.lang IS NOT DISTINCT FROM w.lang
+      WHERE s.l IS NOT NULL OR w.inner_tree
+    ), ended AS (
+      SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY lang, pos ORDER BY inner_tree, level DESC) = 1
+    )
+    SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+    FROM ended JOIN subroots s ON s.lang IS NOT DISTINCT FROM ended.lang, (SELECT h AS root FROM over WHERE n = 1)
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    tampered = {"text": F.when(hit, ascii_lower(F.col("text"))).otherwise(F.col("text"))}
+    found = merkle.manifest_proofs(documents(spark, sf_dir), "lang", "doc_id", MANIFEST_FIELDS, tampered)
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def licence_sql() -> str:
+    named, noted = licences.templates(licences.NAMES, licences.NOTICES)
+
+    def listed(words) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+    def places(t) -> str:
+        holds = " AND ".join(f"s + {at} >= 0 AND w[s + {at + 1}:s + {at + len(part)}] = {listed(part)}" for at, part in t.keys)
+        return f"CASE WHEN list_has_all(w, {listed(t.needed)}) THEN list_filter(range(-{len(t.words)}, len(w)), lambda s: {holds}) ELSE [] END"
+
+    def share(i: int, t) -> str:
+        hit = f"CASE WHEN s + q >= 0 AND w[s + q + 1] = ({listed(t.words)})[q + 1] THEN 1 ELSE 0 END"
+        count = f"list_sum(list_transform(range({len(t.words)}), lambda q: {hit}))"
+        return f"coalesce(list_max(list_transform(m{i}, lambda s: {count})), 0) / {len(t.words)}.0"
+
+    def labels(templates, prefix) -> str:
+        marks = ", ".join(f"CASE WHEN len({prefix}{i}) > 0 THEN '{t.label}' END" for i, t in enumerate(templates))
+        return f"[{marks}]"
+
+    def joined(found: str) -> str:
+        return f"coalesce(array_to_string(list_sort(list_distinct(list_filter({found}, lambda x: x IS NOT NULL))), ','), '')"
+
+    every = "list_concat(" + ", ".join(f"b{i}" for i in range(len(named))) + ")"
+    return rf"""
+    WITH t AS (
+      SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{licences.WORD}') AS w FROM documents
+    ), f AS (
+      SELECT doc_id, w, {", ".join(f"{places(t)} AS b{i}" for i, t in enumerate(named))}, {", ".join(f"{places(t)} AS m{i}" for i, t in enumerate(noted))} FROM t
+    ), e AS (SELECT *, {every} AS b FROM f)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(b) AS BIGINT) AS n_base, CAST(list_min(b) AS BIGINT) AS first_word, CAST(list_max(b) AS BIGINT) AS last_word,
+           {joined(labels(named, "b"))} AS base_labels,
+           {joined(f"list_concat({labels(named, 'b')}, {labels(noted, 'm')})")} AS labels,
+           CAST(greatest(CASE WHEN len(b) > 0 THEN {licences.NAME_ALONE} ELSE 0.0 END, {", ".join(share(i, t) for i, t in enumerate(noted))}) AS DOUBLE) AS score
+    FROM e
+    """
+
+
+@query("op12_license_scan", licence_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(documents(spark, sf_dir), "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query(
+    "op13_spelling_variants",
+    f"""
+    WITH RECURSIVE runs AS (
+      SELECT doc_id, unnest(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[a-z\\x{{00C0}}-\\x{{00FF}}]+')) AS w FROM documents
+    ), seen AS (
+      SELECT doc_id, w, count(*) AS k, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS named FROM runs WHERE length(w) >= 6 GROUP BY ALL
+    ), hashed AS (
+      SELECT w, k, {crc32_sql("named")} AS h FROM seen
+    ), words AS (
+      SELECT CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, CAST(sum(k) AS BIGINT) AS n
+      FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(k) >= 5
+    ), lacking AS (
+      SELECT word, left(word, i) AS l, substr(word, i + 2) AS r FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+    ), near AS (
+      SELECT a.word, b.word AS other FROM lacking a JOIN lacking b ON a.l = b.l AND a.r = b.r AND a.word <> b.word
+      UNION SELECT a.word, b.word FROM lacking a JOIN words b ON a.l || a.r = b.word
+      UNION SELECT b.word, a.word FROM lacking a JOIN words b ON a.l || a.r = b.word
+    ), best AS (
+      SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS i
+      FROM (SELECT near.*, words.n AS m FROM near JOIN words ON words.word = near.other)
+    ), formed AS (
+      SELECT words.word, CASE WHEN m >= 5 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN m END AS form_n
+      FROM words LEFT JOIN best ON best.word = words.word AND best.i = 1
+    ), chain AS (
+      SELECT word, word AS root FROM formed UNION ALL SELECT chain.word, form FROM chain JOIN formed ON formed.word = root WHERE form IS NOT NULL
+    )
+    SELECT formed.word, formed.form, root, formed.n, formed.n_near, formed.form_n
+    FROM formed JOIN chain ON chain.word = formed.word JOIN formed last ON last.word = root AND last.form IS NULL
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir), "doc_id", "text", slip=199)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
