@@ -19,9 +19,11 @@ from statewatch.llm.common import plain, slices
 
 #: Fixed values of HTML: elements without content, with raw content, and those never shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+SELF_CLOSED = frozenset("svg math g path rect circle ellipse line polygon polyline use text tspan stop mrow mspace".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset(
-    "head script style template noscript title iframe noembed noframes object audio video canvas svg math datalist link meta base param source track area map".split()
+    "head script style template noscript title iframe noembed noframes audio video canvas datalist link meta base param source track area"
+    " defs desc metadata symbol clippath mask marker pattern annotation annotation-xml".split()
 )
 #: Blocks, and the empty lines around them.
 MARGIN = (
@@ -54,10 +56,9 @@ NAME = re.compile(r"[A-Za-z][^\s/>]*")
 INSIDE = re.compile(r"""(?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+""")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 BLANKS = re.compile(r"[ \t\n\f\r]+")
-NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-#: Columns of a table are padded up to this width; wider cells run over.
+STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z]+)", re.I)
+#: Columns of a table are padded up to this width; what follows a wider cell in its row is moved on.
 COLUMN = 60
-DEEPEST = 400
 
 
 class Node:
@@ -75,37 +76,63 @@ class Node:
                 return html.unescape(value[1:-1] if value[:1] in ("'", '"') else value)
         return None
 
+    def styled(self) -> dict[str, str]:
+        """The last ``display`` and ``visibility`` of the element's own style."""
+        if not self.attributes or (style := self.attribute("style")) is None:
+            return {}
+        return {found[1].lower(): found[2].lower() for found in STYLE.finditer(style)}
+
     def shown(self) -> bool:
+        """Whether the element and what it holds takes part in the page at all."""
         if self.tag in HIDDEN:
             return False
         if not self.attributes:
-            return True
+            return self.tag != "dialog"
         if self.attribute("hidden") is not None or (self.tag == "dialog" and self.attribute("open") is None):
             return False
-        return not NOT_SHOWN.search(self.attribute("style") or "")
+        return self.styled().get("display") != "none"
+
+    def seen(self, outside: bool) -> bool:
+        """Whether the element's own text is seen, given that of the element around it: visibility is inherited and can be taken back."""
+        own = self.styled().get("visibility") if self.attributes else None
+        return outside if own in (None, "inherit", "unset", "revert") else own not in ("hidden", "collapse")
+
+
+class Open:
+    """The open elements, outermost first, with the places of each name, so that a look for one costs the same at any depth."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, index: int) -> None:
+        while len(self.nodes) > index:
+            self.places[self.nodes.pop().tag].pop()
+
+    def last(self, names) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def find(self, names, walls) -> int:
+        """Place of the innermost element of these names, 0 if there is none or a wall comes first."""
+        found = self.last(names)
+        return found if found > self.last(w for w in walls if w not in names) else 0
 
 
 def parse(page: str) -> Node:
     """The tree of a page. Tags that are left out are implied, stray end tags are passed over, and whatever is open at the end is closed."""
     root = Node("html")
-    stack = [root]
-
-    def close(index: int) -> None:
-        del stack[index:]
-
-    def find(names, walls) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                return i
-            if stack[i].tag in walls:
-                return 0
-        return 0
+    opened = Open(root)
+    stack, find, close = opened.nodes, opened.find, opened.close
 
     def text(start: int, stop: int) -> None:
         if stop > start:
             piece = page[start:stop]
             if stack[-1].tag == "head" and piece.strip():
-                stack.pop()
+                close(len(stack) - 1)
             stack[-1].children.append(html.unescape(piece) if "&" in piece else piece)
 
     at, n = 0, len(page)
@@ -159,7 +186,7 @@ def parse(page: str) -> Node:
         if tag == "html":
             continue
         if stack[-1].tag == "head" and tag not in IN_HEAD:
-            stack.pop()
+            close(len(stack) - 1)
         if tag in ENDS_P and (index := find({"p"}, P_WALLS)):
             close(index)
         if tag in CLOSES and (index := find(*CLOSES[tag])):
@@ -168,7 +195,7 @@ def parse(page: str) -> Node:
             if stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 row = Node("tr")
                 stack[-1].children.append(row)
-                stack.append(row)
+                opened.push(row)
         node = Node(tag, attributes)
         stack[-1].children.append(node)
         if tag in VOID:
@@ -182,8 +209,8 @@ def parse(page: str) -> Node:
             gt = page.find(">", stop)
             at = n if gt < 0 else gt + 1
             continue
-        if len(stack) < DEEPEST:  # deeper elements still count, as siblings
-            stack.append(node)
+        if not (stop > 0 and page[stop - 1] == "/" and tag in SELF_CLOSED):
+            opened.push(node)
     return root
 
 
@@ -305,12 +332,16 @@ def render(root: Node) -> str:
     grids: list[Grid] = []
     numbers: list[int | None] = []
     pre = 0
+    seen = [True]  # of each open element
     work: list[tuple[Node | str, bool]] = [(root, False)]
     while work:
         node, leaving = work.pop()
         if isinstance(node, str):
             if grids and len(grids) > len(canvases) and not node.strip():
                 continue  # white space between the parts of a table
+            if not seen[-1]:
+                canvas.write(" ")
+                continue
             canvas.verbatim(node) if pre else canvas.write(node)
             continue
         tag = node.tag
@@ -320,12 +351,16 @@ def render(root: Node) -> str:
             if tag == "br":
                 canvas.end_line(True)
                 continue
+            own = node.seen(seen[-1])
             if tag == "hr":
                 canvas.block(1)
-                canvas.put("---")
-                canvas.block(1)
+                if own:
+                    canvas.put("---")
+                    canvas.block(1)
                 continue
             if tag == "input":
+                if not own:
+                    continue
                 kind = (node.attribute("type") or "text").lower()
                 if kind in ("text", "search", "submit", "reset", "button", "email", "url", "tel", "number") and (value := node.attribute("value")):
                     canvas.write(f" {value} ")
@@ -336,6 +371,7 @@ def render(root: Node) -> str:
             if tag == "details" and node.attribute("open") is None:  # closed: only its summary shows
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
             work.append((node, True))
+            seen.append(own)
             work.extend((child, False) for child in reversed(children))
             if tag == "table":
                 canvas.block(1)
@@ -353,19 +389,24 @@ def render(root: Node) -> str:
                     numbers.append((int(start) if start and re.fullmatch(r"-?\d{1,9}", start) else 1) if tag == "ol" else None)
                 elif tag == "li":
                     number = numbers[-1] if numbers else None
+                    if number is not None and (set_to := node.attribute("value")) and re.fullmatch(r"\s*-?\d{1,9}\s*", set_to):
+                        number = int(set_to)
                     mark = "* " if number is None else f"{number}. "
                     if number is not None:
                         numbers[-1] = number + 1
                     node.attributes = mark  # remembered for leaving
                     canvas.indent += " " * len(mark)
-                    canvas.bullet = mark
+                    canvas.bullet = mark if own else None
                 elif tag in ("blockquote", "dd"):
                     canvas.indent += "    "
                 elif tag in ("pre", "xmp"):
                     pre += 1
             elif tag == "textarea":
                 pre += 1
+            elif tag in ("svg", "text"):
+                canvas.write(" ")
             continue
+        seen.pop()
         if tag == "table":
             grid = grids.pop()
             canvas.end_line()
@@ -391,6 +432,8 @@ def render(root: Node) -> str:
                 canvas.indent = canvas.indent[:-4]
         elif tag == "textarea":
             pre -= 1
+        elif tag in ("svg", "text"):
+            canvas.write(" ")
     return "\n".join(canvas.finish())
 
 
@@ -401,8 +444,10 @@ def visible_text(page: str) -> str:
 def extract_text(pages: DataFrame, id: str = "page_id", page: str = "html") -> DataFrame:
     """One row per row of ``pages``: ``id, text``.
 
-    Cases: NULL or empty pages give an empty text. Broken markup is read as described at ``parse``; elements nested deeper than ``DEEPEST`` keep their
-    text and lose further nesting. Pages are read whole, whatever their length. Repeated rows give repeated results. An empty table gives no
+    Text inside drawings and formulas is shown, without their titles, descriptions and definitions; an object shows what stands in for it. Columns of
+    a table are padded to their widest cell of at most ``COLUMN`` characters; what follows a wider cell in its row is moved on.
+
+    Cases: NULL or empty pages give an empty text. Broken markup is read as described at ``parse``, at any depth. Pages are read whole, whatever their length. Repeated rows give repeated results. An empty table gives no
     rows; other columns are not read.
     """
     schema = T.StructType([T.StructField("id", pages.schema[id].dataType), T.StructField("text", T.StringType())])

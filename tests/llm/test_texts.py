@@ -236,3 +236,65 @@ def test_extract(spark):
     got = html.extract_text(pages).collect()
     assert sorted((r.id or 0, len(r.text)) for r in got) == [(0, 199_999), (1, 1), (2, 0), (3, 0), (4, 1), (4, 1)]
     assert html.extract_text(pages.where("false")).count() == 0
+
+
+# ---------------------------------------------------------------- deep and hidden parts of pages
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div>" * 450 + "<div style='display:none'>SECRET</div>after", "after"),
+        ("<div hidden>" + "<div>" * 450 + "x" + "</div>" * 450 + "STILLHIDDEN</div>shown", "shown"),
+        ("a<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><text>chart label</text></svg>b", "a chart label b"),
+        ("a<svg><path d='M0'/><text>x</text><text>y</text></svg>", "a x y"),
+        ("<p style='visibility:hidden'>no<span style='visibility:visible'>yes</span></p>", "yes"),
+        ("<p style='visibility:hidden'>no<span style='visibility:inherit'>nor</span></p>on", "on"),
+        ("<div style='visibility:visible;visibility:hidden'>no</div>yes", "yes"),
+        ("<div style='display:none;display:block'>yes</div>", "yes"),
+        ("<ol><li>a<li value=5>b<li>c</ol>", "1. a\n5. b\n6. c"),
+        ("<map><area>in a map</map><object><p>stand-in</p></object><math><mi>x</mi><annotation>no</annotation></math>", "in a map\nstand-in\nx"),
+        ("<ul><li style='visibility:hidden'>no<b style='visibility:visible'>yes</b></ul>", "yes"),
+    ],
+)
+def test_visible_parts(page, text):
+    got = [line.strip() for line in html.visible_text(page).split("\n") if line.strip()]
+    assert got == text.split("\n")
+
+
+def test_random_deep_trees():
+    """Words of the page in order, by a walk over the tree that made it."""
+    rng = random.Random(12)
+    for depth in (5, 60, 1000):
+        for _ in range(6):
+            words, page, count = [], [], 0
+            state = [(True, True, "")]  # shown, seen, end tag
+
+            def text():
+                nonlocal count
+                count += 1
+                page.append(f" w{count} ")
+                if state[-1][0] and state[-1][1]:
+                    words.append(f"w{count}")
+
+            while len(state) <= depth:
+                shown, seen, _ = state[-1]
+                tag, style = rng.choice(["div", "span", "b", "section"]), rng.choice(["", "", "", "visibility:hidden", "visibility:visible"])
+                if rng.random() < 0.1 and len(state) > 1 and depth < 100:
+                    page.append(state.pop()[2])
+                    text()
+                    continue
+                hidden = rng.random() < 2 / depth / 3
+                page.append(f"<{tag}{' hidden' if hidden else ''} style='{style}'>")
+                state.append((shown and not hidden, seen if not style else style.endswith("visible"), f"</{tag}>"))
+                text()
+            while len(state) > 1:
+                page.append(state.pop()[2])
+                text()
+            assert html.visible_text("".join(page)).split() == words
+
+
+def test_deep_pages_take_time_in_proportion():
+    page = "<div><ul><li><p>x" * 20_000
+    assert html.visible_text("<b>" * 200_000 + "end" + "</b>" * 200_000) == "end"
+    assert html.parse(page) is not None
