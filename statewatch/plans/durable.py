@@ -22,8 +22,18 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def durable(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` once as a columnar table in the shared folder and read it back.
+def own_session(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session beside ``spark`` with the same settings but for ``settings``: what is read in it runs under them, also later, and the
+    caller's own settings stay as they are."""
+    beside = spark.newSession()
+    for name, value in {**spark.conf.getAll, **settings}.items():
+        if beside.conf.isModifiable(name):
+            beside.conf.set(name, value)
+    return beside
+
+
+def durable(df: DataFrame, label: str = "stage", reader: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` once as a columnar table in the shared folder and read it back, in the session ``reader`` if there is one.
 
     Used where later steps read the same rows several times and must see the same
     assignment of rows to chunks each time. Unlike a lineage checkpoint it costs a single
@@ -32,4 +42,4 @@ def durable(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return (reader or spark).read.schema(df.schema).parquet(path)
