@@ -9,6 +9,7 @@ import base64
 import heapq
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +21,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statewatch.functions.arrays import let
-from statewatch.llm.common import arrow_rows, frequent_bound, plain, slices
-from statewatch.plans.durable import durable
+from statewatch.llm.common import arrow_rows, frequent_bound, give_back, plain, slices, trimmed
+from statewatch.plans.durable import durable, own_session
 
 #: The split that the rank files go with (fixed value): contractions, words, numbers, signs, white space.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Most words that are encoded once for the whole corpus and shipped to every task.
 FREQUENT = 1_000_000
-#: Bytes of text that are encoded together.
+#: Bytes of text whose rare words are encoded together.
 BLOCK = 4_000_000
+#: Bytes of text that are split at a time: characters take more room while they are split.
+PART = 200_000
 #: Longer words are merged with a heap instead of the fold, whose steps grow with the square of the length.
 LONG = 128
 SLOTS = 16_384
@@ -108,12 +111,6 @@ def starts_of(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def split_block(block: pa.RecordBatch, column: int) -> tuple[pa.Array, np.ndarray]:
-    """``split_words`` of a block, half a megabyte at a time: characters take more room while they are split."""
-    parts = [split_words(part.column(column)) for part in slices([block], column, 500_000)]
-    return pa.concat_arrays([words for words, _ in parts]), np.concatenate([sizes for _, sizes in parts])
-
-
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words of all texts as one binary array, and how many of them each text has."""
     values = [t or "" for t in texts.to_pylist()]
@@ -145,13 +142,8 @@ def literal_table(tokens: list[bytes]) -> Column:
     return F.from_json(F.lit(json.dumps(slots)), "array<map<string,int>>")
 
 
-def literal_bytes(tokens: list[bytes]) -> Column:
-    """The byte strings by rank as a literal array."""
-    return F.from_json(F.lit(json.dumps([t.decode("latin-1") for t in tokens])), "array<string>")
-
-
-def encode_word(word: Column, table: Column, pieces: Column) -> Column:
-    """``(ids, bytes)`` of a word (binary): a fold of ranked merges, and the pieces of its ids put together again.
+def encode_word(word: Column, table: Column) -> Column:
+    """Ids of a word (binary) by a fold of ranked merges.
 
     The state is the array of places where a piece starts, and the end. A step looks up what the pieces on both sides of each place make
     together, and removes the place of lowest rank, the first of equal ones; where nothing has a rank it removes nothing.
@@ -175,11 +167,7 @@ def encode_word(word: Column, table: Column, pieces: Column) -> Column:
         merged = let(cuts, lambda c: F.transform(F.slice(c, 1, F.size(c) - 1), lambda at, i: rank(F.substr(spelled, at, F.get(c, i + 1) - at))))
         return let(rank(spelled), lambda r: F.when(r.isNull(), merged).otherwise(F.array(r)))
 
-    def both(ids: Column) -> Column:
-        joined = F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")
-        return F.struct(ids.alias("ids"), F.encode(joined, "ISO-8859-1").alias("bytes"))
-
-    return let(let(F.decode(word, "ISO-8859-1"), fold), both)
+    return let(F.decode(word, "ISO-8859-1"), fold)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -214,7 +202,7 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 # ---------------------------------------------------------------- the corpus
 
 
-def count_words(docs: DataFrame, most: int = 1_000_000) -> DataFrame:
+def count_words(docs: DataFrame, most: int = 250_000) -> DataFrame:
     """``(word, n)`` over all texts. A task merges its counts block by block and flushes them when they reach ``most`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,8 +211,8 @@ def count_words(docs: DataFrame, most: int = 1_000_000) -> DataFrame:
         def total() -> pa.Table:
             return pa.Table.from_batches(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
-        for batch in slices(batches, 0, 4_000_000):
-            words, _ = split_block(batch, 0)
+        for batch in slices(batches, 0, PART):
+            words, _ = split_words(batch.column(0))
             counts = pc.value_counts(words)
             held.append(pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["word", "n"]))
             if sum(b.num_rows for b in held) > most:
@@ -235,10 +223,8 @@ def count_words(docs: DataFrame, most: int = 1_000_000) -> DataFrame:
                     held = []
         if held:
             yield from total().combine_chunks().to_batches()
-        held = []
-        pa.default_memory_pool().release_unused()
 
-    return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(trimmed(run), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(docs: DataFrame, most: int) -> DataFrame:
@@ -249,29 +235,139 @@ def frequent_words(docs: DataFrame, most: int) -> DataFrame:
     return counts.where(F.col("step") >= frequent_bound(counts, most)).select("word")
 
 
+@dataclass(frozen=True)
+class Known:
+    """Frequent words in the order of their hashes, for look-ups without a second copy of the words."""
+
+    hashes: np.ndarray
+    words: pa.Array
+
+    @staticmethod
+    def of(words: pa.Array) -> tuple[Known, pa.Array]:
+        """The words, and the order they are in now."""
+        hashes = word_hashes(words)
+        order = np.argsort(hashes, kind="stable")
+        return Known(hashes[order], words.take(pa.array(order))), pa.array(order)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Index of each word, -1 for those that are not known (or share a hash with one that is)."""
+        if not len(self.hashes):
+            return np.full(len(words), -1, np.int64)
+        mine = word_hashes(words)
+        at = np.minimum(np.searchsorted(self.hashes, mine), len(self.hashes) - 1)
+        same = pc.equal(self.words.take(pa.array(at)), words).to_numpy(zero_copy_only=False)
+        return np.where(same, at, -1)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    each = (w for start in range(0, len(words), 10_000) for w in words.slice(start, 10_000).to_pylist())
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in each), np.uint64, len(words))
+
+
+@dataclass(frozen=True)
+class Ids:
+    """Lists of ids, end to end."""
+
+    flat: np.ndarray
+    ends: np.ndarray
+
+    @staticmethod
+    def of(lists: pa.Array) -> Ids:
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+        return Ids(flat, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)))
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists at ``at``, end to end, and their lengths."""
+        starts = np.where(at > 0, self.ends[at - 1], 0)
+        size = self.ends[at] - starts
+        return self.flat[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+
+
+def read_block(block: pa.RecordBatch, known: Known, tokens: list[bytes], ranks: dict[bytes, int]) -> tuple:
+    """``(words of each text, code of each word, words to fold, ids of long words)`` of a block of texts.
+
+    A code numbers the known words, then the block's own short ones, then its long ones.
+    """
+    own: dict[bytes, int] = {}
+    shared = len(known.hashes)
+    sizes, codes = [np.zeros(0, np.int64)], [np.zeros(0, "<i4")]
+    for part in slices([block], 1, PART):
+        found, n = split_words(part.column(1))
+        sizes.append(n)
+        coded = found.dictionary_encode()
+        code = known.find(coded.dictionary).astype("<i4")
+        new = np.flatnonzero(code < 0)
+        code[new] = [shared + own.setdefault(w, len(own)) for w in coded.dictionary.take(pa.array(new)).to_pylist()]
+        codes.append(code[coded.indices.to_numpy()])
+    words = list(own)
+    long = np.array([len(w) > LONG for w in words], bool)
+    moved = np.arange(shared, shared + len(words), dtype="<i4")
+    moved[~long], moved[long] = shared + np.arange((~long).sum()), shared + (~long).sum() + np.arange(long.sum())
+    if long.any() and not ranks:
+        ranks.update({t: i for i, t in enumerate(tokens)})
+    merged = [merge_long(w, ranks) for w, is_long in zip(words, long, strict=True) if is_long]
+    code = np.concatenate(codes)
+    mine = code >= shared
+    code[mine] = moved[code[mine] - shared]
+    return np.concatenate(sizes), code, [w for w, is_long in zip(words, long, strict=True) if not is_long], merged
+
+
+def write_texts(ids: pa.Array, sizes: np.ndarray, code: np.ndarray, known: Ids, own: Ids, pieces: pa.Array, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Ids and decoded bytes of the texts of a block, some texts at a time. The bytes are the pieces of the ids, put together."""
+    shared = len(known.ends)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    for a, b in runs(starts, ends):
+        part = code[starts[a] : ends[b - 1]]
+        mine = part >= shared
+        size = np.zeros(len(part), np.int64)
+        lists = [known.take(part[~mine]), own.take(part[mine] - shared)]
+        for where, (_, n) in zip((~mine, mine), lists, strict=True):
+            size[where] = n
+        flat = np.empty(size.sum(), "<u4")
+        of_own = np.repeat(mine, size)
+        flat[~of_own], flat[of_own] = lists[0][0], lists[1][0]
+        strings = pieces.take(pa.array(flat))
+        joined = memoryview(strings.buffers()[2] or b"")
+        at = np.concatenate([[0], np.cumsum(size)])
+        to = np.concatenate([[0], np.cumsum(pc.binary_length(strings).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        n = at[np.concatenate([starts[a:b], ends[b - 1 : b]]) - starts[a]]
+        bounds = list(zip(n, n[1:], strict=False))
+        yield pa.RecordBatch.from_arrays(
+            [
+                ids.slice(a, b - a),
+                pa.array(np.diff(n), pa.int64()),
+                pa.array([flat[x:y].tobytes() for x, y in bounds], pa.binary()),
+                pa.array([joined[to[x] : to[y]] for x, y in bounds], pa.binary()),
+            ],
+            names=names,
+        )
+
+
 def encode_texts(docs: DataFrame, ranks_path: str, id: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """One row per row of ``docs``: ``id, n_tokens, ids`` (little-endian unsigned 32-bit, as binary) ``, decoded`` (binary).
 
     Words are encoded by a fold of Spark's array functions: those that are frequent in the corpus once (at most ``frequent``, which bounds
     what is shipped to the tasks), the others once for each block of texts where they occur, in the task that reads it. So nothing but
-    word counts is ever shuffled. Words of more than ``LONG`` bytes are merged with a heap, to the same result. Decoding puts the pieces
-    of each word's ids together; texts are put together from their words.
+    word counts is ever shuffled. Words of more than ``LONG`` bytes are merged with a heap, to the same result. Decoding puts the byte
+    strings of each text's ids together.
 
     Cases: NULL text counts as empty, an empty text has no tokens. Special tokens are ordinary text. Repeated rows give repeated results. An empty
     table gives no rows. Other columns are not read. Texts of any length are encoded whole.
     """
     spark = docs.sparkSession
     tokens = load_ranks(ranks_path)
-    table, pieces = literal_table(tokens), literal_bytes(tokens)
+    table = literal_table(tokens)
     source = docs.select(F.col(id).alias("id"), plain(text).alias("text"))
     known = frequent_words(source.select("text"), frequent)
-    known = known.withColumn("made", let(table, lambda t: let(pieces, lambda p: encode_word(F.col("word"), t, p))))
-    known = known.select("word", F.col("made.ids").alias("ids"), F.col("made.bytes").alias("bytes")).toArrow().combine_chunks()
-    columns = {c: pa.concat_arrays(known[c].chunks) if known.num_rows else pa.array([], known[c].type) for c in ("word", "ids", "bytes")}
-    spelled = spark.sparkContext.broadcast((tokens, columns["word"]))
-    encoded = spark.sparkContext.broadcast((columns["ids"], columns["bytes"]))
-    del known, columns  # the broadcasts have them
-    pa.default_memory_pool().release_unused()
+    made = known.select("word", let(table, lambda t: encode_word(F.col("word"), t)).alias("ids")).toArrow().combine_chunks()
+    words, lists = (pa.concat_arrays(made[c].chunks) if made.num_rows else pa.array([], made[c].type) for c in ("word", "ids"))
+    index, order = Known.of(words.cast(pa.binary()))
+    lists = Ids.of(lists.take(order))
+    spelled = spark.sparkContext.broadcast((tokens, index))
+    encoded = spark.sparkContext.broadcast((tokens, lists))
+    del made, words, lists, index, order  # the broadcasts have them
+    give_back()
 
     key = docs.schema[id].dataType
     blocks = T.StructType(
@@ -280,82 +376,46 @@ def encode_texts(docs: DataFrame, ranks_path: str, id: str = "doc_id", text: str
             T.StructField("sizes", T.ArrayType(T.LongType())),
             T.StructField("codes", T.BinaryType()),
             T.StructField("words", T.ArrayType(T.BinaryType())),
-            T.StructField("long", T.ArrayType(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("bytes", T.BinaryType())]))),
+            T.StructField("long", T.ArrayType(T.ArrayType(T.IntegerType()))),
         ]
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, words = spelled.value
+        tokens, index = spelled.value
         ranks: dict[bytes, int] = {}
         for batch in slices(batches, 1, BLOCK):
-            found, sizes = split_block(batch, 1)
-            coded = found.dictionary_encode()
-            known = pc.index_in(coded.dictionary, value_set=words).to_numpy(zero_copy_only=False)
-            code = np.where(np.isnan(known), -1, known).astype(np.int64)
-            new = np.flatnonzero(code < 0)
-            fresh = coded.dictionary.take(pa.array(new))
-            length = pc.binary_length(fresh).to_numpy(zero_copy_only=False)
-            is_long = length > LONG
-            short, long = new[~is_long], new[is_long]
-            # after the shared words come the block's own, then its long ones
-            code[short] = len(words) + np.arange(len(short))
-            code[long] = len(words) + len(short) + np.arange(len(long))
-            merged = []
-            for w in fresh.filter(pa.array(is_long)).to_pylist():
-                ranks = ranks or {t: i for i, t in enumerate(tokens)}
-                ids = merge_long(w, ranks)
-                merged.append({"ids": ids, "bytes": b"".join(tokens[i] for i in ids)})
-            codes = b"" if not len(found) else code[coded.indices.to_numpy()].astype("<i4").tobytes()
-            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            long_type = pa.struct([("ids", pa.list_(pa.int32())), ("bytes", pa.binary())])
-            yield pa.RecordBatch.from_arrays(
-                [one(batch.column(0)), one(pa.array(sizes, pa.int64())), pa.array([pa.compress(codes, codec="zstd", asbytes=True)], pa.binary()), one(fresh.filter(pa.array(~is_long))), one(pa.array(merged, long_type))],
-                names=blocks.names,
-            )
-            pa.default_memory_pool().release_unused()
+            sizes, codes, short, long = read_block(batch, index, tokens, ranks)
+            packed = pa.array([pa.compress(codes.tobytes(), codec="zstd", asbytes=True)], pa.binary())
+            columns = [pa.array(sizes, pa.int64()), pa.array(short, pa.binary()), pa.array(long, pa.list_(pa.int32()))]
+            one = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (batch.column(0), *columns)]
+            yield pa.RecordBatch.from_arrays([one[0], one[1], packed, one[2], one[3]], names=blocks.names)
+            give_back()
 
     out = T.StructType([T.StructField("id", key), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_ids, known_bytes = encoded.value
+        tokens, known = encoded.value
+        pieces = pa.array(tokens, pa.binary())
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, sizes, codes, made, long = (batch.column(c)[row] for c in ("docs", "sizes", "codes", "made", "long"))
-                of_block = [x.values for x in (made, long) if len(x.values)]
-                id_lists = pa.concat_arrays([known_ids, *(x.flatten()[0].cast(known_ids.type) for x in of_block)])
-                byte_strings = pa.concat_arrays([known_bytes, *(x.flatten()[1] for x in of_block)])
-                ends = np.cumsum(sizes.values.to_numpy())
-                code = np.frombuffer(pa.decompress(codes.as_py(), 4 * int(ends[-1]), codec="zstd") if ends[-1] else b"", "<i4")
-                starts = ends - sizes.values.to_numpy()
-                for a, b in runs(starts, ends):  # some texts at a time
-                    part = pa.array(code[starts[a] : ends[b - 1]])
-                    lists, strings = id_lists.take(part), byte_strings.take(part)
-                    flat = lists.flatten().to_numpy().astype("<u4").tobytes()
-                    joined = memoryview(strings.buffers()[2] or b"")
-                    at = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-                    to = np.concatenate([[0], np.cumsum(pc.binary_length(strings).to_numpy(zero_copy_only=False))]).astype(np.int64)
-                    cuts = np.concatenate([starts[a:b] - starts[a], ends[b - 1 : b] - starts[a]])
-                    n = at[cuts]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.values.slice(a, b - a),
-                            pa.array(np.diff(n), pa.int64()),
-                            pa.array([flat[4 * x : 4 * y] for x, y in zip(n, n[1:], strict=False)], pa.binary()),
-                            pa.array([joined[x:y] for x, y in zip(to[cuts], to[cuts][1:], strict=False)], pa.binary()),
-                        ],
-                        names=out.names,
-                    )
-                pa.default_memory_pool().release_unused()
-
-    made = let(table, lambda t: let(pieces, lambda p: F.transform("words", lambda w: encode_word(w, t, p))))
-    folded = source.mapInArrow(read, blocks).select("docs", "sizes", "codes", "long", made.alias("made"))
+                own = Ids.of(pa.concat_arrays([x.values.cast(pa.list_(pa.int32())) for x in (made, long)]))
+                sizes = sizes.values.to_numpy()
+                n = int(sizes.sum())
+                code = np.frombuffer(pa.decompress(codes.as_py(), 4 * n, codec="zstd") if n else b"", "<i4")
+                yield from write_texts(ids.values, sizes, code, known, own, pieces, out.names)
+                give_back()
+
+    made = let(table, lambda t: F.transform("words", lambda w: encode_word(w, t)))
+    folded = source.mapInArrow(trimmed(read), blocks).select("docs", "sizes", "codes", "long", made.alias("made"))
     # written once: the folds are the dear part, and the two passes in Python need not be in memory together
+    # a row is a whole block there, so the second pass takes one at a time
     with arrow_rows(spark):
-        written = durable(folded, "folded")
-    return written.mapInArrow(write, out)
+        written = durable(folded, "folded", own_session(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"}))
+    return written.mapInArrow(trimmed(write), out)
 
 
-def runs(starts: np.ndarray, ends: np.ndarray, most: int = 200_000) -> Iterator[tuple[int, int]]:
+def runs(starts: np.ndarray, ends: np.ndarray, most: int = 100_000) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts with about ``most`` words together."""
     a = 0
     for b in range(1, len(starts) + 1):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statewatch.llm.common import arrow_rows, components, drop_copies, plain, row_key, slices, texts
+from statewatch.llm.common import arrow_rows, components, drop_copies, plain, row_key, slices, texts, trimmed
 from statewatch.plans.durable import durable
 
 SEED = 42
@@ -51,7 +51,7 @@ def fingerprints(records: DataFrame, id: str, text: str, shingle: int = SHINGLE)
             found = np.array([fingerprint(t, shingle) for t in texts(batch.column(2))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["id", "key", "fingerprint"])
 
-    return records.select(F.col(id).alias("id"), row_key(id, plain(text)).alias("key"), plain(text).alias("text")).mapInArrow(run, schema)
+    return records.select(F.col(id).alias("id"), row_key(id, plain(text)).alias("key"), plain(text).alias("text")).mapInArrow(trimmed(run), schema)
 
 
 def masks(free: list[int], radius: int = RADIUS) -> list[int]:
@@ -158,7 +158,7 @@ def bucket_links(rows: DataFrame, group: list[str], radius: int, most: int | Non
         table = pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(big_table)])
         return pa.RecordBatch.from_arrays([table, pa.array(np.concatenate([a, big])), second], ["table", "a", "b"])
 
-    return parts.mapInArrow(run, "table bigint, a bigint, b bigint")
+    return parts.mapInArrow(trimmed(run), "table bigint, a bigint, b bigint")
 
 
 def fingerprint_links(values: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statewatch.llm.common import arrow_rows, hashed_sample, plain, slices, texts
+from statewatch.llm.common import arrow_rows, hashed_sample, plain, slices, texts, trimmed
 from statewatch.plans.durable import durable
 
 #: Characters that look like a Latin letter (Cyrillic, Greek), and digits or signs that stand for one.
@@ -147,7 +147,7 @@ def count_terms(docs: DataFrame, only: list[str] | None, most: int = 400_000) ->
                     yield flush()
         yield flush()
 
-    return docs.select("text").mapInArrow(run, "term string, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs"))
+    return docs.select("text").mapInArrow(trimmed(run), "term string, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 out.append(min(map(xxhash.xxh64_intdigest, grams)) >> 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def choose(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int, support: int, least: float) -> Lexicon:
@@ -270,7 +270,7 @@ def match(docs: DataFrame, id: str, text: str, lexicon: Lexicon, keep: list[str]
                 scores.append(1.0 / (1.0 + math.exp(-z)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(weights, pa.float64()), pa.array(words, pa.int64()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.select(*columns, plain(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*columns, plain(text).alias("_text")).mapInArrow(trimmed(run), schema)
 
 
 def score_toxicity(docs: DataFrame, marks: DataFrame, id: str = "doc_id", text: str = "text", mark: str = "toxic", learn=None, threshold: float = 0.7, **options) -> DataFrame:
@@ -308,5 +308,5 @@ def keep_clean(docs: DataFrame, text: str, lexicon: Lexicon, threshold: float) -
                 keep.append(1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, b0 + b1 * m1 + b2 * m2)))) < threshold)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
