@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statewatch.llm import bpe, exact, mixing, simhash, toxicity
-from statewatch.llm.common import plain, remainder
+from statewatch.llm.common import arrow_rows, plain, remainder
 from statewatch.plans.durable import durable
 
 #: The rank file's name in the folder of public tokenizers; ``STATEWATCH_RANKS`` may name another file.
@@ -70,5 +70,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = durable(stage(spark, docs, sf_dir), name)
+        made = stage(spark, docs, sf_dir)
+        with arrow_rows(spark):
+            docs = durable(made, name, spark)
     return docs
