@@ -10,8 +10,8 @@ from statewatch.operators import alerts as A
 from statewatch.operators import delay as D
 from statewatch.operators import evaluation as E
 
-# role scores of a shot: events above the code's middle, scaled; method = parity of the user
-SCORES = V.BITS + """, sc AS (SELECT CAST(user_id % 3 AS INT) AS method, user_id * 1000 + shot AS shot, role, (k * 37 % 100) / 100.0 AS score FROM bits)"""
+# role scores of a shot: events above the code's middle, scaled; method = a third of the users, whose shots are numbered through
+SCORES = V.BITS + """, sc AS (SELECT CAST(user_id % 3 AS INT) AS method, dense_rank() OVER (PARTITION BY user_id % 3 ORDER BY user_id, shot) - 1 AS shot, role, (k * 37 % 100) / 100.0 AS score FROM bits)"""
 MAXIMA = """mx AS (SELECT method, shot, max(score) AS maximum FROM sc GROUP BY ALL)"""
 ALERTS = """al AS (SELECT method, shot, max(score) AS shot_score, arg_max(role, (score, -role)) AS score_role,
   coalesce(min(role) FILTER (WHERE score > 0.9), -1) AS first_role, max(score) > 0.9 AS alert FROM sc GROUP BY ALL)"""
@@ -19,8 +19,8 @@ ALERTS = """al AS (SELECT method, shot, max(score) AS shot_score, arg_max(role,
 
 def scores(spark, sf):
     s = F.pmod(F.col("k") * 37, F.lit(100)) / 100.0
-    shot = F.col("user_id") * 1000 + F.col("shot")
-    return V.bits(spark, sf).select(F.pmod("user_id", F.lit(3)).cast("int").alias("method"), shot.alias("shot"), "role", s.alias("score"))
+    rows = V.bits(spark, sf).select(F.pmod("user_id", F.lit(3)).cast("int").alias("method"), "user_id", "shot", "role", s.alias("score"))
+    return V.numbered_shots(rows, ["method"]).select("method", "shot", "role", "score")
 
 
 @query(
@@ -65,11 +65,11 @@ def frontier(spark, sf):
         SCORES, ALERTS,
         body="""SELECT method, shot, shot_score, alert, CAST(sum(CAST(alert AS INT)) OVER (PARTITION BY method ORDER BY shot) AS BIGINT) AS cumulative,
         row_number() OVER (PARTITION BY method ORDER BY shot_score DESC, shot) AS rank,
-        CAST(shot >= 20000 AND shot < 60000 AS INT) AS in_primary, CAST(shot >= 30000 AND shot < 40000 AS INT) AS in_narrow FROM al""",
+        CAST(shot >= 200 AND shot < 600 AS INT) AS in_primary, CAST(shot >= 300 AND shot < 400 AS INT) AS in_narrow FROM al""",
     ),
 )
 def shot_report(spark, sf):
-    out = A.shot_report(scores(spark, sf), 0.9, {"primary": (20000, 60000), "narrow": (30000, 40000)}, ["method"])
+    out = A.shot_report(scores(spark, sf), 0.9, {"primary": (200, 600), "narrow": (300, 400)}, ["method"])
     return out.select("method", "shot", "shot_score", "alert", "cumulative", "rank", "in_primary", "in_narrow")
 
 
@@ -77,15 +77,15 @@ def shot_report(spark, sf):
     "r05_event_summary",
     V.sql(
         SCORES, ALERTS,
-        """w("window", a, b) AS (VALUES ('primary', 20000, 60000), ('narrow', 30000, 31000), ('empty', 999, 1000))""",
-        body="""SELECT method, "window", (SELECT count(*) FROM al x WHERE x.method = al.method AND x.alert AND x.shot < 20000) AS pre_alerts,
+        """w("window", a, b) AS (VALUES ('primary', 200, 600), ('narrow', 300, 310), ('empty', 1000000000000, 1000000000001))""",
+        body="""SELECT method, "window", (SELECT count(*) FROM al x WHERE x.method = al.method AND x.alert AND x.shot < 200) AS pre_alerts,
         count(*) FILTER (WHERE alert AND shot >= a AND shot < b) > 0 AS detected, min(shot) FILTER (WHERE alert AND shot >= a AND shot < b) AS first_shot,
         CAST(arg_min(first_role, shot) FILTER (WHERE alert AND shot >= a AND shot < b) AS INT) AS first_role FROM al CROSS JOIN w GROUP BY ALL""",
     ),
 )
 def event_summary(spark, sf):
     alerts = A.shot_alerts(scores(spark, sf), 0.9, ["method"])
-    return A.event_summary(alerts, {"primary": (20000, 60000), "narrow": (30000, 31000), "empty": (999, 1000)}, "primary", ["method"])
+    return A.event_summary(alerts, {"primary": (200, 600), "narrow": (300, 310), "empty": (10**12, 10**12 + 1)}, "primary", ["method"])
 
 
 @query(

@@ -133,12 +133,11 @@ def shot_index(spark, sf):
 
 @query(
     "s07_flatten_shots",
-    V.sql(V.BITS_LONG, body="""SELECT (user_id * 100000 + shot) * 5 + role AS "index", chk, bit FROM bits_long"""),
+    V.sql(V.BITS_LONG, body="""SELECT (dense_rank() OVER (ORDER BY user_id, shot) - 1) * 5 + role AS "index", chk, bit FROM bits_long"""),
 )
 def flatten(spark, sf):
     rows = V.bits(spark, sf).withColumn("bits", unpack("k", 7))
-    # one stream of shots for all users: a user's shots follow those of the one before
-    return shaping.flatten_shots(rows.withColumn("shot", F.col("user_id") * 100_000 + F.col("shot")), "bits", "shot", "role", 5)
+    return shaping.flatten_shots(V.numbered_shots(rows), "bits", "shot", "role", 5)
 
 
 SPLITS = [("fit", 0, 4), ("threshold", 4, 8), ("held", 9, 14)]

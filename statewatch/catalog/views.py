@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,13 @@ def bits_long(spark: SparkSession, sf: str) -> DataFrame:
     return bits(spark, sf).select("user_id", "shot", "role", F.posexplode(unpack("k", 7)).alias("chk", "bit"))
 
 
+def numbered_shots(rows: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with ``shot`` counted from 0 over all users of a key, so that no two users share a number; a user's shots follow those of the one before."""
+    shots = place(rows.select(*key, "user_id", "shot").distinct(), key, ["user_id", "shot"], "_at").rows()
+    joined = rows.join(shots, [*key, "user_id", "shot"])
+    return joined.drop("shot").withColumn("shot", F.col("_at") - 1).drop("_at")
+
+
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """First half of a user's complete shots is the reference, second half the monitor side."""
     b = bits(spark, sf)
