@@ -30,19 +30,8 @@ def _matrix(column) -> np.ndarray:
 # ---------------------------------------------------------------- contrast e-process
 
 
-def witness_scores(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], vec: str, reference: np.ndarray, window: int = 64, rank: int | None = None,
-    tolerance: float = 1e-12, rows_per_block: int | None = None, longest: int | None = None,
-) -> DataFrame:
-    """``(t, score, contrast, rank)``: each row scored by the best effect of the ``window`` rows before it.
-
-    The effect depends on a bounded past only, so blocks of a long key overlap by ``window`` rows
-    and run independently.
-    """
-    rho0 = 0.5 * (np.asarray(reference, dtype=float) + np.asarray(reference, dtype=float).T)
-    placed = place(df.withColumn("_x", doubles(vec)), key, order, rows_per_block=rows_per_block, longest=longest, spread=True)
-    key = list(key)
-    schema = "".join(f"{_names(df, [k])}, " for k in key) + "t bigint, score double, contrast double, rank int"
+def witness_kernel(names: Sequence[str], rho0: np.ndarray, window: int, rank: int | None = None, tolerance: float = 1e-12):
+    """Kernel of ``witness_scores`` over consecutive rows ``_x``, of which those marked ``_warm`` only serve as past."""
 
     def apply(g: Group, _: np.ndarray) -> Group:
         x, warm = _matrix(g["_x"]), g["_warm"].astype(bool)
@@ -67,8 +56,26 @@ def witness_scores(
             score[a : a + 1024] = ((seen - expected) * chosen).sum(axis=1)
             contrast[a : a + 1024] = (values * chosen).sum(axis=1)
             found[a : a + 1024] = chosen.sum(axis=1)
-        return {**{n: g[n][~warm] for n in [*key, "t"]}, "score": score, "contrast": contrast, "rank": found}
+        return {**{n: g[n][~warm] for n in names}, "score": score, "contrast": contrast, "rank": found}
+
+    return apply
+
+
+def witness_scores(
+    df: DataFrame, key: Sequence[str], order: Sequence[str], vec: str, reference: np.ndarray, window: int = 64, rank: int | None = None,
+    tolerance: float = 1e-12, rows_per_block: int | None = None, longest: int | None = None,
+) -> DataFrame:
+    """``(t, score, contrast, rank)``: each row scored by the best effect of the ``window`` rows before it.
+
+    The effect depends on a bounded past only, so blocks of a long key overlap by ``window`` rows
+    and run independently.
+    """
+    rho0 = 0.5 * (np.asarray(reference, dtype=float) + np.asarray(reference, dtype=float).T)
+    placed = place(df.withColumn("_x", doubles(vec)), key, order, rows_per_block=rows_per_block, longest=longest, spread=True)
+    key = list(key)
+    schema = "".join(f"{_names(df, [k])}, " for k in key) + "t bigint, score double, contrast double, rank int"
 
+    apply = witness_kernel([*key, "t"], rho0, window, rank, tolerance)
     return placed.scan(schema, ["_x"], apply, np.zeros(1), before=window)
 
 
@@ -116,6 +123,19 @@ def _ewma_end(x: np.ndarray, alpha: float) -> np.ndarray:
     return weight @ x
 
 
+def topk_step(names: Sequence[str], alpha: float, ks: Sequence[int]):
+    """Step of ``ewma_topk`` over consecutive rows ``_x``; the state is the average."""
+
+    def step(g: Group, state: np.ndarray) -> tuple[Group, np.ndarray]:
+        average, rows = state[None, :].copy(), []
+        for v in _matrix(g["_x"]):
+            rows.append(top_k_scores(average, v, ks)[0])
+            average = (1 - alpha) * average + alpha * v
+        return {**{n: g[n] for n in names}, "scores": rows}, average[0]
+
+    return step
+
+
 def ewma_topk(
     df: DataFrame, key: Sequence[str], order: Sequence[str], diff: str, dim: int, half_life: float, ks: Sequence[int], rows_per_block: int | None = None
 ) -> DataFrame:
@@ -132,12 +152,10 @@ def ewma_topk(
     key = list(key)
     schema = "".join(f"{_names(df, [k])}, " for k in key) + "t bigint, scores array<double>"
 
+    step = topk_step([*key, "t"], alpha, ks)
+
     def apply(g: Group, state: np.ndarray) -> Group:
-        values, average, rows = _matrix(g["_x"]), state[None, :].copy(), []
-        for v in values:
-            rows.append(top_k_scores(average, v, ks)[0])
-            average = (1 - alpha) * average + alpha * v
-        return {**{n: g[n] for n in [*key, "t"]}, "scores": rows}
+        return step(g, state)[0]
 
     def summarize(g: Group) -> np.ndarray:
         values = _matrix(g["_x"])
@@ -149,21 +167,11 @@ def ewma_topk(
     return placed.scan(schema, ["_x"], apply, np.zeros(dim), summarize, combine)
 
 
-def ewma_spectral(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], delta: str, dim: int, half_life: float, stride: int = 1, rows_per_block: int | None = None
-) -> DataFrame:
-    """``(t, rank_one, positive)``: scores of matrix differences under effects refitted every ``stride`` rows.
+def spectral_step(names: Sequence[str], dim: int, alpha: float, stride: int):
+    """Step of ``ewma_spectral`` over consecutive rows ``_x`` with their positions ``t``, and the check of the matrices.
 
-    One eigendecomposition serves both effects. Differences must be symmetric, traceless and have
-    trace norm at most two.
+    The state is the average, and the average as of the last refit.
     """
-    alpha = smoothing(half_life)
-    if stride < 1:
-        raise ValueError("stride must be positive")
-    # a block starts where the effects are refitted
-    placed = place(df.withColumn("_x", doubles(delta)), key, order, rows_per_block=block_rows(rows_per_block, stride), spread=True)
-    key = list(key)
-    schema = "".join(f"{_names(df, [k])}, " for k in key) + "t bigint, rank_one double, positive double"
 
     def matrices(g: Group) -> np.ndarray:
         m = _matrix(g["_x"]).reshape(-1, dim, dim)
@@ -177,16 +185,42 @@ def ewma_spectral(
             raise ValueError("differences must have trace norm at most two")
         return 0.5 * (m + m.transpose(0, 2, 1))
 
-    def apply(g: Group, state: np.ndarray) -> Group:
-        average, rows = state.reshape(1, dim, dim).copy(), []
-        effects = spectral_effects(average)[0]
+    def step(g: Group, state: np.ndarray) -> tuple[Group, np.ndarray]:
+        (average, fitted), rows = state.reshape(2, 1, dim, dim).copy(), []
+        effects = spectral_effects(fitted)[0]
         for t, m in zip(g["t"], matrices(g), strict=True):
             rows.append(np.einsum("eij,ji->e", effects, m))
             average = (1 - alpha) * average + alpha * m
             if t % stride == 0:
-                effects = spectral_effects(average)[0]
+                fitted = average
+                effects = spectral_effects(fitted)[0]
         scores = np.clip(np.array(rows), -1.0, 1.0)
-        return {**{n: g[n] for n in [*key, "t"]}, "rank_one": scores[:, 0], "positive": scores[:, 1]}
+        out = {**{n: g[n] for n in names}, "rank_one": scores[:, 0], "positive": scores[:, 1]}
+        return out, np.concatenate([average.ravel(), fitted.ravel()])
+
+    return step, matrices
+
+
+def ewma_spectral(
+    df: DataFrame, key: Sequence[str], order: Sequence[str], delta: str, dim: int, half_life: float, stride: int = 1, rows_per_block: int | None = None
+) -> DataFrame:
+    """``(t, rank_one, positive)``: scores of matrix differences under effects refitted every ``stride`` rows.
+
+    One eigendecomposition serves both effects. Differences must be symmetric, traceless and have
+    trace norm at most two.
+    """
+    alpha = smoothing(half_life)
+    if stride < 1:
+        raise ValueError("stride must be positive")
+    # a block starts where the effects are refitted
+    placed = place(df.withColumn("_x", doubles(delta)), key, order, rows_per_block=block_rows(rows_per_block, stride), spread=True)
+    key = list(key)
+    schema = "".join(f"{_names(df, [k])}, " for k in key) + "t bigint, rank_one double, positive double"
+
+    step, matrices = spectral_step([*key, "t"], dim, alpha, stride)
+
+    def apply(g: Group, state: np.ndarray) -> Group:
+        return step(g, np.concatenate([state, state]))[0]
 
     def summarize(g: Group) -> np.ndarray:
         m = matrices(g).reshape(len(g["t"]), -1)

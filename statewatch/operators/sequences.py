@@ -326,6 +326,37 @@ def hmm_increments(
     return placed.scan(schema, ["_e1", "_e2", "_n"], apply, np.array([*start, 1.0]), summarize, combine)
 
 
+def chain_step(names: Sequence[str], mats: np.ndarray, prior: np.ndarray, w: np.ndarray):
+    """Step of ``hmm_sr`` over consecutive rows ``_a``, ``_b``, with the parts its summaries use. The state is the masses and their scale in logs."""
+    k, h = mats.shape[0], mats.shape[1]
+
+    def emissions(g: Group) -> tuple[np.ndarray, np.ndarray]:
+        return np.stack(g["_a"]), np.stack(g["_b"])
+
+    def advance(mass: np.ndarray, scale: float, a: np.ndarray, b: np.ndarray, inject: bool) -> tuple[np.ndarray, float]:
+        moved = np.einsum("...kh,khj->...kj", mass, mats)
+        if inject:
+            moved = moved + prior * math.exp(-scale)
+        moved = np.einsum("...kh,khj->...kj", moved * a, mats) * b
+        top = moved.max()
+        if top > 1e100 or (0 < top < 1e-100):
+            return moved / top, scale + math.log(top)
+        return moved, scale
+
+    def step(g: Group, state: np.ndarray) -> tuple[Group, np.ndarray]:
+        a, b = emissions(g)
+        mass, scale = state[:-1].reshape(k, h), float(state[-1])
+        logs = np.empty(len(a))
+        for i in range(len(a)):
+            mass, scale = advance(mass, scale, a[i], b[i], True)
+            total = float(w @ mass.sum(axis=1))
+            logs[i] = math.log(total) + scale if total > 0 else -np.inf
+        out = {**{n: g[n] for n in names}, "log_stat": logs, "stat": np.exp(np.minimum(logs, 709.0))}
+        return out, np.concatenate([mass.ravel(), [scale]])
+
+    return step, emissions, advance
+
+
 def hmm_sr(
     df: DataFrame, key: Sequence[str], order: Sequence[str], first: str, second: str, transitions: Sequence[Sequence[Sequence[float]]],
     stationary: Sequence[float], weights: Sequence[float] | None = None, threshold: float = 1000.0, rows_per_block: int | None = None, longest: int | None = None,
@@ -351,28 +382,10 @@ def hmm_sr(
     names, pos = list(placed.key), placed.pos
     schema = "".join(f"`{n}` {fields[n]}, " for n in names) + "t bigint, log_stat double, stat double"
 
-    def emissions(g: Group) -> tuple[np.ndarray, np.ndarray]:
-        return np.stack(g["_a"]), np.stack(g["_b"])
-
-    def advance(mass: np.ndarray, scale: float, a: np.ndarray, b: np.ndarray, inject: bool) -> tuple[np.ndarray, float]:
-        moved = np.einsum("...kh,khj->...kj", mass, mats)
-        if inject:
-            moved = moved + prior * math.exp(-scale)
-        moved = np.einsum("...kh,khj->...kj", moved * a, mats) * b
-        top = moved.max()
-        if top > 1e100 or (0 < top < 1e-100):
-            return moved / top, scale + math.log(top)
-        return moved, scale
+    step, emissions, advance = chain_step([*names, pos], mats, prior, w)
 
     def apply(g: Group, state: np.ndarray) -> Group:
-        a, b = emissions(g)
-        mass, scale = state[:-1].reshape(k, h), float(state[-1])
-        logs = np.empty(len(a))
-        for i in range(len(a)):
-            mass, scale = advance(mass, scale, a[i], b[i], True)
-            total = float(w @ mass.sum(axis=1))
-            logs[i] = math.log(total) + scale if total > 0 else -np.inf
-        return {**{n: g[n] for n in [*names, pos]}, "log_stat": logs, "stat": np.exp(np.minimum(logs, 709.0))}
+        return step(g, state)[0]
 
     def summarize(g: Group) -> np.ndarray:
         a, b = emissions(g)

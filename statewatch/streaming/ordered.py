@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from statewatch.plans.durable import shared_folder
 from statewatch.plans.ordering import Group, arrays, frame
@@ -41,7 +41,12 @@ def _outer(name: str) -> str:
 
 
 class OrderedProcessor(StatefulProcessor):
-    def __init__(self, step: Step, start: np.ndarray, fields: T.StructType, order: Sequence[str], output: T.StructType) -> None:
+    """With ``late``, rows that the watermark has passed are handed on as they come, marked; without it the engine drops them beforehand."""
+
+    def __init__(
+        self, step: Step, start: np.ndarray, fields: T.StructType, order: Sequence[str], output: T.StructType, late: Sequence[str] | None = None
+    ) -> None:
+        self.late = None if late is None else list(late)
         self.step, self.start, self.fields, self.order = step, np.asarray(start, float), fields, list(order)
         self.output = output.fieldNames()
         self.whole = [f.name for f in output.fields if isinstance(f.dataType, T.LongType)]
@@ -55,6 +60,15 @@ class OrderedProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         fresh = pd.concat(list(rows), ignore_index=True)
+        if self.late is not None:
+            passed = fresh["at_ms"] <= timerValues.getCurrentWatermarkInMs()
+            if passed.any():
+                yield self._marked(fresh[passed])
+            fresh = fresh[~passed]
+            if len(fresh):  # nothing is due before the watermark moves on, so what waits is not read
+                self.buffer.appendList([tuple(map(_plain, r)) for r in fresh[self.names].itertuples(index=False, name=None)])
+                self.handle.registerTimer(int(fresh["at_ms"].min()))
+            return
         waiting = list(self.buffer.get()) if self.buffer.exists() else []
         mine = [tuple(map(_plain, r)) for r in fresh[self.names].itertuples(index=False, name=None)]
         yield from self._release(waiting + mine, timerValues)
@@ -65,6 +79,16 @@ class OrderedProcessor(StatefulProcessor):
     def handleInitialState(self, key, initialState, timerValues) -> None:
         self.learner.update(([float(v) for v in initialState["_state"].iloc[0]],))
 
+    def _marked(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """Rows without a result: their key, time, and mark."""
+        made = pd.DataFrame({c: pd.Series([None] * len(rows), dtype=object) for c in self.output})
+        for name in self.late:
+            made[name] = rows[_inner(name)].to_numpy()
+        made["late"], made["at"] = True, pd.to_datetime(rows["at_us"].to_numpy(), unit="us", utc=True)
+        for name in self.whole:
+            made[name] = made[name].astype("Int64")
+        return made[self.output]
+
     def _release(self, rows, timerValues):
         mark = timerValues.getCurrentWatermarkInMs()
         at = self.names.index("at_ms")
@@ -80,6 +104,8 @@ class OrderedProcessor(StatefulProcessor):
             out, after = self.step(arrays(pdf), state)
             self.learner.update(([float(x) for x in after],))
             made = frame([out])
+            if self.late is not None:
+                made["late"], made["at"] = False, pd.to_datetime(pdf["at_us"].to_numpy(), unit="us", utc=True)
             for name in self.whole:
                 made[name] = made[name].astype("Int64")
             yield made[self.output]
@@ -90,32 +116,54 @@ class OrderedProcessor(StatefulProcessor):
 
 def stream_detector(
     df: DataFrame, key: Sequence[str], event_time: str, order: Sequence[str], columns: Sequence[str], step: Step, start: np.ndarray,
-    schema: str, delay: str = "0 seconds", states: DataFrame | None = None,
+    schema: str, delay: str | None = "0 seconds", states: DataFrame | None = None, late: bool = False,
 ) -> DataFrame:
     """Run a batch kernel on a stream: one state per key, rows stepped in event-time order.
 
-    Rows later than the watermark are dropped by the engine. ``states`` (key..., ``_state``)
-    warms keys from an earlier run.
+    Rows later than the watermark are dropped by the engine, which counts them (``dropped_rows``). With ``late`` they come out instead, each with its
+    key, ``late`` and its time ``at`` and nothing else, so that no row vanishes; rows with a result then have ``late`` false. ``delay`` is
+    None where the rows carry a watermark already, as behind an event-time window. ``states`` (key..., ``_state``) warms keys from an earlier run.
     """
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    timed = df.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, delay)
+    timed = df if delay is None else df.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, delay)
     # order ties inside a millisecond by microseconds and then by the given columns
     rows = timed.withColumns({"at_us": F.unix_micros(event_time), "at_ms": F.floor(F.unix_micros(event_time) / 1000).cast("bigint")})
     names = list(dict.fromkeys([*key, *columns, *[c for c in order if c != event_time], "at_us", "at_ms"]))
-    kept = rows.select(event_time, *[F.col(n).alias(_inner(n)) for n in names])
+    # the engine drops late rows by the column that bears the watermark; without that column they reach the processor
+    kept = rows.select(*([] if late else [event_time]), *[F.col(n).alias(_inner(n)) for n in names])
     fields = T.StructType([kept.schema[_inner(n)] for n in names])
-    output = T._parse_datatype_string(schema)
+    output = T._parse_datatype_string(schema + (", late boolean, at timestamp" if late else ""))
     sort = ["at_us", *[c for c in order if c != event_time]]
-    processor = OrderedProcessor(step, start, fields, sort, output)
+    processor = OrderedProcessor(step, start, fields, sort, output, key if late else None)
     initial = None if states is None else states.groupBy(*key)
     return kept.groupBy(*key).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=output, outputMode="Append", timeMode="EventTime", initialState=initial
     )
 
 
-def late_rows(df: DataFrame, event_time: str, mark: str) -> DataFrame:
-    """Rows a given watermark would drop; for a side output that counts them."""
-    return df.where(F.col(event_time).cast("timestamp") < F.lit(mark).cast("timestamp"))
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that the engine dropped behind the watermark, over the progress reports it still holds."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
+def run_to_tables(stream: DataFrame, path: str | None = None, checkpoint: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Process everything available of a stream made with ``late`` and write two tables: rows in time, and late ones.
+
+    Every micro-batch has a folder of its own in both, replaced as a whole if the batch runs again.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    path, checkpoint = path or f"{base}/out", checkpoint or f"{base}/checkpoint"
+
+    def split(batch: DataFrame, number: int) -> None:
+        batch.write.partitionBy("late").mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(split).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    fields = [f for f in stream.schema.fields if f.name != "late"]
+    schema = T.StructType([*fields, T.StructField("late", T.BooleanType())])
+    table = spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch=*")
+    return table.where(~F.col("late")).select(*[f.name for f in fields]), table.where("late").select(*[f.name for f in fields])
 
 
 def run_to_table(stream: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
