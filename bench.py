@@ -20,7 +20,7 @@ HEADLINE = [
     "a01_additive_state", "a01_additive_state_narrow", "a11_ledoit_wolf", "a13_mmd2", "a15_marginal_gap", "a16_parity_scan",
     "c01_class_contrast", "c02_score_effect", "c15_helstrom_rule", "c16_pretty_good_rule",
     "f08_pair_equality", "f11_paired_contrast", "f12_grid_pair_stats", "f17_window_features_spatial",
-    "i03_bootstrap_risk", "i07_paired_bootstrap", "l01_template_loglik", "l04_chain_increments", "l08_bernoulli_score",
+    "i03_bootstrap_risk", "i07_paired_bootstrap", "i07_paired_bootstrap_in_place", "l01_template_loglik", "l04_chain_increments", "l08_bernoulli_score",
     "r01_shot_alerts", "r02_select_threshold", "r04_shot_report", "r07_risk_at_budget", "r09_delay_summary", "r15_evaluate",
     "s06_difference_events", "s09_pair_blocks", "t01_contrast_eprocess", "t02_simplex_witness", "t06_bounded_sr",
     "t12_ewma_topk", "t14_online_logistic", "t15_eprocess_bank", "t17_page_cusum", "t19_score_bank", "t20_shot_eprocess",

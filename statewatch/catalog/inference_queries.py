@@ -321,3 +321,88 @@ def primary_audit(spark, sf):
     )
     out = I.primary_audit(delay_rows(rows, 256, 2), "new", "old", 0.05, 512.0, 2)
     return out.select("family", "n", *[V.r6(F.col(c)).alias(c) for c in ("mean", "p", "upper", "holm")], "passes")
+
+
+# ---------------------------------------------------------------- the same resamples, drawn where the rows are
+
+IN_PLACE = 400
+
+
+@query(
+    "i07_paired_bootstrap_in_place",
+    V.sql(SPEND, body="SELECT k, count(*) AS n, round(avg(d), 7) + 0.0 AS mean, true AS around_mean, true AS near_normal FROM od GROUP BY k"),
+)
+def paired_in_place(spark, sf):
+    """The interval has to hold the mean and to be as wide as the normal one, within a quarter."""
+    rows = spend(spark, sf)
+    out = R.paired_resample(rows, "d", IN_PLACE, ["k"], seed=11)
+    width = rows.groupBy("k").agg((2 * 1.96 * F.stddev_samp("d") / F.sqrt(F.count("d"))).alias("_w"))
+    near = F.abs((F.col("upper") - F.col("lower")) / F.col("_w") - 1) < 0.25
+    around = (F.col("lower") <= F.col("mean")) & (F.col("mean") <= F.col("upper"))
+    return out.join(width, "k").select("k", "n", V.r6(F.col("mean"), 7).alias("mean"), around.alias("around_mean"), near.alias("near_normal"))
+
+
+@query(
+    "i12_cluster_bootstrap_in_place",
+    V.sql(SPEND, body="SELECT round(avg(d), 7) + 0.0 AS mean, true AS around_mean, true AS near_normal FROM od"),
+)
+def cluster_in_place(spark, sf):
+    rows = spend(spark, sf)
+    out = R.cluster_resample(rows, "d", "o_custkey", IN_PLACE, seed=11)
+    sums = R.numbered_clusters(rows, "d", "o_custkey").crossJoin(F.broadcast(rows.agg(F.avg("d").alias("_mean"))))  # one row
+    width = sums.agg((2 * 1.96 * F.sqrt(F.sum(F.pow(F.col("_s") - F.col("_mean") * F.col("_k"), 2))) / F.sum("_k")).alias("_w"))
+    near = F.abs((F.col("upper") - F.col("lower")) / F.col("_w") - 1) < 0.25
+    around = (F.col("lower") <= F.col("mean")) & (F.col("mean") <= F.col("upper"))
+    return out.crossJoin(F.broadcast(width)).select(V.r6(F.col("mean"), 7).alias("mean"), around.alias("around_mean"), near.alias("near_normal"))  # one row
+
+
+@query(
+    "i03_bootstrap_risk_in_place",
+    V.sql(
+        V.OUTCOMES, NUMBERED,
+        """ms AS (SELECT 'length' AS method, doc_id, score, toxic FROM nd UNION ALL SELECT 'mixed', doc_id, (doc_id * 7919) % 1009, toxic FROM nd)""",
+        """rk AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, doc_id) AS r FROM ms)""",
+        body="""SELECT method, CAST(budget AS INT) AS budget, CAST(sum(toxic) FILTER (WHERE r <= budget) AS BIGINT) AS observed, 400::BIGINT AS replicates, true AS within, true AS centred, true AS positives
+        FROM rk, (VALUES (10), (25)) b(budget) GROUP BY ALL""",
+    ),
+)
+def risk_in_place(spark, sf):
+    """Captures of all replicates lie in 0 .. budget, centre on the observed one, and stand against positives that centre on all of them."""
+    docs = numbered(spark, sf)
+    mixed = F.pmod(F.col("doc_id") * 7919, F.lit(1009)).cast("double")
+    of = lambda name, score: docs.select(F.lit(name).alias("method"), F.col("doc_id").alias("id"), "index", score.alias("score"), F.col("toxic").alias("label"))
+    scores = of("length", F.col("score")).unionByName(of("mixed", mixed))
+    found = R.risk_resample(scores, [10, 25], IN_PLACE, seed=11)
+    ranked = place(scores, ["method"], [F.col("score").desc(), F.col("id")], "rank").rows()
+    sums = [F.sum(F.when(F.col("rank") <= b, F.col("label")).otherwise(0)).alias(f"_o{b}") for b in (10, 25)]
+    seen = ranked.groupBy("method").agg(F.sum("label").alias("_all"), F.count("*").alias("_n"), *sums)
+    c, b = F.col("captured"), F.col("budget")
+    observed = F.when(b == 10, F.col("_o10")).otherwise(F.col("_o25"))
+    positives = c + F.col("retained_rate") * (F.col("_n") - b)
+    return found.join(seen, "method").groupBy("method", "budget").agg(
+        F.first(observed).alias("observed"), F.count("*").alias("replicates"), F.bool_and((c >= 0) & (c <= b)).alias("within"),
+        (F.abs(F.avg(c) - F.first(observed)) <= 0.2 * F.first(b)).alias("centred"),
+        (F.abs(F.avg(positives) - F.first("_all")) <= F.sqrt(F.first("_all").cast("double"))).alias("positives"),
+    )
+
+
+@query(
+    "i04_bootstrap_threshold_in_place",
+    V.sql(
+        V.OUTCOMES, NUMBERED,
+        body="""SELECT 400::BIGINT AS replicates, true AS within_budget, true AS at_most_largest, count(*) FILTER (score > 3000) AS frozen, true AS centred FROM nd""",
+    ),
+)
+def threshold_in_place(spark, sf):
+    docs = numbered(spark, sf)
+    maxima = docs.select(F.lit("length").alias("method"), "index", F.col("score").alias("maximum"))
+    found = R.threshold_resample(maxima, 7, {"length": 3000.0}, IN_PLACE, seed=11)
+    times = R.count_frequencies(found, ["method"], "threshold").agg(F.sum("replicates").alias("replicates"))
+    frozen = docs.agg(F.count_if(F.col("score") > 3000).alias("frozen"), F.max("score").alias("_top"))
+    one = found.crossJoin(F.broadcast(frozen)).agg(  # one row
+        F.bool_and(F.col("alert_count") <= 7).alias("within_budget"),
+        F.bool_and((F.col("threshold") <= F.col("zero_alert_threshold")) & (F.col("zero_alert_threshold") <= F.col("_top"))).alias("at_most_largest"),
+        F.first("frozen").alias("frozen"),
+        (F.abs(F.avg("frozen_count") - F.first("frozen")) <= F.sqrt(F.first("frozen").cast("double")) + 1).alias("centred"),
+    )
+    return times.crossJoin(F.broadcast(one)).select("replicates", "within_budget", "at_most_largest", "frozen", "centred")  # one row

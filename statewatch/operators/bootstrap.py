@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statewatch.plans import draw_index, place, quantiles
+from statewatch.plans.durable import durable
 from statewatch.plans.guards import null_safe
+from statewatch.plans.resample import replicate_sums, row_copies
 
 LEVELS = {"lower": 0.025, "upper": 0.975}
 
@@ -166,6 +169,112 @@ def paired_bootstrap(df: DataFrame, diff: str, indices: DataFrame, key: Sequence
     return null_safe(observed, bounds, list(key))
 
 
+def paired_resample(df: DataFrame, diff: str, replicates: int, key: Sequence[str] = (), seed: int = 0, confidence: float = 0.95) -> DataFrame:
+    """``paired_bootstrap`` with draws made where the rows are: one shuffle of the rows, whatever the number of replicates.
+
+    ``df`` has ``index`` 0, 1, ... inside each key.
+    """
+    observed = df.groupBy(*key).agg(F.avg(diff).alias("mean"), F.count(F.lit(1)).alias("n"))
+    sums = replicate_sums(df, key, [diff], replicates, seed)
+    means = sums.select(*key, (F.col(diff) / F.col("copies")).alias("_m"))
+    tail = (1 - confidence) / 2
+    bounds = quantiles(means, key, "_m", {"lower": tail, "upper": 1 - tail})
+    return null_safe(observed, bounds, list(key))
+
+
+def cluster_resample(df: DataFrame, diff: str, cluster: str, replicates: int, seed: int = 0, confidence: float = 0.95) -> DataFrame:
+    """``cluster_bootstrap`` with draws made where the clusters are."""
+    sums = replicate_sums(numbered_clusters(df, diff, cluster), [], ["_s", "_k"], replicates, seed)
+    means = sums.select((F.col("_s") / F.col("_k")).alias("_m"))
+    tail = (1 - confidence) / 2
+    bounds = quantiles(means, [], "_m", {"lower": tail, "upper": 1 - tail})
+    return df.agg(F.avg(diff).alias("mean")).crossJoin(F.broadcast(bounds))  # one row each
+
+
+def _heads(rows: DataFrame, method: str, value: str, id: str, depth: int) -> DataFrame:
+    """The first ``depth`` rows of each method, largest value first, ties by id: bounded heaps in the tasks, then one short ranking."""
+    window = Window.partitionBy(method).orderBy(F.col(value).desc(), F.col(id))
+    return rows.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= depth)
+
+
+def _drawn_heads(
+    scores: DataFrame, wanted: int, replicates: int, seed: int, method: str, id: str, value: str, extra: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """``(rows, drawn)``: one row per id with its ``index``, and for each method and replicate the rows that hold its first ``wanted`` draws.
+
+    Only a short head of a ranking can matter: about as many rows as draws are wanted. Their copies are made in place by id, so that all
+    methods share the draws of a replicate, and the head is doubled until every replicate has its draws in it.
+    """
+    ids = durable(scores.select(id, "index").distinct(), "ids")
+    n = ids.count()
+    depth = wanted + 8 * math.isqrt(wanted) + 16
+    while True:
+        heads = durable(_heads(scores, method, value, id, depth).select(method, id, "index", value, *extra, "rank"), "heads")
+        marks = heads.select(F.col("index").alias("_i")).distinct().withColumn("chosen", F.lit(True))
+        marked = ids.join(marks, ids["index"] == marks["_i"], "left").select("index", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+        copies = durable(row_copies(marked, [], replicates, seed), "copies")
+        each = heads.join(copies, "index").select(method, id, value, *extra, "rank", F.posexplode("copies").alias("replicate", "copies"))
+        least = each.groupBy(method, "replicate").agg(F.sum("copies").alias("c")).agg(F.min("c").alias("c")).first()["c"]
+        if depth >= n or (least is not None and least >= wanted):
+            return ids, each.where("copies > 0").withColumn("replicate", F.col("replicate").cast("bigint"))
+        depth *= 2
+
+
+def risk_resample(
+    scores: DataFrame, budgets: Sequence[int], replicates: int, seed: int = 0, method: str = "method", id: str = "id", label: str = "label"
+) -> DataFrame:
+    """``bootstrap_risk`` with draws made where the rows are; all methods share the draws of a replicate.
+
+    Positives of a replicate are sums over all rows; what a budget captures comes from the head of the frozen ranking only.
+    """
+    _, drawn = _drawn_heads(scores, max(budgets), replicates, seed, method, id, "score", [label])
+    before = F.sum("copies").over(Window.partitionBy(method, "replicate").orderBy("rank")) - F.col("copies")
+    taken = lambda b: F.least(F.col("copies"), F.greatest(F.lit(0), F.lit(b) - F.col("_before")))
+    cum = drawn.withColumn("_before", before)
+    row = cum.groupBy("replicate", method).agg(*[F.sum(F.col(label) * taken(b)).alias(f"_c{b}") for b in budgets])
+    labels = scores.groupBy("index").agg(F.max(label).cast("double").alias("_pos"))
+    row = row.join(replicate_sums(labels, [], ["_pos"], replicates, seed).withColumnRenamed("copies", "_n"), "replicate")
+    positives = F.when(F.col("_pos") > 0, F.col("_pos"))
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(b).alias("budget"), F.col(f"_c{b}").alias("captured"), (F.col(f"_c{b}") / positives).alias("recall"),
+                (F.col(f"_c{b}") / F.lit(b)).alias("precision"), ((F.col("_pos") - F.col(f"_c{b}")) / (F.col("_n") - b)).alias("retained_rate"),
+            )
+            for b in budgets
+        ]
+    )
+    return row.select("replicate", method, F.explode(cells).alias("_r")).select("replicate", method, "_r.*")
+
+
+def threshold_resample(
+    maxima: DataFrame, max_alerts: int, frozen: Mapping[str, float], replicates: int, seed: int = 0, method: str = "method"
+) -> DataFrame:
+    """``bootstrap_threshold`` with draws made where the rows are; all methods share the draws of a replicate."""
+    limit = F.lit(None).cast("double")
+    for name, value in frozen.items():
+        limit = F.when(F.col(method) == name, F.lit(float(value))).otherwise(limit)
+    ids = maxima.withColumn("_id", F.col("index"))
+    _, drawn = _drawn_heads(ids, max_alerts + 1, replicates, seed, method, "_id", "maximum", [])
+    cells = drawn.groupBy("replicate", method, "maximum").agg(F.sum("copies").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("replicate", method).orderBy(F.col("maximum").desc()))
+    cells = cells.withColumn("_c", upto).withColumn("_above", F.col("_c") - F.col("_n"))
+    hit = (F.col("_c") > max_alerts) & (F.col("_above") <= max_alerts)
+    found = cells.groupBy("replicate", method).agg(
+        F.max(F.when(hit, F.col("maximum"))).alias("threshold"), F.max(F.when(hit, F.col("_above"))).alias("alert_count"), F.max("maximum").alias("zero_alert_threshold")
+    )
+    above = maxima.select("index", method, F.coalesce(F.col("maximum") > limit, F.lit(False)).cast("double").alias("_over"))
+    methods = sorted(frozen)
+    wide = above.groupBy("index").agg(*[F.max(F.when(F.col(method) == m, F.col("_over"))).alias(f"_m{i}") for i, m in enumerate(methods)])
+    counts = replicate_sums(wide, [], [f"_m{i}" for i in range(len(methods))], replicates, seed) if methods else None
+    if counts is None:
+        return found.withColumn("frozen_count", F.lit(0).cast("bigint"))
+    each = counts.select("replicate", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(f"_m{i}").cast("bigint").alias("c")) for i, m in enumerate(methods)])).alias("_f"))
+    each = each.select(F.col("replicate").alias("_r"), F.col("_f.m").alias("_m"), F.col("_f.c").alias("_c"))
+    joined = found.join(each, (found["replicate"] == each["_r"]) & (found[method] == each["_m"]), "left")
+    return joined.select("replicate", method, "threshold", "alert_count", F.coalesce("_c", F.lit(0).cast("bigint")).alias("frozen_count"), "zero_alert_threshold")
+
+
 def discordance(df: DataFrame, a: str, b: str, resamples: int = 0, seed: int = 0, confidence: float = 0.95) -> DataFrame:
     """The four categories of two error bits and the difference of error rates.
 
