@@ -15,6 +15,7 @@ from statewatch.operators import adaptive as A
 from statewatch.operators import bank as K
 from statewatch.operators import bootstrap as R
 from statewatch.operators import marginals as M
+from statewatch.operators import replays as P
 from statewatch.operators import sequences as Q
 from statewatch.operators.monitor import run_detectors
 from statewatch.plans import longest_group, place
@@ -399,6 +400,28 @@ def bootstrap_max(spark, sf):
 @query("i06_swap_audit")
 def swap_audit(spark, sf):
     methods = ("rate", "logistic", "sparse", "spectral", "composite")
-    out = K.swap_audit(pair_bits(spark, sf), ["user_id"], "role", ["pair"], "r", "m", 7, 5, REPLICATES, seed=12, methods=methods)
+    out = P.swap_audit_lockstep(pair_bits(spark, sf), ["user_id"], "role", ["pair"], "r", "m", 7, 5, REPLICATES, seed=12, methods=methods)
     values = [V.r6(F.col(c), 5).alias(c) for c in ("max_log_e", "final_log_e")]
     return out.select("user_id", "replicate", "method", "crossed", *values, "shots")
+
+
+# supplied bits: replicate r swaps the shots whose number has bit r set; the rate method in plain SQL
+@query(
+    "i06_swap_audit_supplied",
+    V.sql(
+        V.PAIRS,
+        """hz AS (SELECT user_id, count(DISTINCT pair) AS n FROM pairs GROUP BY 1)""",
+        """sc AS (SELECT user_id, role, pair, q.r AS replicate, CASE WHEN (pair >> CAST(q.r AS INT)) & 1 = 1 THEN -1 ELSE 1 END * (bit_count(mon_k) - bit_count(ref_k)) / 7.0 AS s FROM pairs, range(4) q(r))""",
+        """bt(b) AS (VALUES (0.1::DOUBLE), (0.3::DOUBLE), (0.6::DOUBLE), (0.9::DOUBLE), (-0.1::DOUBLE), (-0.3::DOUBLE), (-0.6::DOUBLE), (-0.9::DOUBLE))""",
+        """lg AS (SELECT user_id, role, pair, replicate, b, row_number() OVER w AS t, ln(1 + b * s) AS l, sum(ln(1 + b * s)) OVER w AS c FROM sc, bt WINDOW w AS (PARTITION BY user_id, role, replicate, b ORDER BY pair))""",
+        """ac AS (SELECT *, exp(c) * sum(exp(l - c)) OVER (PARTITION BY user_id, role, replicate, b ORDER BY pair) / n AS a FROM lg JOIN hz USING (user_id))""",
+        """ev AS (SELECT user_id, replicate, t, ln(sum(a) / 40 + (any_value(n) - t) * 1.0 / any_value(n)) AS e FROM ac GROUP BY user_id, replicate, t)""",
+        body="""SELECT user_id, replicate, 'rate' AS method, max(e) >= ln(1.5) AS crossed, min(t) FILTER (e >= ln(1.5)) AS first_crossing, round(greatest(0, max(e)), 6) + 0.0 AS max_log_e,
+        round(arg_max(e, t), 6) + 0.0 AS final_log_e, count(*) AS shots FROM ev GROUP BY ALL""",
+    ),
+)
+def swap_supplied(spark, sf):
+    bits = lambda r: F.getbit("pair", r.cast("int")) == 1
+    out = P.swap_audit_lockstep(pair_bits(spark, sf), ["user_id"], "role", ["pair"], "r", "m", 7, 5, 4, 0, ("rate",), alpha=1 / 1.5, bits=bits)
+    values = [V.r6(F.col(c)).alias(c) for c in ("max_log_e", "final_log_e")]
+    return out.select("user_id", "replicate", "method", "crossed", "first_crossing", *values, "shots")

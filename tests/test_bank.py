@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from statewatch.functions.learners import pair_features, spectral_effects, top_k_scores
 from statewatch.operators import bank as K
+from statewatch.operators.replays import swap_audit_lockstep
 from statewatch.operators import bootstrap as R
 from statewatch.operators import inference as I
 
@@ -128,6 +129,23 @@ def test_swap_audit_and_bootstrap_from_warm_state(spark, pairs):
     assert trace.agg(F.max("log_stat")).first()[0] == pytest.approx(values[0])
 
 
+def test_lockstep_equals_one_replay_after_another(spark, pairs):
+    methods = ("rate", "logistic", "sparse", "spectral", "composite")
+    both = pairs.unionByName(pairs.where("pair < 17").withColumn("k", F.lit(None).cast(pairs.schema["k"].dataType)))
+    args = ("role", ["pair"], "r", "m", Q, 2, 3, 4, methods)
+    key = lambda r: (r.k, r.replicate, r.method)
+    slow = {key(r): r for r in K.swap_audit(both, ["k"], *args, alpha=0.7).collect()}
+    fast = {key(r): r for r in swap_audit_lockstep(both, ["k"], *args, alpha=0.7).collect()}
+    assert slow.keys() == fast.keys() and len(fast) == 2 * 3 * 5
+    for k, a in slow.items():
+        b = fast[k]
+        assert (a.max_log_e, a.final_log_e) == (pytest.approx(b.max_log_e, abs=1e-9), pytest.approx(b.final_log_e, abs=1e-9))
+        assert (a.crossed, a.first_crossing, a.shots, a.crossed_family) == (b.crossed, b.first_crossing, b.shots, b.crossed_family)
+    # a shot without one of its roles teaches the learners it has rows for and is no evidence
+    short = swap_audit_lockstep(both.where("NOT (pair = 5 AND role = 0)"), ["k"], *args)
+    assert {(r.k, r.shots) for r in short.collect()} == {(0, 39), (None, 16)}
+
+
 def test_registered_replays_give_a_threshold_for_each_user(spark):
     from statewatch.catalog import detector_queries as D
 
