@@ -391,33 +391,34 @@ def pooled_covariance(moment_rows: DataFrame) -> DataFrame:
 def ledoit_wolf(df: DataFrame, key: Sequence[str], vec: str, dim: int) -> DataFrame:
     """Shrinkage covariance and precision of residuals around the mean of each ``key``.
 
-    With S = X'X / n the optimal weight needs only trace S, |S|^2 and the mean of |x|^4, so
-    the data are read twice: once for the means, once for the sums.
+    With S = X'X / n the optimal weight needs only trace S, |S|^2 and the mean of |x|^4. The last is a corner of the products once |x|^2 stands
+    beside x, so the data are read twice: once for the means, once for the sums.
     """
-    means = moments(df, key, vec, dim).select(*key, F.col("mean").alias("_m"))
-    rows = null_safe(df.select(*key, doubles(vec).alias("_v")), means, list(key))
-    residual = rows.select(F.zip_with("_v", "_m", lambda a, b: a - b).alias("_x"))
-    square = total(F.transform("_x", lambda a: a * a))
-    fourth = residual.agg(F.sum(square * square).alias("_q"))
-    scatter = additive_state(residual, [], "_x", dim, normalize=False)
-    joined = scatter.crossJoin(F.broadcast(fourth))  # one row each
-
-    @F.pandas_udf("shrinkage double, cov array<double>, precision array<double>")
-    def shrink(n: pd.Series, acc: pd.Series, q: pd.Series) -> pd.DataFrame:
-        out = []
-        for count, flat, quartic in zip(n, acc, q, strict=True):
-            s = _square(flat) / count
-            p = len(s)
-            mu = np.trace(s) / p
-            delta = float((s * s).sum() - p * mu * mu) / p
-            beta = (quartic / count - float((s * s).sum())) / (p * count)
-            rate = 0.0 if delta <= 0 else min(max(beta, 0.0), delta) / delta
-            cov = (1 - rate) * s + rate * mu * np.eye(p)
-            inverse = np.linalg.pinv(cov, hermitian=True)
-            out.append((rate, cov.reshape(-1), (0.5 * (inverse + inverse.T)).reshape(-1)))
-        return pd.DataFrame(out, columns=["shrinkage", "cov", "precision"])
-
-    return joined.select("n", shrink("n", "acc", "_q").alias("_r")).select("n", "_r.*")
+    rows = df.select(*key, doubles(vec).alias("_v"))
+    rows = rows.withColumn("_v", require(F.size("_v") == dim, F.col("_v"), f"vectors must have {dim} entries"))
+    means = rows.groupBy(*key).agg(*[F.avg(F.get("_v", F.lit(i))).alias(f"_m{i}") for i in range(dim)])
+    means = means.select(*key, F.array(*[f"_m{i}" for i in range(dim)]).alias("_m"))
+    residual = null_safe(rows, means, list(key)).select(F.zip_with("_v", "_m", lambda a, b: a - b).alias("_x"))
+    lifted = residual.select(let(F.col("_x"), lambda x: F.concat(x, F.array(total(F.transform(x, lambda a: a * a))))).alias("_x"))
+    scatter = additive_state(lifted, [], "_x", dim + 1, normalize=False)
+
+    def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for count, flat in zip(pdf["n"], pdf["acc"], strict=True):
+                whole = _square(flat)
+                s, quartic = whole[:-1, :-1] / count, whole[-1, -1]
+                p = len(s)
+                mu = np.trace(s) / p
+                delta = float((s * s).sum() - p * mu * mu) / p
+                beta = (quartic / count - float((s * s).sum())) / (p * count)
+                rate = 0.0 if delta <= 0 else min(max(beta, 0.0), delta) / delta
+                cov = (1 - rate) * s + rate * mu * np.eye(p)
+                inverse = np.linalg.pinv(cov, hermitian=True)
+                out.append((count, rate, cov.reshape(-1), (0.5 * (inverse + inverse.T)).reshape(-1)))
+            yield pd.DataFrame(out, columns=["n", "shrinkage", "cov", "precision"])
+
+    return scatter.select("n", "acc").mapInPandas(shrink, "n bigint, shrinkage double, cov array<double>, precision array<double>")
 
 
 def mmd2(df: DataFrame, label: str, vec: str, dim: int, first, second) -> DataFrame:
