@@ -238,6 +238,19 @@ def retained(spark, sf):
     return out.withColumn("delay_difference", V.r6(F.col("delay_difference"), 7))
 
 
+@query(
+    "r12_predicates",
+    """WITH f AS (SELECT count(*) AS n, count(*) FILTER (toxic = 1) AS bad, max(quality) AS top FROM labels),
+    p AS (SELECT unnest(['enough_rows', 'few_toxic', 'some_good', 'none_missing']) AS predicate, unnest([n >= 100, bad * 2 < n, top = 1, n < 0]) AS holds FROM f)
+    SELECT predicate, holds, bool_and(holds) OVER () AS all_hold FROM p""",
+)
+def predicates(spark, sf):
+    """Facts of the labelled rows; the last rule fails, so not all hold."""
+    facts = V.table(spark, sf, "labels").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("bad"), F.max("quality").alias("top"))
+    n = F.col("n")
+    return A.predicates(facts, {"enough_rows": n >= 100, "few_toxic": F.col("bad") * 2 < n, "some_good": F.col("top") == 1, "none_missing": n < 0})
+
+
 @query(
     "r13_select_best",
     """WITH g AS (SELECT c_mktsegment AS segment, c_nationkey AS parameter, round(avg(c_acctbal), 4) AS metric FROM customer GROUP BY ALL)

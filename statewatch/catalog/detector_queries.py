@@ -65,9 +65,28 @@ def simplex_witness(spark, sf):
     return out.select("user_id", "t", V.r6(F.col("score")).alias("score"))
 
 
-@query("t02_simplex_witness_variance")
+def whitened_sql(covariance: np.ndarray, ridge: float) -> str:
+    """``pc(i, j, v)``: the inverse of the covariance with its ridge."""
+    inverse = np.linalg.inv(covariance + ridge * np.eye(len(covariance)))
+    return "pc(i, j, v) AS (VALUES " + ", ".join(f"({i}, {j}, {float(inverse[i, j])!r}::DOUBLE)" for i in range(len(inverse)) for j in range(len(inverse))) + ")"
+
+
+SIMPLEX_COV = np.diag(REF) - np.outer(REF, REF)
+
+
+@query(
+    "t02_simplex_witness_variance",
+    V.sql(
+        HOTS, whitened_sql(SIMPLEX_COV, 1e-3),
+        """rf_ AS (SELECT a.user_id, a.t, a.i, a.rf, a.x, avg(b.x) AS m FROM h a LEFT JOIN h b ON a.user_id = b.user_id AND a.i = b.i
+          AND b.t <= 2 * ((a.t - 1) // 2) AND b.t > 2 * ((a.t - 1) // 2) - 32 GROUP BY ALL)""",
+        """dw AS (SELECT r.user_id, r.t, pc.i, sum(pc.v * (r.m - r.rf)) AS w FROM rf_ r JOIN pc ON pc.j = r.i GROUP BY ALL)""",
+        """ef AS (SELECT user_id, t, i, CASE WHEN max(w) OVER p - min(w) OVER p <= 1e-12 THEN 0 ELSE (w - min(w) OVER p) / (max(w) OVER p - min(w) OVER p) END AS e FROM dw WINDOW p AS (PARTITION BY user_id, t))""",
+        body="""SELECT user_id, t, round(coalesce(sum(e * (x - rf)), 0), 6) + 0.0 AS score FROM rf_ JOIN ef USING (user_id, t, i) GROUP BY ALL""",
+    ),
+)
 def simplex_variance(spark, sf):
-    cov = np.diag(REF) - np.outer(REF, REF)
+    cov = SIMPLEX_COV
     out = Q.simplex_witness(hot(spark, sf), ["user_id"], ORDER, "x", REF, "variance", cov, 1e-3, 32, 2)
     return out.select("user_id", "t", V.r6(F.col("score")).alias("score"))
 
@@ -105,6 +124,20 @@ def box_witness(spark, sf):
     return out.select("user_id", "t", V.r6(F.col("score")).alias("score"))
 
 
+@query(
+    "t04_box_witness_variance",
+    V.sql(
+        BOX,
+        """tr AS (SELECT *, avg(s) OVER w / 0.26 AS ms, (avg(k) OVER w - 0.5) / 0.11 AS mk FROM score WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING))""",
+        body="""SELECT user_id, t, CASE WHEN t = 1 THEN 0.0 ELSE round((ms * s + mk * (k - 0.5)) / (2 * abs(ms) + abs(mk)), 6) + 0.0 END AS score FROM tr""",
+    ),
+)
+def box_variance(spark, sf):
+    """Variances 0.25 and 0.1 with a ridge of 0.01."""
+    out = Q.box_witness(box(spark, sf), ["user_id"], ORDER, "x", BOX_REF, LOW, HIGH, "variance", np.diag([0.25, 0.1]), 0.01, window=16)
+    return out.select("user_id", "t", V.r6(F.col("score")).alias("score"))
+
+
 @query("t05_static_box", V.sql(BOX, body="SELECT user_id, t, round((3 * s - (k - 0.5)) / 7, 6) + 0.0 AS score FROM score"))
 def static_box(spark, sf):
     rows = place(box(spark, sf), ["user_id"], ORDER).rows()

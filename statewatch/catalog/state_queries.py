@@ -297,6 +297,20 @@ def marginal_gap(spark, sf):
     return out.withColumn("distance", V.r6(F.col("distance"), 8))
 
 
+@query(
+    "a15_count_gap",
+    V.sql(
+        V.BITS,
+        """c AS (SELECT bit_count(k) AS e, count(*) FILTER (shot % 2 = 1) AS a, count(*) FILTER (shot % 2 = 0) AS b FROM bits GROUP BY 1)""",
+        body="""SELECT 'events' AS columns, 1 AS k, round(0.5 * sum(abs(a * 1.0 / (SELECT sum(a) FROM c) - b * 1.0 / (SELECT sum(b) FROM c))), 8) + 0.0 AS distance FROM c""",
+    ),
+)
+def count_gap(spark, sf):
+    """Event counts of odd and even shots."""
+    rows = V.bits(spark, sf).select(B.unpack("k", 7).alias("bits"), F.pmod("shot", F.lit(2)).cast("int").alias("cls"))
+    return M.count_gap(rows, "cls", "bits", 1, 0).withColumn("distance", V.r6(F.col("distance"), 8))
+
+
 @query(
     "a16_parity_scan",
     V.sql(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,18 +101,51 @@ def marginal_gap(df: DataFrame, label: str, columns: Sequence[str], max_k: int,
     return named.select("columns", F.size(F.split("columns", "\\+")).alias("k"), "distance")
 
 
+#: Codes of so many bits have a table of at most 65,536 counts.
+WALSH_WIDTH = 16
+
+
+def _walsh_means(distinct: DataFrame, width: int, sets: Sequence[Sequence[int]]) -> DataFrame:
+    masks = np.array([sum(1 << i for i in s) for s in sets], dtype=np.int64)
+    sizes = np.array([len(s) for s in sets], dtype=np.int32)
+    vector = distinct.agg(*[F.collect_list(F.col(c)).alias(c) for c in ("_code", "_a", "_b")])  # at most 2 ** width entries
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for codes, *counts in zip(pdf["_code"], pdf["_a"], pdf["_b"], strict=True):
+                means = []
+                for c in counts:
+                    table = np.zeros(1 << width)
+                    np.add.at(table, np.asarray(codes, np.int64), np.asarray(c, float))
+                    total = table.sum()
+                    for bit in range(width):  # sums and differences over one bit at a time
+                        pair = table.reshape(-1, 2, 1 << bit)
+                        table = np.stack([pair[:, 0] + pair[:, 1], pair[:, 0] - pair[:, 1]], axis=1).reshape(-1)
+                    means.append(table[masks] / total if total else np.full(len(masks), np.nan))
+                yield pd.DataFrame({"n": np.arange(len(masks), dtype=np.int32), "k": sizes, "mask": masks, "mean_first": means[0], "mean_second": means[1]})
+
+    return vector.mapInPandas(run, "n int, k int, mask bigint, mean_first double, mean_second double")
+
+
 def parity_gaps(df: DataFrame, label: str, code: str, width: int, max_k: int, first=1, second=0) -> DataFrame:
-    """Class means of the product of signs on every set of at most ``max_k`` bits."""
+    """Class means of the product of signs on every set of at most ``max_k`` bits.
+
+    Up to ``WALSH_WIDTH`` bits the counts of all codes are one short vector whose Walsh-Hadamard transform holds every mean; beyond, each
+    distinct code meets each mask.
+    """
     sets = [s for k in range(1, max_k + 1) for s in itertools.combinations(range(width), k)]
+    one = F.count_if(F.col(label) == F.lit(first)).alias("_a")
+    two = F.count_if(F.col(label) == F.lit(second)).alias("_b")
+    low = F.col(code).cast("bigint").bitwiseAND((1 << width) - 1)  # no mask reaches further
+    distinct = df.groupBy(low.alias("_code")).agg(one, two)
+    if width <= WALSH_WIDTH:
+        return _walsh_means(distinct, width, sets).withColumn("gap", F.abs(F.col("mean_first") - F.col("mean_second")))
     masks = F.array(
         *[
             F.struct(F.lit(n).alias("n"), F.lit(len(s)).alias("k"), F.lit(sum(1 << i for i in s)).cast("bigint").alias("m"))
             for n, s in enumerate(sets)
         ]
     )
-    one = F.count_if(F.col(label) == F.lit(first)).alias("_a")
-    two = F.count_if(F.col(label) == F.lit(second)).alias("_b")
-    distinct = df.groupBy(F.col(code).cast("bigint").alias("_code")).agg(one, two)
     cells = distinct.select("*", F.explode(masks).alias("_s"))
     sign = 1 - 2 * F.pmod(F.bit_count(F.col("_code").bitwiseAND(F.col("_s.m"))), F.lit(2))
     means = cells.groupBy(F.col("_s.n").alias("n"), F.col("_s.k").alias("k"), F.col("_s.m").alias("mask")).agg(

@@ -189,3 +189,19 @@ def test_hamming_median_of_equal_prototypes_is_one(spark):
     witness = M.fit_hamming(df, "c", "w", 4)
     assert witness.gamma == pytest.approx(np.log(2))
     assert df.select(witness.score("w").alias("s")).first().s == pytest.approx(0.0)
+
+
+def test_parity_means_by_transform_equal_those_by_mask(spark, monkeypatch):
+    from statewatch.operators import marginals as M
+
+    rng = np.random.default_rng(8)
+    rows = [(int(c), int(c % 3 == 0), int(c) + 64 * int(x)) for c, x in zip(rng.integers(0, 64, 300), rng.integers(0, 2, 300))]
+    df = spark.createDataFrame(rows, "code int, cls int, wide int")
+    key = lambda r: (r.n, r.k, r.mask)
+    for column in ("code", "wide"):  # bits above the width are not looked at
+        fast = {key(r): (r.mean_first, r.mean_second, r.gap) for r in M.parity_gaps(df, "cls", column, 6, 3).collect()}
+        monkeypatch.setattr(M, "WALSH_WIDTH", 0)
+        slow = {key(r): (r.mean_first, r.mean_second, r.gap) for r in M.parity_gaps(df, "cls", column, 6, 3).collect()}
+        monkeypatch.undo()
+        assert fast.keys() == slow.keys() and len(fast) == 6 + 15 + 20
+        assert all(np.allclose(fast[k], slow[k]) for k in fast)
