@@ -192,8 +192,6 @@ def test_hamming_median_of_equal_prototypes_is_one(spark):
 
 
 def test_parity_means_by_transform_equal_those_by_mask(spark, monkeypatch):
-    from statewatch.operators import marginals as M
-
     rng = np.random.default_rng(8)
     rows = [(int(c), int(c % 3 == 0), int(c) + 64 * int(x)) for c, x in zip(rng.integers(0, 64, 300), rng.integers(0, 2, 300))]
     df = spark.createDataFrame(rows, "code int, cls int, wide int")
