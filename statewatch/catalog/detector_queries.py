@@ -17,7 +17,7 @@ from statewatch.operators import bootstrap as R
 from statewatch.operators import marginals as M
 from statewatch.operators import replays as P
 from statewatch.operators import sequences as Q
-from statewatch.operators.monitor import run_detectors
+from statewatch.operators.monitor import run_detectors, run_detectors_once
 from statewatch.plans import longest_group, place
 
 ORDER = ["ts", "event_id"]
@@ -349,7 +349,32 @@ def page_cusum(spark, sf):
     return out.select("user_id", "pair", "role", *[V.r6(F.col(c)).alias(c) for c in ("positive", "negative", "cusum")])
 
 
-@query("t18_run_detectors")
+DETECTORS = V.sql(
+    HOTS, whitened_sql(SIMPLEX_COV, 1e-3),
+    """tm AS (SELECT a.user_id, a.t, a.i, a.rf, a.x, avg(b.x) AS m FROM h a LEFT JOIN h b ON a.user_id = b.user_id AND a.i = b.i
+      AND b.t <= 2 * ((a.t - 1) // 2) AND b.t > 2 * ((a.t - 1) // 2) - 16 GROUP BY ALL)""",
+    """dw AS (SELECT r.user_id, r.t, pc.i, sum(pc.v * (r.m - r.rf)) AS w FROM tm r JOIN pc ON pc.j = r.i GROUP BY ALL)""",
+    """ef AS (SELECT user_id, t, i, CASE WHEN max(w) OVER p - min(w) OVER p <= 1e-12 THEN 0 ELSE (w - min(w) OVER p) / (max(w) OVER p - min(w) OVER p) END AS e FROM dw WINDOW p AS (PARTITION BY user_id, t))""",
+    """ms AS (SELECT 'raw' AS method, user_id, t, sum(CASE WHEN m - rf > 1e-12 THEN x - rf ELSE 0 END) AS s FROM tm GROUP BY ALL
+      UNION ALL SELECT 'variance', user_id, t, coalesce(sum(e * (x - rf)), 0) FROM tm JOIN ef USING (user_id, t, i) GROUP BY ALL
+      UNION ALL SELECT 'matched', user_id, t, sum(CASE i WHEN 0 THEN 1.0 WHEN 4 THEN 0.5 ELSE 0.0 END * (x - rf)) FROM h GROUP BY ALL
+      UNION ALL SELECT 'blind', user_id, t, 0.0 FROM h WHERE i = 0)""",
+    "bt(b) AS (VALUES " + ", ".join(f"({b}::DOUBLE)" for b in SR_BETS) + ")",
+    """al AS (SELECT method, user_id, t, b, ln(1 + b * s) AS l FROM ms, bt UNION ALL SELECT 'likelihood', user_id, t, i, ln(1 + 0.3 * (x - rf)) FROM h WHERE i < 2)""",
+    """cu AS (SELECT *, sum(l) OVER (PARTITION BY method, user_id, b ORDER BY t) AS c FROM al)""",
+    """ac AS (SELECT method, user_id, t, exp(c) * sum(exp(l - c)) OVER (PARTITION BY method, user_id, b ORDER BY t) AS a FROM cu)""",
+    """sm AS (SELECT method, user_id, t, avg(a) AS v FROM ac GROUP BY ALL)""",
+    body="SELECT user_id, method, min(t) FILTER (v >= 20 * (1 - 1e-12)) AS alarm_time FROM sm GROUP BY ALL",
+)
+
+
+@query("t18_run_detectors_once", DETECTORS)
+def detectors_once(spark, sf):
+    rows = hot(spark, sf).withColumn("lr", F.array(*[1 + 0.3 * (F.get("x", F.lit(i)) - REF[i]) for i in range(2)]))
+    return run_detectors_once(rows, ["user_id"], ORDER, "x", REF, [1.0, 0.0, 0.0, 0.0, 0.5], SIMPLEX_COV, 1e-3, 16, 2, 20.0, ratios="lr", alternatives=2)
+
+
+@query("t18_run_detectors", DETECTORS.replace(">= 20 *", ">= 100 *"))
 def detectors(spark, sf):
     cov = np.diag(REF) - np.outer(REF, REF)
     rows = hot(spark, sf).withColumn("lr", F.array(*[1 + 0.3 * (F.get("x", F.lit(i)) - REF[i]) for i in range(2)]))

@@ -207,3 +207,26 @@ def test_online_logistic(stream, size):
             assert score[k][t] == pytest.approx(np.tanh(margin / max(1.0, np.abs(w).sum())), abs=1e-9)
             w = w - 0.5 * (-d / (1 + np.exp(margin)) + 0.01 * w)
         assert final[k] == pytest.approx(w)
+
+
+def test_detectors_in_one_pass_equal_one_trace_each(spark):
+    from statewatch.operators.monitor import run_detectors, run_detectors_once
+
+    rng = np.random.default_rng(11)
+    ref = [0.4, 0.3, 0.2, 0.1]
+    rows = []
+    for key, n in ((0, 300), (1, 40), (None, 25)):
+        x = rng.dirichlet(np.ones(4), n)
+        x[n // 2 :] = 0.3 * x[n // 2 :] + 0.7 * np.eye(4)[3]
+        rows += [(key, t, [float(v) for v in r], [float(1 + r[3] - 0.1), float(1 + 0.5 * (r[3] - 0.1))]) for t, r in enumerate(x)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(None if k is None else int(k), int(t), list(x), list(f)) for k, t, x, f in rows], "k int, t0 int, x array<double>, f array<double>").repartition(3)
+    cov = np.diag(ref) - np.outer(ref, ref)
+    for threshold in (15.0, 1e9):
+        args = (df, ["k"], ["t0"], "x", ref, [0.0, 0.0, 0.0, 1.0], cov, 1e-3, 12, 3, threshold)
+        slow = {(r.k, r.method): r.alarm_time for r in run_detectors(*args, ratios="f", alternatives=2).collect()}
+        fast = {(r.k, r.method): r.alarm_time for r in run_detectors_once(*args, ratios="f", alternatives=2).collect()}
+        assert slow == fast and len(fast) == 15
+    assert any(a is not None for a in slow.values()) or threshold == 1e9
+    assert {r.method for r in run_detectors_once(*args).collect()} == {"blind", "raw", "variance", "matched"}
+    assert run_detectors_once(df.where("false"), *args[1:]).count() == 0
