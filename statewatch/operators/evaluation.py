@@ -121,7 +121,7 @@ def estimator_errors(df: DataFrame, expected: DataFrame, budgets: Sequence[int],
     placed = place(df, keys, [order], "_t").rows()
     cut = placed.select(*keys, value, F.explode(F.array(*[F.lit(b) for b in budgets])).alias("budget"), "_t").where("_t <= budget")
     means = cut.groupBy(*keys, "budget").agg(F.avg(value).alias("_m"), F.count(F.lit(1)).alias("_n")).where("_n = budget")
-    gaps = means.join(F.broadcast(expected), observable).withColumn("_e", F.col("_m") - F.col("p"))
+    gaps = means.join(expected, observable).withColumn("_e", F.col("_m") - F.col("p"))
     per = gaps.groupBy(*group, replicate, "budget").agg(
         F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"), F.avg(F.abs("_e")).alias("mae"),
         F.avg("_e").alias("bias"), F.max(F.abs("_e")).alias("max_error"),
